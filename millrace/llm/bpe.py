@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import re
 import threading
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -38,7 +39,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 OTHER_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Bounds of what a Python worker keeps: words and pre-tokens (each twice, see Recent), pairs, bytes of a kept word.
-CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 250_000, 1_000_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 100_000, 400_000, 48
 
 
 class Recent(dict):
@@ -252,19 +253,22 @@ class Tokenizer:
             ids = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32), type=pa.int32())
             return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), ids)
 
-        def decode(lists: list[list[int] | None]) -> pa.Array:
+        def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             c = codec(source.value)
-            return pa.array([c.decode([i for i in x if i is not None]) if x else "" for x in lists], type=pa.string())
+            for lists in batches:
+                ids, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+                out = (c.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True))
+                yield pa.array(out, type=pa.string())
 
         self._encode = text_function(T.ArrayType(T.IntegerType()), encode)
-        self._decode = text_function(T.StringType(), decode)
+        self._decode = F.arrow_udf(decode, T.StringType())
 
     def encode(self, text: Column) -> Column:
         """array<int> of a text's ids: those that merging gives. Null and the empty text give an empty array."""
         return self._encode(text)
 
     def decode(self, ids: Column) -> Column:
-        """The text of an array of ids. Null and an empty array give the empty text."""
+        """The text of an array of ids (none of them null). A null and an empty array give the empty text."""
         return self._decode(ids)
 
 

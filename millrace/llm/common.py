@@ -41,7 +41,7 @@ def alnum_words(text: str) -> list[bytes]:
 
 
 #: Texts of one Arrow batch are worked on in slices of about so many characters, so that what a slice makes stays small.
-SLICE_CHARS = 8_000_000
+SLICE_CHARS = 4_000_000
 
 
 def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
@@ -62,7 +62,8 @@ def text_function(returns: str, work: Callable[[list[str | None]], pa.Array]):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out = [work(part) for part in slices(batch.to_pylist())]
+            rows = max(1, len(batch) * SLICE_CHARS // max(1, batch.nbytes))
+            out = [work(part) for at in range(0, len(batch), rows) for part in slices(batch[at : at + rows].to_pylist())]
             yield pa.concat_arrays(out) if out else work([])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
