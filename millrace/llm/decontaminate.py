@@ -31,7 +31,7 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     w = bench.select("item_id", words(F.col("text")).alias("w")).where(F.size("w") > 0)
     w = w.withColumn("n", F.least(F.size("w"), F.lit(window)))
-    each = F.explode(F.expr("transform(sequence(1, size(w) - n + 1), i -> slice(w, i, n))"))
+    each = F.explode_outer(F.expr("transform(sequence(1, size(w) - n + 1), i -> slice(w, i, n))"))
     grams = w.select("item_id", "n", each.alias("gram"))
     sets = grams.groupBy("n", "gram").agg(F.collect_set("item_id").alias("item_ids"))
     return sets.withColumn("h", F.xxhash64("n", "gram"))
@@ -60,9 +60,11 @@ def find_hits(docs: DataFrame, bench: DataFrame, keys: list[str], window: int =
     few = grams.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     known = F.broadcast(grams) if few else grams
     w = docs.select(*keys, words(F.col("text")).alias("w"))
-    # the hashes stand in a projection of their own, so that explode, join and comparison compile into one stage
+    # The hashes stand in a projection of their own, so that explode, join and comparison compile into one stage. A
+    # plain explode would add a filter on the array's size, pushed below the projections: it would match the pattern
+    # anew for every window.
     hashed = w.withColumn("hashes", F.expr("concat(" + ", ".join(map(_hashes, sizes)) + ")"))
-    starts = hashed.select(*keys, "w", F.posexplode("hashes").alias("p", "h"))
+    starts = hashed.select(*keys, "w", F.posexplode_outer("hashes").alias("p", "h"))
     met = starts.join(known, "h")
     at = F.col("p")
     for k, n in enumerate(sizes):  # windows of the lengths before n come first

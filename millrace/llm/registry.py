@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, sharding
+from millrace.llm import bpe, decontaminate, language_id, licenses, sharding, topk, toxicity
 from millrace.llm.common import table
 
 
@@ -31,11 +31,32 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.predict(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_bpe": op4_bpe,
     "op6_decontaminate": op6_decontaminate,
+    "op7_language": op7_language,
+    "op8_toxicity": op8_toxicity,
+    "op9_topk": op9_topk,
+    "op10_licenses": op10_licenses,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE,
+    "op9_topk": topk.ORACLE,
 }
