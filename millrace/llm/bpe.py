@@ -39,7 +39,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 OTHER_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Bounds of what a Python worker keeps: words and pre-tokens (each twice, see Recent), pairs, bytes of a kept word.
-CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 100_000, 400_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 250_000, 600_000, 48
 
 
 class Recent(dict):
@@ -77,6 +77,10 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+#: A suffix, the states after a byte, and (length, token) of the tokens that end it, the shortest first.
+State = tuple[bytes, dict, list]
+
+
 class Codec:
     """Tables of one vocabulary, and the encoder and decoder over them."""
 
@@ -102,16 +106,16 @@ class Codec:
             self.pair.setdefault((a, b), k)
             if self.halves[made] is None:
                 self.halves[made], self.rank[made] = (a, b), k
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}  # by a << 32 | b
         special = set(self.special.values())
         self.ids = {t: k for k, t in enumerate(self.token) if t and k not in special and self.whole(k)}
         self.prefixes = {t[:n] for t in self.ids for n in range(len(t) + 1)}
         #: The suffix automaton: a state is the longest suffix read that begins a token. States are filled in as they
         #: are first reached; there are never more than ``prefixes``.
-        self.moves: dict[bytes, dict[int, bytes]] = {}
-        self.ending: dict[bytes, list[tuple[int, int]]] = {}
-        self.pieces = Recent(self._packed, CACHE_WORDS)
-        self.leading = Recent(self._word, CACHE_WORDS)
+        self.states: dict[bytes, State] = {}
+        self.start = self._state(b"")
+        self.pieces = Recent(self._packed, CACHE_WORDS // 2)
+        self.leading = Recent(self._word, CACHE_WORDS // 5)
         self.spaced = Recent(lambda w: self._word(" " + w), CACHE_WORDS)
         self.line_break = self._packed("\n")
 
@@ -142,37 +146,40 @@ class Codec:
                 limit, left_first, b = rb, True, self.halves[b][0]
 
     def compatible(self, a: int, b: int) -> bool:
-        found = self.known.get((a, b))
+        found = self.known.get(a << 32 | b)
         if found is None:
             if len(self.known) >= CACHE_PAIRS:
                 self.known.clear()
-            found = self.known[a, b] = self._meets(a, b, until=float("inf"))
+            found = self.known[a << 32 | b] = self._meets(a, b, until=float("inf"))
+        return found
+
+    def _state(self, suffix: bytes) -> State:
+        found = self.states.get(suffix)
+        if found is None:
+            ends = ((n, self.ids.get(suffix[-n:])) for n in range(1, len(suffix) + 1))
+            found = self.states[suffix] = (suffix, {}, [(n, t) for n, t in ends if t is not None])
         return found
 
-    def _reach(self, state: bytes, byte: int) -> bytes:
-        """The state after one more byte, and its tokens: the suffixes of the state that are tokens, shortest first."""
-        to = state + bytes([byte])
+    def _reach(self, state: State, byte: int) -> State:
+        """The state after one more byte."""
+        to = state[0] + bytes([byte])
         while to not in self.prefixes:
             to = to[1:]
-        self.moves.setdefault(state, {})[byte] = to
-        if to not in self.ending:
-            suffixes = ((n, self.ids.get(to[-n:])) for n in range(1, len(to) + 1))
-            self.ending[to] = [(n, t) for n, t in suffixes if t is not None]
-            self.moves.setdefault(to, {})
-        return to
+        found = state[1][byte] = self._state(to)
+        return found
 
     def piece(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
         last: list[int] = []
-        known, moves, ending, state = self.known, self.moves, self.ending, b""
+        known, state = self.known, self.start
         for at, byte in enumerate(raw):
-            state = moves.get(state, {}).get(byte) or self._reach(state, byte)
-            for n, t in ending[state]:
+            state = state[1].get(byte) or self._reach(state, byte)
+            for n, t in state[2]:
                 if n > at:
                     break
                 p = last[at - n]
-                ok = known.get((p, t))
-                if self.compatible(p, t) if ok is None else ok:
+                ok = known.get(p << 32 | t)
+                if ok or ok is None and self.compatible(p, t):
                     break
             last.append(t)
         ids, at = [], len(raw) - 1
@@ -245,14 +252,23 @@ class Tokenizer:
             self.source = spark.sparkContext.broadcast(f.read())
         source = self.source
 
-        def encode(texts: list[str | None]) -> pa.Array:
-            c = codec(source.value)
-            packed = [c.encode(t) if t else b"" for t in texts]
+        def lists(packed: list[bytes]) -> pa.Array:
             offsets = np.zeros(len(packed) + 1, dtype=np.int32)
-            np.cumsum([len(p) // 4 for p in packed], out=offsets[1:]) if packed else None
+            if packed:
+                np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
             ids = pa.array(np.frombuffer(b"".join(packed), dtype=np.int32), type=pa.int32())
             return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), ids)
 
+        def encode(texts: list[str | None]) -> pa.Array:
+            c = codec(source.value)
+            return lists([c.encode(t) if t else b"" for t in texts])
+
+        def both(texts: list[str | None]) -> pa.Array:
+            c = codec(source.value)
+            packed = [c.encode(t) if t else b"" for t in texts]
+            back = pa.array((c.decode(np.frombuffer(p, np.int32).tolist()) for p in packed), type=pa.string())
+            return pa.StructArray.from_arrays([lists(packed), back], ["ids", "decoded"])
+
         def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             c = codec(source.value)
             for lists in batches:
@@ -261,6 +277,8 @@ class Tokenizer:
                 yield pa.array(out, type=pa.string())
 
         self._encode = text_function(T.ArrayType(T.IntegerType()), encode)
+        pair = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
+        self._both = text_function(T.StructType(pair), both)
         self._decode = F.arrow_udf(decode, T.StringType())
 
     def encode(self, text: Column) -> Column:
@@ -271,6 +289,11 @@ class Tokenizer:
         """The text of an array of ids (none of them null). A null and an empty array give the empty text."""
         return self._decode(ids)
 
+    def round_trip(self, text: Column) -> Column:
+        """struct<ids, decoded>: ``encode`` and ``decode`` of its ids in one Python worker, which takes half the memory of
+        the two in a row."""
+        return self._both(text)
+
 
 def with_tokens(docs: DataFrame, tokenizer: Tokenizer, text: str = "text", ids: str = "token_ids") -> DataFrame:
     """The documents with their ids in a new column (one of that name is replaced). Map-only: no shuffle."""
@@ -282,8 +305,7 @@ def digests(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
 
     Null text counts as empty: 0 tokens and the hash of no bytes. Repeated rows each give a row.
     """
-    coded = docs.select("doc_id", tokenizer.encode(F.col("text")).alias("ids"))
-    back = coded.select("doc_id", "ids", tokenizer.decode(F.col("ids")).alias("decoded"))
+    back = docs.select("doc_id", tokenizer.round_trip(F.col("text")).alias("r")).select("doc_id", "r.ids", "r.decoded")
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
