@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import policy as P_
 from millrace.plans.base import UNITS, literals, query, quoted, read, units, values
 
 P, SP = quoted(X.PLACEHOLDER), X.SPACE
@@ -243,3 +244,35 @@ def ordered_distinct(spark, d):
     first = read(spark, d, "documents").groupBy("source", "lang").agg(F.min("doc_id").alias("first"))
     ordered = F.array_sort(F.collect_list(F.struct("first", "lang")))
     return first.groupBy("source").agg(F.array_join(F.transform(ordered, lambda x: x["lang"]), ",").alias("langs"))
+
+
+POINTERS = [
+    ("/title", "generic-json"), ("/icon/name", "generic-json"), ("/item/name", "generic-json"), ("/pages/0", "generic-json"),
+    ("/description/3", "generic-json"), ("/a/score/text", "generic-json"), ("/x~1y:custom_data/text", "generic-json"), ("", "generic-json"),
+    ("/name", "json-lang"), ("/name/0", "generic-json"), ("/entity/name/1", "generic-json"), ("/clickEvent/value", "generic-json"), ("/TEXT", "generic-json"),
+]
+_IN = lambda xs: "(" + ", ".join(map(quoted, xs)) + ")"
+
+
+@query(
+    f"""WITH k AS (SELECT id, b, list_transform(list_filter(string_split(a, '/'), lambda x: x <> ''), lambda x: lower(replace(replace(x, '~1', '/'), '~0', '~'))) AS w FROM {values(POINTERS)}),
+    p AS (SELECT id, b, w, len(w) AS n, coalesce(w[-1], '') AS l, CASE WHEN len(w) > 1 THEN w[-2] ELSE '' END AS u, CASE WHEN len(w) > 2 THEN w[-3] ELSE '' END AS g FROM k)
+    SELECT id, CASE WHEN b IN {_IN(P_.LANGUAGE_FORMATS)} THEN 'TRANSLATABLE_DISPLAY' WHEN n = 0 THEN 'UNKNOWN_REVIEW'
+      WHEN len(list_filter(w[1:n - 1], lambda x: x IN {_IN(P_.MECHANISM_OBJECTS)} OR x = 'custom_data' OR suffix(x, ':custom_data'))) > 0 THEN 'IMMUTABLE_MATCH_VALUE'
+      WHEN l = 'name' AND u NOT IN {_IN(P_.NAMED_PARENTS)} THEN 'UNKNOWN_REVIEW' WHEN l IN {_IN(P_.TEXT_KEYS)} THEN 'TRANSLATABLE_DISPLAY'
+      WHEN regexp_full_match(l, '[0-9]+') AND u = 'name' AND g NOT IN {_IN(P_.NAMED_PARENTS)} THEN 'UNKNOWN_REVIEW'
+      WHEN regexp_full_match(l, '[0-9]+') AND u IN {_IN(P_.TEXT_KEYS)} THEN 'TRANSLATABLE_DISPLAY' ELSE 'UNKNOWN_REVIEW' END AS policy FROM p"""
+)
+def pointer_policy(spark, d):
+    return literals(spark, POINTERS).select("id", P_.pointer_policy(F.col("a"), F.col("b"))["policy"].alias("policy"))
+
+
+@query(
+    f"""WITH {UNITS} SELECT seq, CASE WHEN rejected AND policy <> 'IMMUTABLE_ID' THEN 'UNKNOWN_REVIEW' WHEN policy = 'IMMUTABLE_ID' THEN policy
+      WHEN keep THEN 'IMMUTABLE_MATCH_VALUE' ELSE policy END AS policy FROM units"""
+)
+def unit_policy(spark, d):
+    c = F.col
+    u = units(spark, d).withColumn("shown", F.when(c("keep"), F.lit(" 12.5 ")).otherwise(c("source_text")))
+    none = F.struct(F.lit(P_.REVIEW).alias("policy"), F.lit("").alias("reason"))
+    return u.select("seq", P_.unit_policy(c("format"), c("shown"), c("policy"), c("rejected"), none)["policy"].alias("policy"))
