@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import bloom
 from millrace.llm.common import slices
 from millrace.session import checkpoint_dir
 
@@ -40,8 +41,18 @@ def masked(tokens: list[str]) -> list[str]:
     return tokens if 2 * out.count(WILD) > len(out) else out
 
 
-def _hash(tokens: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(tokens))
+def _hash(tokens: list[str]) -> int:
+    return xxhash.xxh3_64_intdigest(" ".join(tokens)) - (1 << 63)
+
+
+def line_keys(line: str) -> tuple[list[str], int, int] | None:
+    """Masked tokens, leaf and template of a line; None if it has too few tokens. A leaf's hash and a template's together
+    name a line's tokens by 128 bits."""
+    tokens = line.split()
+    if len(tokens) < LEAST_TOKENS:
+        return None
+    tokens = masked(tokens) if VARIES.search(line) else tokens
+    return tokens, _hash([str(len(tokens)), *tokens[:LEADING]]), _hash(tokens)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -59,13 +70,11 @@ def parsed(rows: DataFrame) -> DataFrame:
                 of, line, leaf, template = [], [], [], []
                 for k, text in enumerate(part):
                     for j, x in enumerate(text.split("\n") if text else ()):
-                        tokens = x.split()
-                        if len(tokens) >= LEAST_TOKENS:
-                            tokens = masked(tokens) if VARIES.search(x) else tokens
+                        if (found := line_keys(x)) is not None:
                             of.append(done + k)
                             line.append(j)
-                            leaf.append(_hash([str(len(tokens)), *tokens[:LEADING]]))
-                            template.append(_hash(tokens))
+                            leaf.append(found[1])
+                            template.append(found[2])
                 done += len(part)
                 take = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -73,35 +82,44 @@ def parsed(rows: DataFrame) -> DataFrame:
                         b.column("doc_id").take(take),
                         b.column("th").take(take),
                         pa.array(line, pa.int32()),
-                        pa.array(leaf, pa.binary()),
-                        pa.array(template, pa.binary()),
+                        pa.array(leaf, pa.int64()),
+                        pa.array(template, pa.int64()),
                     ],
                     names=["doc_id", "th", "line", "leaf", "template"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, th long, line int, leaf binary, template binary")
+    return rows.mapInArrow(run, "doc_id long, th long, line int, leaf long, template long")
 
 
 def tokens_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """leaf, template, docs, pos and token: the masked tokens of one line of each wanted template
-    (doc_id, th, lines: array of (line, leaf, template, docs))."""
+    """leaf, template, docs, pos and token: the masked tokens of the wanted templates (leaf, template, docs).
+
+    Texts are parsed again where they lie; a Bloom filter keeps all other lines out of the shuffle, and each task passes
+    a line on once.
+    """
+    mark = F.col("leaf").bitwiseXOR(F.col("template"))
+    filter_ = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted.select(mark.alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
         for b in batches:
-            for text, lines in zip(b.column("text").to_pylist(), b.column("lines").to_pylist(), strict=True):
-                split = text.split("\n")
-                out: list[list] = [[], [], [], [], []]
-                for x in lines:
-                    for pos, token in enumerate(masked(split[x["line"]].split())):
-                        for column, v in zip(out, (x["leaf"], x["template"], x["docs"], pos, token), strict=True):
-                            column.append(v)
-                kinds = (pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.string())
+            for part in slices(b.column("text").to_pylist()):
+                found = [f for t in part if t for x in t.split("\n") if (f := line_keys(x)) is not None]
+                near = bloom.hits(filter_.value, np.array([f[1] ^ f[2] for f in found], np.int64)) if found else []
+                out: dict[tuple[int, int], list[str]] = {f[1:]: f[0] for f, ok in zip(found, near, strict=True) if ok and f[1:] not in sent}
+                sent = set(out) if len(sent) > 200_000 else sent | set(out)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names=["leaf", "template", "docs", "pos", "token"]
+                    [
+                        pa.array([k[0] for k in out], pa.int64()),
+                        pa.array([k[1] for k in out], pa.int64()),
+                        pa.array(list(out.values()), pa.list_(pa.string())),
+                    ],
+                    names=["leaf", "template", "tokens"],
                 )
 
-    met = rows.join(wanted, rows.doc_id.eqNullSafe(wanted.id) & (rows.th == wanted.own)).select("text", "lines")
-    return met.mapInArrow(run, "leaf binary, template binary, docs long, pos int, token string")
+    lines = rows.select("text").mapInArrow(run, "leaf long, template long, tokens array<string>")
+    met = lines.join(wanted, ["leaf", "template"]).dropDuplicates(["leaf", "template"])
+    return met.select("leaf", "template", "docs", F.posexplode("tokens").alias("pos", "token"))
 
 
 def general(tokens: DataFrame) -> DataFrame:
@@ -121,20 +139,14 @@ def general(tokens: DataFrame) -> DataFrame:
 
 def repeated_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     """doc_id, th and lines (numbers from 0) of all lines to drop."""
-    checkpoint_dir(docs.sparkSession)
     rows = keyed(docs)
     lines = parsed(rows).checkpoint()
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "line")
     in_doc = lines.groupBy("leaf", "template", "doc_id", "th").agg(F.min("line").alias("line"))
-    equal = in_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"), F.min(place).alias("one")).checkpoint()
+    equal = in_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"))
     mixed = equal.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("all"))
     mixed = mixed.where((F.col("kinds") > 1) & (F.col("all") >= documents)).select("leaf")
-    wanted = (
-        equal.join(mixed, "leaf")
-        .groupBy(F.col("one.doc_id").alias("id"), F.col("one.th").alias("own"))
-        .agg(F.collect_list(F.struct("one.line", "leaf", "template", "docs")).alias("lines"))
-    )
-    shared = general(tokens_of(rows, wanted)).withColumn("final", F.col("leaf"))
+    shared = general(tokens_of(rows, equal.join(mixed, "leaf").select("leaf", "template", "docs"))).withColumn("final", F.col("leaf"))
     alone = equal.where(F.col("docs") >= documents).select("leaf", "template")
     alone = alone.join(shared, ["leaf", "template"], "left_anti").withColumn("final", F.col("template"))
     met = lines.join(shared.unionByName(alone), ["leaf", "template"]).select("doc_id", "th", "line", "final")
@@ -160,16 +172,24 @@ def without_repeats(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     that of the smallest id (rows without one come last), then of the first line. Rows that repeat an id and text are
     one document: they lose the same lines.
     """
+    checkpoint_dir(docs.sparkSession)
     gone = repeated_lines(docs, documents)
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("th").alias("gone_th"), F.col("lines").alias("gone_lines"))
+    gone = gone.checkpoint()
     held = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
-    met = held.join(gone, held.id.eqNullSafe(gone.gone_id) & (held.own == gone.gone_th), "left")
+    # only documents that may lose lines are shuffled
+    mark = lambda i, t: F.xxhash64(i, t)
+    keys = gone.select(mark("gone_id", "gone_th").alias("h"))
+    held = held.withColumn("may", bloom.may_hold(keys, "h", mark("id", "own")))
+    some, rest = held.where("may"), held.where("NOT may")
+    met = some.join(gone, some.id.eqNullSafe(gone.gone_id) & (some.own == gone.gone_th), "left")
     text = F.col("row.text")
-    return met.select(
+    changed = met.select(
         "row",
         F.coalesce(F.size("gone_lines"), F.lit(0)).cast("long").alias("n_dropped"),
         F.when(F.col("gone_lines").isNull(), text).otherwise(_left(text, F.col("gone_lines"))).alias("left"),
     )
+    return changed.unionByName(rest.select("row", F.lit(0).cast("long").alias("n_dropped"), text.alias("left")))
 
 
 def report(docs: DataFrame) -> DataFrame:
