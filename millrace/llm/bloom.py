@@ -42,3 +42,12 @@ def may_hold(keys: DataFrame, key: str, column: Column) -> Column:
             yield pa.array(hits(filter_.value, b.to_numpy(zero_copy_only=False).astype(np.int64)))
 
     return F.arrow_udf(run, "boolean")(column)
+
+
+def without(docs: DataFrame, gone: DataFrame, key: str, column: Column) -> DataFrame:
+    """The rows whose hash is not among the keys of ``gone``: an exact anti join of the few that may be, and all others
+    as they lie."""
+    held = docs.select(F.struct(*docs.columns).alias("row"), column.alias("h"))
+    held = held.withColumn("may", may_hold(gone, key, F.col("h")))
+    some = held.where("may").join(gone.select(F.col(key).alias("gone")).distinct(), F.col("h") == F.col("gone"), "left_anti")
+    return some.select("row.*").unionByName(held.where("NOT may").select("row.*"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import WORD_PATTERN, ascii_lower
+from millrace.session import checkpoint_dir
 
 WINDOW = 10
 #: Windows up to which the set is broadcast (some 100 MB with their words); beyond, the join shuffles.
@@ -115,14 +116,14 @@ def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame
 
 
 def clean_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents, with their columns, in which no window of the benchmark occurs.
-
-    The anti join is by a hash of id and text; documents with hits are few, and no text is shuffled for them.
-    """
+    """The documents, with their columns, in which no window of the benchmark occurs: an anti join by a 128-bit hash of id
+    and text. DataFrame functions only. Hit keys are broadcast where a count proves them few; else the join shuffles."""
     text, name = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))
+    checkpoint_dir(docs.sparkSession)
     k1, k2 = F.xxhash64(name, text), F.xxhash64(text, F.lit(1), name)
     hits = find_hits(docs.select("text", k1.alias("k1"), k2.alias("k2")), bench, ["k1", "k2"], window)
-    bad = hits.select(F.struct(F.col("k1"), F.col("k2")).alias("bad")).distinct()
+    bad = hits.select(F.struct(F.col("k1"), F.col("k2")).alias("bad")).distinct().checkpoint()
+    bad = F.broadcast(bad) if bad.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else bad
     return docs.join(bad, F.struct(k1.alias("k1"), k2.alias("k2")) == F.col("bad"), "left_anti")
 
 

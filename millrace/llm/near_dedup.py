@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import bloom
 from millrace.llm.bpe import Recent
 from millrace.llm.common import slices, space_words
 from millrace.llm.graph import components
@@ -111,6 +112,8 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node and set (sorted hashes) of the wanted nodes (doc_id, th, node: one document of each)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    keys = wanted.select(F.xxhash64("doc_id", "th").alias("h"))
+    rows = rows.where(bloom.may_hold(keys, "h", F.xxhash64("doc_id", "th")))
     texts = rows.join(wanted, ["doc_id", "th"]).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,5 +230,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat an id and text stay or go together.
     """
-    gone = cluster(docs, words, percent).where(~F.col("kept")).select(F.col("doc_id").alias("gone"), "th").distinct()
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone")) & (F.xxhash64("text") == gone.th), "left_anti")
+    gone = cluster(docs, words, percent).where(~F.col("kept")).select(F.xxhash64("doc_id", "th").alias("gone")).checkpoint()
+    return bloom.without(docs, gone, "gone", F.xxhash64(F.col("doc_id").cast("long"), F.xxhash64("text")))
