@@ -141,3 +141,38 @@ def user_choice(units: DataFrame, choices: list[tuple[str, DataFrame, str]]) ->
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def mod_coverage(entries: DataFrame, mods: DataFrame) -> DataFrame:
+    """modid, state and source: full with its first entry's source if the mod has any, else none."""
+    first = entries.groupBy("modid").agg(F.min(F.struct("ord", "source"))["source"].alias("source"))
+    state = F.when(F.col("source").isNotNull(), "full").otherwise("none")
+    return mods.select("modid").distinct().join(first, "modid", "left").select("modid", state.alias("state"), "source")
+
+
+def newest_report(reports: DataFrame, keys: list[str], usable: Column | None = None) -> DataFrame:
+    """The newest report of each key. With ``usable`` only such reports count; without, an empty newer one hides older ones."""
+    return first_by(reports.where(usable) if usable is not None else reports, keys, F.desc("mtime"), F.desc("path"))
+
+
+def allowed_fragments(units: DataFrame, allow: DataFrame, keys: list[str], file: str) -> DataFrame:
+    """Units with an allow-list row of the same keys and source whose whole passage stands in the unit's file."""
+    held = units.groupBy(file).agg(F.collect_set("locator").alias("__have"))
+    met = units.join(allow.withColumnRenamed("source", "__source"), keys).where(F.col("source") == F.col("__source")).join(held, file)
+    return met.where(F.size(F.array_except("passage", "__have")) == 0).select(*units.columns)
+
+
+def member_sets(members: DataFrame, stored: DataFrame) -> DataFrame:
+    """group, chain, state: kept if the group's members are just the stored ones and so in all groups of its chain."""
+    now = members.groupBy("group").agg(F.array_sort(F.collect_set("member")).alias("__now"))
+    same = stored.join(now, "group", "left").withColumn("__ok", F.coalesce(F.array_sort("stored") == F.col("__now"), F.lit(False)))
+    chain = same.groupBy("chain").agg(F.bool_and("__ok").alias("__all"))
+    state = F.when(F.col("__all"), "kept").otherwise("rolled_back")
+    return same.join(chain, "chain").select("group", "chain", state.alias("state"))
+
+
+def new_glyphs(source: Column, target: Column, glyphs: list[str]) -> Column:
+    """Overridden characters that the target has and the source has not, sorted."""
+    chars = lambda c: F.split(c, "")
+    known = F.array(*map(F.lit, glyphs))
+    return F.array_sort(F.array_except(F.array_intersect(chars(target), known), chars(source)))

@@ -303,3 +303,56 @@ def record_concat(spark, d):
         e.where("event_type = 'error'").select(F.lit("warning").alias("kind"), F.col("props").alias("message")),
     ])
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.count("seq").alias("with_seq"), F.count("message").alias("with_message"))
+
+
+@query(
+    """SELECT m.modid, CASE WHEN source IS NOT NULL THEN 'full' ELSE 'none' END AS state, source FROM (SELECT DISTINCT p_type AS modid FROM part) m
+    LEFT JOIN (SELECT p_type AS modid, arg_min(p_brand, p_partkey) AS source FROM part WHERE p_size < 5 GROUP BY 1) USING (modid)"""
+)
+def mod_coverage(spark, d):
+    p = read(spark, d, "part").withColumnRenamed("p_type", "modid")
+    entries = p.where("p_size < 5").select("modid", F.col("p_partkey").alias("ord"), F.col("p_brand").alias("source"))
+    return L.mod_coverage(entries, p)
+
+
+@query(
+    """SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey FROM orders WHERE o_totalprice > 1000 GROUP BY 1""".replace(
+        "(o_orderdate, o_orderkey)", "row(o_orderdate, o_orderkey)"
+    )
+)
+def newest_report(spark, d):
+    r = read(spark, d, "orders").withColumn("mtime", F.col("o_orderdate")).withColumn("path", F.col("o_orderkey"))
+    return L.newest_report(r, ["o_custkey"], F.col("o_totalprice") > 1000).select("o_custkey", "o_orderkey")
+
+
+@query(
+    """WITH h AS (SELECT source, list(DISTINCT doc_id) AS have FROM documents GROUP BY 1)
+    SELECT doc_id FROM documents JOIN h USING (source) WHERE doc_id % 2 = 0 AND lang <> 'de' AND list_has_all(have, [doc_id, doc_id + 20])"""
+)
+def fragment_allowlist(spark, d):
+    u = read(spark, d, "documents").select("doc_id", F.col("source").alias("file"), F.col("doc_id").alias("locator"), F.col("lang").alias("source"))
+    allow = u.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("source") != "de", F.col("source")).alias("source"), F.array(F.col("doc_id"), F.col("doc_id") + 20).alias("passage"))
+    return L.allowed_fragments(u, allow, ["doc_id"], "file").select("doc_id")
+
+
+@query(
+    """WITH g AS (SELECT l_orderkey AS grp, l_orderkey % 50 AS chain, list_sort(list(DISTINCT l_linenumber)) AS now,
+      list_sort(list(DISTINCT l_linenumber)) = range(1, 4) OR l_orderkey % 3 > 0 AS ok FROM lineitem GROUP BY 1)
+    SELECT grp AS "group", chain, CASE WHEN bool_and(ok) OVER (PARTITION BY chain) THEN 'kept' ELSE 'rolled_back' END AS state FROM g"""
+)
+def member_sets(spark, d):
+    li = read(spark, d, "lineitem").select(F.col("l_orderkey").alias("group"), F.col("l_linenumber").alias("member"))
+    own = F.array_sort(F.collect_set("member"))
+    stored = li.groupBy("group").agg(own.alias("own")).select(
+        "group", (F.col("group") % 50).alias("chain"), F.when(F.col("group") % 3 > 0, F.col("own")).otherwise(F.expr("sequence(1, 3)")).alias("stored")
+    )
+    return L.member_sets(li, stored)
+
+
+@query(
+    """SELECT doc_id, array_to_string(list_sort(list_filter(['ß', 'é', 'ñ', 'ü'], lambda c: contains(text, c) AND NOT contains(source || lang || left(text, 40), c))), '') AS glyphs FROM documents"""
+)
+def glyph_membership(spark, d):
+    docs = read(spark, d, "documents")
+    before = F.concat("source", "lang", F.left("text", F.lit(40)))
+    return docs.select("doc_id", F.array_join(L.new_glyphs(before, F.col("text"), ["ß", "é", "ñ", "ü"]), "").alias("glyphs"))
