@@ -156,3 +156,15 @@ def test_order_of_rows_does_not_matter(spark):
     units = spark.createDataFrame([(1, "A Red Stone lamp"), (2, "gold stone")], "unit int, text string")
     got = L.term_containment(units, terms).collect()
     assert [(r.unit, r.source, r["rank"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, "stone", 1), (1, "red stone", 2)]
+
+
+def test_json_documents(spark):
+    from millrace.sources import documents
+
+    body = json.dumps({"title": "A long day", "icon": {"name": "minecraft:stone"}, "pages": ["one two"], "description": ["x y", {"score": {"text": "no no"}}], "a/b": 1})
+    units, filtered = documents.units(files(spark, [("q/x.json", body), ("q/bad.json", "{"), ("q/y.txt", "{}")]))
+    assert [(r.locator, r.source_text) for r in units.orderBy("seq").collect()] == [("/title", "A long day"), ("/description/0", "x y")]
+    assert {r.locator: r.reason for r in filtered.collect()}["/description/1/score/text"] == "below a mechanism object"
+    assert documents.lookup({"a/b": [1, {"~": 2}]}, "/a~1b/1/~0") == 2
+    with pytest.raises(KeyError):
+        documents.lookup({"a": "x"}, "/a/0")
