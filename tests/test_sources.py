@@ -168,3 +168,18 @@ def test_json_documents(spark):
     assert documents.lookup({"a/b": [1, {"~": 2}]}, "/a~1b/1/~0") == 2
     with pytest.raises(KeyError):
         documents.lookup({"a": "x"}, "/a/0")
+
+
+def test_cli(spark, tmp_path, capsys):
+    from millrace import cli
+
+    pack = tmp_path / "pack/assets/m/lang"
+    pack.mkdir(parents=True)
+    (pack / "en_us.json").write_text('{"title.a":"Hello there","b":"x y"}')
+    (tmp_path / "pack/q.json").write_text('{"text":"More words","id":"no no"}')
+    assert cli.main(["scan", str(tmp_path / "pack")], spark) == 0
+    got = json.loads(capsys.readouterr().out)
+    assert (got["units"], got["high_risk"], got["files"]) == (3, 1, ["assets/m/lang/en_us.json", "q.json"])
+    (tmp_path / "g.json").write_text('[{"source":"a","target":"b"}]')
+    cli.main(["glossary", str(tmp_path / "g.json"), str(tmp_path / "g")], spark)
+    assert spark.read.parquet(str(tmp_path / "g")).first().priority == 100
