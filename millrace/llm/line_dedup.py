@@ -61,20 +61,24 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    """doc_id, th, line (from 0), leaf and template (hashes) of every line with enough tokens."""
+    """doc_id, th, line (from 0), leaf and template (hashes) of every line with enough tokens; ``first`` where the row's text
+    has the template for the first time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             done = 0
             for part in slices(b.column("text").to_pylist()):
-                of, line, leaf, template = [], [], [], []
+                of, line, leaf, template, first = [], [], [], [], []
                 for k, text in enumerate(part):
+                    own: set[tuple[int, int]] = set()
                     for j, x in enumerate(text.split("\n") if text else ()):
                         if (found := line_keys(x)) is not None:
                             of.append(done + k)
                             line.append(j)
                             leaf.append(found[1])
                             template.append(found[2])
+                            first.append(found[1:] not in own)
+                            own.add(found[1:])
                 done += len(part)
                 take = pa.array(of, pa.int64())
                 yield pa.RecordBatch.from_arrays(
@@ -84,11 +88,12 @@ def parsed(rows: DataFrame) -> DataFrame:
                         pa.array(line, pa.int32()),
                         pa.array(leaf, pa.int64()),
                         pa.array(template, pa.int64()),
+                        pa.array(first, pa.bool_()),
                     ],
-                    names=["doc_id", "th", "line", "leaf", "template"],
+                    names=["doc_id", "th", "line", "leaf", "template", "first"],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, th long, line int, leaf long, template long")
+    return rows.mapInArrow(run, "doc_id long, th long, line int, leaf long, template long, first boolean")
 
 
 def tokens_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,14 +147,19 @@ def repeated_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     rows = keyed(docs)
     lines = parsed(rows).checkpoint()
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "th", "line")
-    in_doc = lines.groupBy("leaf", "template", "doc_id", "th").agg(F.min("line").alias("line"))
-    equal = in_doc.groupBy("leaf", "template").agg(F.count("*").alias("docs"))
+    # Counted by rows, in which a repeated row is no document of its own: never fewer than the documents, which are
+    # counted below for the few templates that matter. So each task passes on one row a template.
+    equal = lines.where("first").groupBy("leaf", "template").agg(F.count("*").alias("docs"))
     mixed = equal.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("all"))
     mixed = mixed.where((F.col("kinds") > 1) & (F.col("all") >= documents)).select("leaf")
-    shared = general(tokens_of(rows, equal.join(mixed, "leaf").select("leaf", "template", "docs"))).withColumn("final", F.col("leaf"))
+    wanted = equal.join(mixed, "leaf").select("leaf", "template", "docs").checkpoint()
+    shared = general(tokens_of(rows, wanted)).withColumn("final", F.col("leaf"))
     alone = equal.where(F.col("docs") >= documents).select("leaf", "template")
     alone = alone.join(shared, ["leaf", "template"], "left_anti").withColumn("final", F.col("template"))
-    met = lines.join(shared.unionByName(alone), ["leaf", "template"]).select("doc_id", "th", "line", "final")
+    finals = shared.unionByName(alone).checkpoint()
+    mark = F.col("leaf").bitwiseXOR(F.col("template"))
+    near = lines.where(bloom.may_hold(finals.select(mark.alias("h")), "h", mark))
+    met = near.join(finals, ["leaf", "template"]).select("doc_id", "th", "line", "final").checkpoint()
     per_doc = met.groupBy("final", "doc_id", "th").agg(F.min("line").alias("line"))
     recurring = per_doc.groupBy("final").agg(F.count("*").alias("docs"), F.min(place).alias("first"))
     recurring = recurring.where(F.col("docs") >= documents).select("final", "first")
