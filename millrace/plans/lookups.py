@@ -240,13 +240,13 @@ def entity_names(spark, d):
 @query(
     f"""WITH {REFS}, p AS (SELECT value, count(DISTINCT object_key) FILTER (kind = 'display') AS nd, count(DISTINCT object_key) FILTER (kind = 'match') AS nm,
       min(object_key) FILTER (kind = 'display') AS d1, min(object_key) FILTER (kind = 'match') AS m1 FROM refs WHERE object_key < 20 GROUP BY value)
-    SELECT s_suppkey, CASE WHEN nd = 1 THEN d1 WHEN nd = 0 AND nm = 1 THEN m1 END AS object_key,
+    SELECT s_suppkey, coalesce(CASE WHEN nd = 1 THEN d1 WHEN nd = 0 AND nm = 1 THEN m1 END, -1) AS object_key,
       CASE WHEN nd > 1 THEN 'ambiguous' WHEN nd = 1 OR (nd = 0 AND nm = 1) THEN 'bound' ELSE 'free' END AS status
     FROM supplier LEFT JOIN p ON value = 's' || s_suppkey"""
 )
 def reference_binding(spark, d):
     u = read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("value"))
-    return R.bind(u, refs(spark, d).where("object_key < 20"), "value").select("s_suppkey", "object_key", "status")
+    return R.bind(u, refs(spark, d).where("object_key < 20"), "value").select("s_suppkey", F.coalesce("object_key", F.lit(-1)).alias("object_key"), "status")
 
 
 OPS = """CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'use' END"""
