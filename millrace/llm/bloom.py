@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a filter: 16 MB, whatever the number of keys. Beyond some 20 million keys it lets more through, never less.
-BITS = 1 << 27
+#: Bits of a filter: 4 MB, whatever the number of keys. Beyond some 5 million keys it lets more through, never less.
+BITS = 1 << 25
 
 
 def build(keys: DataFrame, key: str) -> np.ndarray:
