@@ -10,8 +10,10 @@ later bytes stay within the token. So all that the corpus says is in two tables,
 and the first bytes) and each word occurs, and a text's code length is the sum of its heads' and of its words' rests:
 each distinct one is coded once.
 
-Contexts seen less than once in CONTEXTS training bytes fall to their parents' estimates: so the tree that is sent to
-the executors has at most CONTEXTS contexts of each depth, whatever the corpus, while all counts are taken over all of it.
+Every context that training texts hold is kept, so the tree grows with the corpus and stays a table. Each coded byte has
+a context of NEAR bytes at least: the subtree of the contexts that share their nearest NEAR bytes lies in one partition,
+beside the heads and words that are coded with it. Only what the subtrees sum up to for the last two bytes goes to the
+driver and back: the number of pairs of bytes bounds it, not the corpus.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,12 +31,12 @@ from millrace.llm.common import fold, slices, space_words
 from millrace.session import checkpoint_dir
 
 DEPTH = 6
-CONTEXTS = 1 << 18
+#: Nearest bytes of a context that say where its subtree lies.
+NEAR = 3
 #: Bytes of a token whose contexts reach into the token before.
 HEAD = 4
-#: Words that are looked up beside the text; the others meet their counts by a join.
-FREQUENT = 100_000
-
+#: Words and heads that are looked up beside the text; the others meet their counts by a join.
+FREQUENT, FREQUENT_HEADS = 100_000, 500_000
 
 EIGHT = np.uint64(8)
 
@@ -102,21 +105,17 @@ def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[first], *(np.add.reduceat(w[order], first) if len(first) else w for w in weights)
 
 
-def context_counts(at: Places, counts: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each depth: keys (context << 8 | byte), and how often the byte followed the context. ``counts``: of the items."""
+def context_counts(at: Places, counts: np.ndarray, least: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each depth from ``least``: keys (context << 8 | byte), and how often the byte followed the context. ``counts``:
+    of the items."""
     weight = counts[at.item]
     out = []
-    for d in range(DEPTH + 1):
+    for d in range(least, DEPTH + 1):
         there = at.deep >= d
         out.append(summed(at.code(d)[there] << EIGHT | at.byte[there], weight[there]))
     return out
 
 
-def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - np.log(np.pi)
-
-
 def lgamma(x: np.ndarray) -> np.ndarray:
     """log(gamma(x)) for x > 0 by Stirling's series, after raising x by 8."""
     shift = np.zeros_like(x)
@@ -126,71 +125,96 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
+#: lgamma(n + 1/2) and lgamma(n + 1) for small n.
+HALVES, WHOLES = (lgamma(np.arange(4096) + x) for x in (0.5, 1.0))
+
+
+def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the Krichevsky-Trofimov probability of a zeros and b ones."""
+    out = np.empty(len(a))
+    few = a + b < len(WHOLES)
+    i, j = a[few].astype(np.int64), b[few].astype(np.int64)
+    out[few] = HALVES[i] + HALVES[j] - WHOLES[i + j]
+    x, y = a[~few], b[~few]
+    out[~few] = lgamma(x + 0.5) + lgamma(y + 0.5) - lgamma(x + y + 1)
+    return out - np.log(np.pi)
+
+
+def decisions(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From keys (context << 8 | byte) and their counts: nodes (context << 8 | decision), and how often each was 0 and 1."""
+    context, byte = keys >> EIGHT, keys & np.uint64(255)
+    parts, zeros, ones = [], [], []
+    for k in range(8):
+        bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
+        parts.append(context << EIGHT | np.uint64(1 << k) | byte >> np.uint64(8 - k))
+        zeros.append(np.where(bit == 0, n, 0).astype(np.float64))
+        ones.append(np.where(bit == 1, n, 0).astype(np.float64))
+    return summed(np.concatenate(parts), np.concatenate(zeros), np.concatenate(ones))
+
+
+def shorter(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The nodes of ``depth`` above nodes."""
+    return (keys >> EIGHT & np.uint64((1 << (8 * depth)) - 1)) << EIGHT | keys & np.uint64(255)
+
+
 class Tree:
-    """Per depth: sorted node keys (context << 8 | decision) and the probability that the decision is 1 when the node is
-    the deepest known of its path."""
+    """Per depth from ``least``: sorted node keys (context << 8 | decision), the logarithm of their weighted probability and,
+    once ``spread``, the probability that the decision is 1 when the node is the deepest known of its path.
+
+    ``below``: of the deepest nodes, the sum of their children's logarithms, where the children are kept elsewhere.
+    """
 
-    def __init__(self, keys: list[np.ndarray], ones: list[np.ndarray]):
-        self.keys, self.ones = keys, ones
+    def __init__(self, nodes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], least: int = 0, below: np.ndarray | None = None):
+        self.least, self.keys, self.roots = least, [k for k, _, _ in nodes], nodes[0]
+        n = len(nodes)
+        self.weighted: list[np.ndarray] = [np.zeros(0)] * n
+        self.kt = [(b + 0.5) / (a + b + 1) for _, a, b in nodes]
+        self.stop: list[np.ndarray] = [np.zeros(0)] * n  # weight of the node's own estimate
+        self.other: list[np.ndarray] = [np.zeros(0)] * n  # estimate of what no known child holds
+        self.parent: list[np.ndarray] = [np.zeros(0, np.int64)] * n
+        for i in range(n - 1, -1, -1):
+            keys, a, b = nodes[i]
+            own = log_kt(a, b)
+            under, ra, rb, has = np.zeros(len(keys)), a, b, np.zeros(len(keys), bool)
+            if i < n - 1 and len(nodes[i + 1][0]):
+                up, ca, cb = nodes[i + 1]
+                p = self.parent[i + 1] = np.searchsorted(keys, shorter(up, least + i))
+                count = lambda w, p=p, m=len(keys): np.bincount(p, weights=w, minlength=m)
+                under, ra, rb = count(self.weighted[i + 1]), a - count(ca), b - count(cb)
+                has[p] = True
+            elif i == n - 1 and below is not None:
+                under, ra, rb, has = below, np.zeros(len(keys)), np.zeros(len(keys)), np.ones(len(keys), bool)
+            under = under + np.where(ra + rb > 0, log_kt(np.maximum(ra, 0), np.maximum(rb, 0)), 0.0)
+            self.weighted[i] = np.where(has, np.logaddexp(own, under) + np.log(0.5), own)
+            self.stop[i] = np.where(has, 1 / (1 + np.exp(np.clip(under - own, -700, 700))), 1.0)
+            self.other[i] = np.where(ra + rb > 0, (rb + 0.5) / (ra + rb + 1), self.kt[i])
+
+    def spread(self, done: np.ndarray | None = None, left: np.ndarray | None = None) -> Tree:
+        """Sets ``ones``. ``done`` and ``left``: what the nodes above those of depth ``least`` make of the probability, and
+        what they leave to them."""
+        self.ones = []
+        for i, keys in enumerate(self.keys):
+            if i:
+                before, rest = self.done[self.parent[i]], self.left[self.parent[i]]
+            else:
+                before = np.zeros(len(keys)) if done is None else done
+                rest = np.ones(len(keys)) if left is None else left
+            self.done = before + rest * self.stop[i] * self.kt[i]
+            self.left = rest * (1 - self.stop[i])
+            self.ones.append(self.done + self.left * self.other[i])
+        return self
 
     @classmethod
     def fit(cls, levels: list[tuple[np.ndarray, np.ndarray]]) -> Tree:
-        """levels: as from ``context_counts``, of the kept contexts."""
-        nodes = []
-        for keys, n in levels:
-            context, byte = keys >> np.uint64(8), keys & np.uint64(255)
-            parts, zeros, ones = [], [], []
-            for k in range(8):
-                decision = np.uint64(1 << k) | byte >> np.uint64(8 - k)
-                bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-                parts.append(context << np.uint64(8) | decision)
-                zeros.append(np.where(bit == 0, n, 0).astype(np.float64))
-                ones.append(np.where(bit == 1, n, 0).astype(np.float64))
-            if len(keys):
-                nodes.append(summed(np.concatenate(parts), np.concatenate(zeros), np.concatenate(ones)))
-            else:
-                nodes.append((np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)))
-        depth = len(nodes) - 1
-        weighted: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-        stop: list[np.ndarray] = [np.zeros(0)] * (depth + 1)  # weight of the node's own estimate
-        other: list[np.ndarray] = [np.zeros(0)] * (depth + 1)  # estimate of what no kept child holds
-        parent: list[np.ndarray] = [np.zeros(0, np.int64)] * (depth + 1)
-        for d in range(depth, -1, -1):
-            keys, a, b = nodes[d]
-            own = log_kt(a, b)
-            kt = (b + 0.5) / (a + b + 1)
-            below = np.zeros_like(own)
-            ra, rb, has = a.copy(), b.copy(), np.zeros(len(keys), bool)
-            if d < depth and len(nodes[d + 1][0]):
-                up, ca, cb = nodes[d + 1]
-                shorter = up >> EIGHT & np.uint64((1 << (8 * d)) - 1)
-                p = np.searchsorted(keys, shorter << EIGHT | up & np.uint64(255))
-                parent[d + 1] = p
-                np.add.at(below, p, weighted[d + 1])
-                np.subtract.at(ra, p, ca)
-                np.subtract.at(rb, p, cb)
-                has[p] = True
-            below += np.where(ra + rb > 0, log_kt(np.maximum(ra, 0), np.maximum(rb, 0)), 0.0)
-            weighted[d] = np.where(has, np.logaddexp(own, below) + np.log(0.5), own)
-            stop[d] = np.where(has, 1 / (1 + np.exp(np.clip(below - own, -700, 700))), 1.0)
-            other[d] = np.where(ra + rb > 0, (rb + 0.5) / (ra + rb + 1), kt)
-        ends, done, left = [], np.zeros(0), np.zeros(0)
-        for d in range(depth + 1):
-            keys, a, b = nodes[d]
-            kt = (b + 0.5) / (a + b + 1)
-            before = done[parent[d]] if d else np.zeros(len(keys))
-            rest = left[parent[d]] if d else np.ones(len(keys))
-            done = before + rest * stop[d] * kt
-            left = rest * (1 - stop[d])
-            ends.append((done + left * other[d]).astype(np.float64))
-        return cls([k for k, _, _ in nodes], ends)
-
-    def log10(self, at: Places, items: int) -> np.ndarray:
-        """log10 probability of the coded bytes of each item."""
+        """levels: as from ``context_counts``."""
+        return cls([decisions(*x) for x in levels]).spread()
+
+    def log10(self, at: Places, items: int, above: Tree | None = None) -> np.ndarray:
+        """log10 probability of the coded bytes of each item. ``above``: the tree of the depths before ``least``."""
         sign = at.deep.astype(np.uint64) << np.uint64(61) | at.full << EIGHT | at.byte
         _, first, back = np.unique(sign, return_index=True, return_inverse=True)
         byte, deep = at.byte[first], at.deep[first]
-        codes = [at.code(d)[first] << EIGHT for d in range(DEPTH + 1)]
+        levels = [x for t in (above, self) if t is not None for x in zip(t.keys, t.ones, strict=True)]
         out = np.zeros(len(first))
         for k in range(8):
             decision = np.uint64(1 << k) | byte >> np.uint64(8 - k)
@@ -198,12 +222,13 @@ class Tree:
             one = np.full(len(first), 0.5)
             unmet = np.ones(len(first), bool)
             for d in range(DEPTH, -1, -1):
+                keys, ones = levels[d]
                 here = np.flatnonzero(unmet & (deep >= d))
-                if len(here) and len(self.keys[d]):
-                    key = codes[d][here] | decision[here]
-                    place = np.minimum(np.searchsorted(self.keys[d], key), len(self.keys[d]) - 1)
-                    met = self.keys[d][place] == key
-                    one[here[met]] = self.ones[d][place[met]]
+                if len(here) and len(keys):
+                    key = at.code(d)[first[here]] << EIGHT | decision[here]
+                    place = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                    met = keys[place] == key
+                    one[here[met]] = ones[place[met]]
                     unmet[here[met]] = False
             out += np.log10(np.where(bit == 1, one, 1 - one))
         return np.bincount(at.item, weights=out[back], minlength=items).astype(np.float64)
@@ -216,7 +241,7 @@ COUNTS = "kind int, word string, head long, n long"
 
 def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From (text, train): kind 0, a word (END for the ends) and how often training texts hold it, 0 for words of other
-    texts; kind 1, a head and how often training texts hold it."""
+    texts; kind 1, a head, the same."""
 
     def flush(words: Counter, heads: tuple) -> Iterator[pa.RecordBatch]:
         names = ["kind", "word", "head", "n"]
@@ -247,8 +272,10 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words.update(w)
             if learned:
                 words[b""] += len(learned)
-                h, n = np.unique(text_heads(learned)[1], return_counts=True)
-                heads = summed(np.concatenate([heads[0], h]), np.concatenate([heads[1], n]))
+            for texts, counted in ((learned, 1), (other, 0)):
+                if texts:
+                    h, n = np.unique(text_heads(texts)[1], return_counts=True)
+                    heads = summed(np.concatenate([heads[0], h]), np.concatenate([heads[1], n * counted]))
             for w in other:
                 for x in w:
                     if x not in words:
@@ -259,48 +286,90 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(words, heads)
 
 
-def count_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (word, head, n): depth, key (context << 8 | byte, as a signed number) and n, summed within the task."""
-    levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(DEPTH + 1)]
+PLACES = "near int, far long, n long, id long"
+#: Places that a task codes at once, if no NEAR bytes have more.
+CODED = 1 << 19
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        for d, (keys, n) in enumerate(levels):
-            if len(keys):
-                depth = pa.array(np.full(len(keys), d, np.int32))
-                yield pa.RecordBatch.from_arrays([depth, pa.array(keys.view(np.int64)), pa.array(n)], ["depth", "key", "n"])
 
+def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (word, head, n, id): the places at which items are coded, with n and id. ``near``: the nearest NEAR bytes of the
+    context; ``far``: its depth, its other bytes and the coded byte."""
     for batch in batches:
-        n = batch.column("n").to_numpy()
+        n, ids = batch.column("n").to_numpy(), batch.column("id").to_numpy()
         head = batch.column("head")
         is_head = head.is_valid().to_numpy(zero_copy_only=False)
         words = [w.encode() for w in batch.column("word").drop_null().to_pylist()]
         heads = head.drop_null().to_numpy().astype(np.uint64)
-        for at, c in ((head_places(heads), n[is_head]), (rest_places(words), n[~is_head])):
-            if len(c):
-                for d, (keys, m) in enumerate(context_counts(at, c)):
-                    old = levels[d]
-                    levels[d] = summed(np.concatenate([old[0], keys]), np.concatenate([old[1], m]))
-        if sum(len(k) for k, _ in levels) > 8 * KEPT:
-            yield from flush()
-            levels = [(np.zeros(0, np.uint64), np.zeros(0, np.int64)) for _ in range(DEPTH + 1)]
-    yield from flush()
-
-
-def fit_tree(counts: DataFrame) -> Tree:
-    """The tree from the counts of words and heads. What is collected is bounded by CONTEXTS and DEPTH."""
-    events = counts.where("n > 0").select("word", "head", "n").mapInArrow(count_contexts, "depth int, key long, n long")
-    sums = events.groupBy("depth", "key").agg(F.sum("n").alias("n"))
-    grouped = sums.groupBy("depth", F.shiftrightunsigned("key", 8).alias("context")).agg(
-        F.sum("n").alias("total"), F.collect_list(F.struct("key", "n")).alias("each")  # at most 256 bytes follow
-    )
-    coded = sum(r.bytes for r in events.where("depth = 0").agg(F.sum("n").alias("bytes")).collect() if r.bytes)
-    kept = grouped.where(F.col("total") >= max(1, coded / CONTEXTS)).select("depth", F.explode("each").alias("x"))
-    got = kept.select("depth", "x.key", "x.n").toArrow()
-    depth, key, n = (got.column(c).to_numpy() for c in ("depth", "key", "n"))
-    levels = []
-    for d in range(DEPTH + 1):
-        levels.append(summed(key[depth == d].astype(np.int64).view(np.uint64), n[depth == d].astype(np.int64)))
-    return Tree.fit(levels)
+        for items, at in ((is_head, head_places(heads)), (~is_head, rest_places(words))):
+            near = at.code(NEAR).astype(np.int32)
+            far = at.deep.astype(np.uint64) << np.uint64(32) | at.full >> np.uint64(8 * NEAR) << EIGHT | at.byte
+            columns = [near, far.astype(np.int64), n[items][at.item], ids[items][at.item]]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["near", "far", "n", "id"])
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """near, far, n and id of sorted rows, about CODED at a time; rows of one ``near`` are never parted."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+        if sum(len(x[0]) for x in held) > CODED and held[0][0][0] != held[-1][0][-1]:
+            joined = tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            cut = np.searchsorted(joined[0], joined[0][-1])
+            yield tuple(x[:cut] for x in joined)
+            held = [tuple(x[cut:] for x in joined)]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+def subtree(near: np.ndarray, far: np.ndarray, n: np.ndarray) -> tuple[Tree, Places, np.ndarray]:
+    """The tree from depth NEAR, its distinct places, and for each row the number of its place. Rows are sorted."""
+    new = np.concatenate([[True], (near[1:] != near[:-1]) | (far[1:] != far[:-1])])
+    first, back = np.flatnonzero(new), np.cumsum(new) - 1
+    n, near, far = np.add.reduceat(n, first), near[first].astype(np.uint64), far[first].astype(np.uint64)
+    full = (far >> EIGHT & np.uint64((1 << 24) - 1)) << np.uint64(8 * NEAR) | near
+    at = Places(np.arange(len(first)), far & np.uint64(255), full, (far >> np.uint64(32)).astype(np.int64))
+    known = Places(*(x[n > 0] for x in (at.item, at.byte, at.full, at.deep)))
+    return Tree([decisions(*x) for x in context_counts(known, n, NEAR)], NEAR), at, back
+
+
+def subtree_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key (a node of depth NEAR - 1), and of its children how often they were 0 and 1, and their weighted logarithms' sum."""
+    for near, far, n, _ in whole_groups(batches):
+        at = subtree(near, far, n)[0]
+        keys, zeros, ones = at.roots
+        got = summed(shorter(keys, NEAR - 1), zeros, ones, at.weighted[0])
+        yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), *map(pa.array, got[1:])], ["key", "zeros", "ones", "below"])
+
+
+def top_tree(places: DataFrame) -> Tree:
+    """The tree before depth NEAR. Its nodes are as many as pairs of bytes and their decisions, whatever the corpus."""
+    sums = places.mapInArrow(subtree_sums, "key long, zeros double, ones double, below double").groupBy("key")
+    got = sums.agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below"))).orderBy("key").toArrow()
+    key, zeros, ones, below = (c.to_numpy() for c in got.columns)
+    nodes = [(key.astype(np.uint64), zeros, ones)]
+    for d in range(NEAR - 2, -1, -1):
+        nodes.insert(0, summed(shorter(nodes[0][0], d), *nodes[0][1:]))
+    return Tree(nodes, 0, below).spread()
+
+
+def code_lengths(counts: DataFrame) -> DataFrame:
+    """id and r (log10 probability) of each row of counts that has coded bytes."""
+    spark = counts.sparkSession
+    places = counts.select("word", "head", "n", "id").mapInArrow(placed, PLACES)
+    places = places.repartition("near").sortWithinPartitions("near", "far").checkpoint()
+    top = spark.sparkContext.broadcast(top_tree(places))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above = top.value
+        for near, far, n, ids in whole_groups(batches):
+            tree, at, back = subtree(near, far, n)
+            up = np.searchsorted(above.keys[-1], shorter(tree.keys[0], NEAR - 1))
+            tree.spread(above.done[up], above.left[up])
+            ids, r = summed(ids, tree.log10(at, len(at.byte), above)[back])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(r)], ["id", "r"])
+
+    return places.mapInArrow(code, "id long, r double").groupBy("id").agg(F.sum("r").alias("r"))
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -313,49 +382,58 @@ def score(docs: DataFrame) -> DataFrame:
     checkpoint_dir(spark)
     held = fold(F.col("doc_id"), 7) == 2
     seen = docs.select("text", (~held).alias("train")).mapInArrow(count_tokens, COUNTS)
-    counts = seen.groupBy("kind", "word", "head").agg(F.sum("n").alias("n")).checkpoint()
+    counts = seen.groupBy("kind", "word", "head").agg(F.sum("n").alias("n"))
+    counts = counts.withColumn("id", F.monotonically_increasing_id()).checkpoint()
     known = counts.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     total, distinct = int(known[0]), int(known[1])
-    tree = spark.sparkContext.broadcast(fit_tree(counts))
-    floor = np.log10(total + distinct + 1)
-
-    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [w.encode() for w in b.column("word").to_pylist()]
-            n = b.column("n").to_numpy()
-            coded = tree.value.log10(rest_places(words), len(words))
-            base = np.log10(n + 1.0) - floor
-            yield pa.RecordBatch.from_arrays([b.column("word"), pa.array(n), pa.array(base), pa.array(coded)], ["word", "c", "b", "r"])
-
-    words = counts.where("kind = 0").select("word", "n").mapInArrow(rest, "word string, c long, b double, r double")
-    words = words.checkpoint()
-    top = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow().combine_chunks()
+    floor = F.log10(F.lit(total + distinct + 1.0))
+    is_word = F.col("kind") == 0
+    # A head stands under two tabs and its number, which no word can be.
+    items = counts.join(code_lengths(counts), "id", "left").select(
+        "kind",
+        "n",
+        "head",
+        F.when(is_word, F.col("word")).otherwise(F.concat(F.lit("\t\t"), F.col("head").cast("string"))).alias("word"),
+        F.when(is_word, F.col("n")).otherwise(0).alias("c"),
+        F.when(is_word, F.log10(F.col("n") + 1.0) - floor).otherwise(0.0).alias("b"),
+        F.coalesce("r", F.lit(0.0)).alias("r"),
+    )
+    items = items.checkpoint()
+    words = items.select("word", "c", "b", "r")
+    top = items.where(is_word).orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", "c", "b", "r").toArrow().combine_chunks()
+    often = items.where(~is_word).orderBy(F.desc("n"), "head").limit(FREQUENT_HEADS).select("head", "r").toArrow()
+    often = often.sort_by("head").combine_chunks()
     frequent = spark.sparkContext.broadcast(
-        ([w.encode() for w in top["word"].to_pylist()], *(top[x].to_numpy() for x in ("c", "b", "r")))
+        (
+            [w.encode() for w in top["word"].to_pylist()],
+            *(top[x].to_numpy() for x in ("c", "b", "r")),
+            *(often[x].to_numpy() for x in ("head", "r")),
+        )
     )
     row = "rid long, doc_id long, held_out boolean, word string, n long, tokens long, known long, base double, coded double"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, c, base, coded = frequent.value
+        names, c, base, coded, met, value = frequent.value
         c, base, coded = (np.append(x, 0) for x in (c, base, coded))  # the last place is of words not among them
         place = {w: k for k, w in enumerate(names)}
         none = len(names)
-        met, value = np.zeros(0, np.uint64), np.zeros(0)
+        met, value = np.append(met, -1), np.append(value, 0.0)  # the last place is of no head
         for b in batches:
             ids, text, rid = b.column("doc_id"), b.column("text").to_pylist(), b.column("rid").to_numpy()
             done = 0
             for part in slices(text):
                 split = [space_words(t or "") for t in part]
                 of, head = text_heads(split)
-                u, back = np.unique(head, return_inverse=True)
-                new = u[~np.isin(u, met, assume_unique=True)]
-                if len(new):
-                    if len(met) > KEPT:
-                        met, value, new = np.zeros(0, np.uint64), np.zeros(0), u
-                    got = tree.value.log10(head_places(new), len(new))
-                    order = np.argsort(all_ := np.concatenate([met, new]), kind="stable")
-                    met, value = all_[order], np.concatenate([value, got])[order]
-                heads = np.bincount(of, weights=value[np.searchsorted(met, u)][back], minlength=len(part))
+                head = head.astype(np.int64)
+                at = np.searchsorted(met[:-1], head)
+                at[met[at] != head] = len(met) - 1
+                heads = np.bincount(of, weights=value[at], minlength=len(part))
+                of, head = of[at == len(met) - 1], head[at == len(met) - 1]
+                order = np.lexsort((head, of))
+                of, head = of[order], head[order]
+                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (head[1:] != head[:-1])])[: len(of)])
+                times = np.diff(np.append(first, len(of)))
+                of, head = of[first] + done, head[first]
                 out: list[list] = [[], [], [], [], [], [], []]
                 for k, w in enumerate(split):
                     w.append(b"")
@@ -369,13 +447,17 @@ def score(docs: DataFrame) -> DataFrame:
                         for x, v in zip(out, (j, word.decode(), m, 0, 0, 0.0, 0.0), strict=True):
                             x.append(v)
                 done += len(part)
-                take = pa.array(out[0], pa.int64())
                 kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("rid").take(take), ids.take(take), b.column("held_out").take(take)]
-                    + [pa.array(v, t) for v, t in zip(out[1:], kinds, strict=True)],
-                    ["rid", "doc_id", "held_out", "word", "n", "tokens", "known", "base", "coded"],
-                )
+                zeros = np.zeros(len(of), np.int64)
+                keys = pc.binary_join_element_wise("\t\t", pa.array(head).cast(pa.string()), "")
+                rare_heads = (keys, times, zeros, zeros, zeros.astype(float), zeros.astype(float))
+                for take, columns in ((out[0], out[1:]), (of, rare_heads)):
+                    take = pa.array(take, pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [b.column("rid").take(take), ids.take(take), b.column("held_out").take(take)]
+                        + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns, kinds, strict=True)],
+                        ["rid", "doc_id", "held_out", "word", "n", "tokens", "known", "base", "coded"],
+                    )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"

@@ -245,6 +245,22 @@ def test_tree_is_a_distribution():
         assert (10 ** tree.log10(at, 256)).sum() == pytest.approx(1.0)
 
 
+def test_score_keeps_every_context(spark):
+    # so long that a bar by a share of the bytes would drop contexts seen once or twice
+    rows = [(i, prose(9000)) for i in range(14)] + [(50, "qyzx wqyzxv qyzx"), (51, "qyzx wqyzxv"), (52, None)]
+    split = {i: space_words(t or "") for i, t in rows}
+    held = {i for i in split if zlib.crc32(str(i).encode()) % 7 == 2}
+    train = [w for i, w in split.items() if i not in held]
+    heads, words = lm.head_places(lm.text_heads(train)[1]), lm.rest_places([x for w in train for x in w])
+    parts = [lm.context_counts(at, np.ones(at.item.max() + 1, np.int64)) for at in (heads, words)]
+    tree = lm.Tree.fit([lm.summed(*(np.concatenate(x) for x in zip(*d))) for d in zip(*parts)])
+    assert held and parts[0][0][1].sum() + parts[1][0][1].sum() > 2 << 18
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, w in split.items():
+        want = tree.log10(lm.head_places(lm.text_heads([w])[1]), len(w) + 1).sum() + tree.log10(lm.rest_places(w), len(w)).sum()
+        assert got[i] == pytest.approx(want)
+
+
 def test_log_kt_matches_its_product():
     for a, b in ((0, 0), (3, 0), (2, 5), (100, 1)):
         p = n0 = n1 = 0
