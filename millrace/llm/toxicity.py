@@ -3,7 +3,7 @@
 A lexicon transducer turns tokens into classes (insult, threat, target, negation, reported speech, clause and sentence
 end). Three small transducers over the classes, for negation, reported speech and targets, are composed into one
 deterministic machine whose output weighs each insult or threat by its clause: negated and reported ones count less,
-aimed ones more. A text's score joins its matched clauses: 1 minus the product of (1 - clause weight).
+aimed ones more, whether the target stands before them or after. A text's score joins its matched clauses: 1 minus the product of (1 - clause weight).
 
 The lexicon has hand-written entries, and words and word stems learned from labelled texts; learned weights replace the
 written ones where there is evidence.
@@ -73,21 +73,24 @@ def reported() -> tuple[int, dict]:
 
 
 def aimed() -> tuple[int, dict]:
-    """State: whether the clause has named a target. An insult counts 0.9 without one; a threat needs one (0.1)."""
+    """State: whether the clause has named a target. An insult counts 0.9 without one; a threat needs one (0.1), and counts
+    in full once a target follows in the clause."""
     step = {}
     for s in range(2):
         for c in range(CLASSES):
             to = 0 if c in (END, STOP) else 1 if c == TARGET else s
-            step[s, c] = (to, 1.0 if s or c not in (INSULT, THREAT) else 0.9 if c == INSULT else 0.1)
+            now = 1.0 if s or c not in (INSULT, THREAT) else 0.9 if c == INSULT else 0.1
+            step[s, c] = (to, now, 1.0 if c == THREAT else now)
     return 0, step
 
 
-def compose(*machines: tuple[int, dict]) -> tuple[list[list[int]], list[list[float]]]:
-    """The product machine: next[state][class] and weight[state][class], states numbered as they are reached."""
+def compose(*machines: tuple[int, dict]) -> tuple[list[list[int]], list[list[float]], list[list[float]]]:
+    """The product machine: next[state][class], weight[state][class] and the weight once a target follows, states numbered
+    as they are reached. A machine that gives one weight gives it for both."""
     start = tuple(m[0] for m in machines)
-    number, queue, move, weight = {start: 0}, [start], [], []
+    number, queue, move, weight, later = {start: 0}, [start], [], [], []
     for state in queue:
-        row, out = [], []
+        row, out, then = [], [], []
         for c in range(CLASSES):
             steps = [m[1][s, c] for m, s in zip(machines, state, strict=True)]
             to = tuple(x[0] for x in steps)
@@ -96,9 +99,11 @@ def compose(*machines: tuple[int, dict]) -> tuple[list[list[int]], list[list[flo
                 queue.append(to)
             row.append(number[to])
             out.append(math.prod(x[1] for x in steps))
+            then.append(math.prod(x[-1] for x in steps))
         move.append(row)
         weight.append(out)
-    return move, weight
+        later.append(then)
+    return move, weight, later
 
 
 class Grammar:
@@ -113,7 +118,7 @@ class Grammar:
         for w, p in learned.items():
             self.words[w] = (self.words.get(w, (INSULT,))[0] if w in THREATS else INSULT, p)
         self.stems = stems
-        self.move, self.weight = compose(negation(), reported(), aimed())
+        self.move, self.weight, self.later = compose(negation(), reported(), aimed())
         self.read = Recent(self.lookup, 200_000)
 
     def lookup(self, token: str) -> tuple[int, float]:
@@ -131,13 +136,16 @@ class Grammar:
         read = self.read
         if not any(read[w][0] >= THREAT for w in set(WORDS.findall(text))):
             return BASE
-        state, clause, clean = 0, 0.0, 1.0
+        state, clause, pending, clean = 0, 0.0, 0.0, 1.0
         for token in TOKENS.findall(text):
             c, p = read[token.replace("’", "'")]
             if c >= THREAT:
                 clause = max(clause, p * self.weight[state][c])
+                pending = max(pending, p * self.later[state][c])
+            elif c == TARGET:
+                clause = max(clause, pending)
             elif c in (END, STOP):
-                clean, clause = clean * (1 - clause), 0.0
+                clean, clause, pending = clean * (1 - clause), 0.0, 0.0
             state = self.move[state][c]
         return max(BASE, 1 - clean * (1 - clause))
 

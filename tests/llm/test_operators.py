@@ -345,6 +345,13 @@ def test_grammar_weighs_clauses():
     assert s(None) == s("") == toxicity.BASE
 
 
+def test_a_threat_counts_before_its_target():
+    s = toxicity.Grammar({}, {}).score
+    assert s("I will kill you") == s("you I will kill") >= 0.3 > s("I will kill time")
+    assert s("I will kill time, you know") < 0.3 and s("I will never kill you") < 0.3 and s("I will kill time. You know") < 0.3
+    assert s("she said I will kill you") < s("I will kill you")
+
+
 def brute_base(text):
     w = [x.decode() for x in alnum_words(text or "")]
     found = [(i, label) for phrase, label in licenses.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
