@@ -28,11 +28,18 @@ from millrace.llm.common import slices
 from millrace.session import checkpoint_dir
 
 #: Leading tokens on the way to a leaf; tokens a line needs to be parsed at all; documents that make a template recur.
-LEADING, LEAST_TOKENS, DOCUMENTS = 3, 4, 3
+LEADING, LEAST_TOKENS, DOCUMENTS = 3, 4, 2
 #: A position is fixed if its commonest token has this share of the leaf; a template needs this share of fixed positions.
 FIXED, SIMILAR = 0.8, 0.7
 WILD = "<*>"
+#: Documents that make a leaf's own template recur: what varies does not show in two lines.
+GENERAL = 3
 VARIES = re.compile(r"\d|://|.@.")
+#: Letters of scripts that put no spaces between words (Thai to Tibetan, Burmese, Khmer, kana, Han): each is a token, and a
+#: line with them needs LEAST_CHARACTERS tokens.
+SPACELESS = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+UNSPACED, CHARACTERS = re.compile(f"[{SPACELESS}]"), re.compile(rf"[{SPACELESS}]|[^\s{SPACELESS}]+")
+LEAST_CHARACTERS = 8
 
 
 def masked(tokens: list[str]) -> list[str]:
@@ -48,8 +55,10 @@ def _hash(tokens: list[str]) -> int:
 def line_keys(line: str) -> tuple[list[str], int, int] | None:
     """Masked tokens, leaf and template of a line; None if it has too few tokens. A leaf's hash and a template's together
     name a line's tokens by 128 bits."""
-    tokens = line.split()
-    if len(tokens) < LEAST_TOKENS:
+    tokens, least = line.split(), LEAST_TOKENS
+    if not line.isascii() and UNSPACED.search(line):
+        tokens, least = CHARACTERS.findall(line), LEAST_CHARACTERS
+    if len(tokens) < least:
         return None
     tokens = masked(tokens) if VARIES.search(line) else tokens
     return tokens, _hash([str(len(tokens)), *tokens[:LEADING]]), _hash(tokens)
@@ -151,19 +160,19 @@ def repeated_lines(docs: DataFrame, documents: int = DOCUMENTS) -> DataFrame:
     # counted below for the few templates that matter. So each task passes on one row a template.
     equal = lines.where("first").groupBy("leaf", "template").agg(F.count("*").alias("docs"))
     mixed = equal.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("docs").alias("all"))
-    mixed = mixed.where((F.col("kinds") > 1) & (F.col("all") >= documents)).select("leaf")
+    mixed = mixed.where((F.col("kinds") > 1) & (F.col("all") >= max(documents, GENERAL))).select("leaf")
     wanted = equal.join(mixed, "leaf").select("leaf", "template", "docs").checkpoint()
-    shared = general(tokens_of(rows, wanted)).withColumn("final", F.col("leaf"))
-    alone = equal.where(F.col("docs") >= documents).select("leaf", "template")
-    alone = alone.join(shared, ["leaf", "template"], "left_anti").withColumn("final", F.col("template"))
+    shared = general(tokens_of(rows, wanted)).select("*", F.col("leaf").alias("final"), F.lit(max(documents, GENERAL)).alias("least"))
+    # Also lines that share their leaf's template, which may not recur. If it does, it drops what they drop.
+    alone = equal.where(F.col("docs") >= documents).select("leaf", "template", F.col("template").alias("final"), F.lit(documents).alias("least"))
     finals = shared.unionByName(alone).checkpoint()
     mark = F.col("leaf").bitwiseXOR(F.col("template"))
     near = lines.where(bloom.may_hold(finals.select(mark.alias("h")), "h", mark))
-    met = near.join(finals, ["leaf", "template"]).select("doc_id", "th", "line", "final").checkpoint()
-    per_doc = met.groupBy("final", "doc_id", "th").agg(F.min("line").alias("line"))
-    recurring = per_doc.groupBy("final").agg(F.count("*").alias("docs"), F.min(place).alias("first"))
-    recurring = recurring.where(F.col("docs") >= documents).select("final", "first")
-    extra = met.join(recurring, "final").where(
+    met = near.join(finals, ["leaf", "template"]).select("doc_id", "th", "line", "final", "least").checkpoint()
+    per_doc = met.groupBy("final", "least", "doc_id", "th").agg(F.min("line").alias("line"))
+    recurring = per_doc.groupBy("final", "least").agg(F.count("*").alias("docs"), F.min(place).alias("first"))
+    recurring = recurring.where(F.col("docs") >= F.col("least")).select("final", "least", "first")
+    extra = met.join(recurring, ["final", "least"]).where(
         ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")) & (F.col("line") == F.col("first.line")))
     )
     return extra.groupBy("doc_id", "th").agg(F.collect_set("line").alias("lines"))

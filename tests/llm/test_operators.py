@@ -93,6 +93,15 @@ def test_lines_with_variable_fields(spark):
     assert [got[i].n_dropped for i in (10, 11, 12)] == [0, 1, 1]
 
 
+def test_lines_of_two_documents_and_of_scripts_without_spaces(spark):
+    long, han, thai = prose(60), "本网站的所有内容均受版权保护未经许可不得转载", "สงวนลิขสิทธิ์ตามกฎหมายห้ามคัดลอก"
+    shared = f"{long}\n{han}\n{thai}\n目录"
+    rows = [(1, f"{shared}\n{prose(9)}"), (2, f"{prose(9)}\n{shared}"), (3, "本网站的内容由读者提供如有错误请来信告知我们")]
+    got = {r.doc_id: r for r in line_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].n_dropped for i in (1, 2, 3)] == [0, 3, 0]
+    assert got[2].text == rows[1][1].split("\n")[0] + "\n目录" and got[1].text == rows[0][1]
+
+
 # ---- 2
 
 
