@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import string
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.session import checkpoint_dir
+
 #: Bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z: digits, a-z and all of 0x80 and above.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
@@ -40,21 +45,27 @@ def alnum_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split()
 
 
-#: Texts of one Arrow batch are worked on in slices of about so many characters, so that what a slice makes stays small.
-SLICE_CHARS = 4_000_000
+#: Texts of one Arrow batch are worked on in slices of about so many bytes, so that what a slice makes stays small.
+SLICE_BYTES = 4_000_000
+
+
+def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Where to cut an array of texts: (start, length) of slices of SLICE_BYTES at most, or of one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+        yield at, stop - at
+        at = stop
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str | None]]:
-    part: list[str | None] = []
-    size = 0
-    for t in texts:
-        part.append(t)
-        size += len(t or "")
-        if size >= SLICE_CHARS:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
+def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
+    """Slices of the batches, and the texts of each. Only one slice's texts are Python strings at a time."""
+    for b in batches:
+        for at, n in cuts(b.column(column)):
+            piece = b.slice(at, n)
+            yield piece, piece.column(column).to_pylist()
 
 
 def text_function(returns: str, work: Callable[[list[str | None]], pa.Array]):
@@ -62,9 +73,38 @@ def text_function(returns: str, work: Callable[[list[str | None]], pa.Array]):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            rows = max(1, len(batch) * SLICE_CHARS // max(1, batch.nbytes))
-            out = [work(part) for at in range(0, len(batch), rows) for part in slices(batch[at : at + rows].to_pylist())]
+            out = [work(batch.slice(at, n).to_pylist()) for at, n in cuts(batch)]
             yield pa.concat_arrays(out) if out else work([])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, returns)
+
+
+class Scratch:
+    """Tables of one run, written as Parquet into the folder that all executors share: their lineage ends there, and a lost
+    executor costs no more than the tasks it ran. A table goes once ``drop`` names it, the others when the session ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.base = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
+        self.made = 0
+        self._fs().deleteOnExit(self._path(self.base))
+
+    def _path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
+    def _fs(self):
+        return self._path(self.base).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.base}/{self.made}"
+        self.made += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch = path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for t in tables:
+            if t is not None:
+                self._fs().delete(self._path(t._scratch), True)

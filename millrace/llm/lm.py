@@ -2,8 +2,9 @@
 
 A text is a sequence of tokens, its words and one end, coded as bytes: a word's own bytes and a space, a line break for
 the end. Each byte is eight binary decisions. A decision's contexts are the last 0 to DEPTH bytes; every context holds a
-Krichevsky-Trofimov estimate of each decision, and context-tree weighting mixes the estimates of all depths: a node weighs its own estimate, one half, against the product
-of its children's weighted probabilities. The mixture weights follow from counts alone.
+Krichevsky-Trofimov estimate of each decision, and context-tree weighting mixes the estimates of all
+depths: a node weighs its own estimate, one half, against the product of its children's weighted probabilities. The
+mixture weights follow from counts alone.
 
 Contexts of a token's first HEAD bytes reach over the space into the last two bytes of the token before; those of its
 later bytes stay within the token. So all that the corpus says is in two tables, how often each head (two bytes before
@@ -18,6 +19,7 @@ driver and back: the number of pairs of bytes bounds it, not the corpus.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, slices, space_words
+from millrace.llm.common import fold, parts, space_words
 from millrace.session import checkpoint_dir
 
 DEPTH = 6
@@ -260,29 +262,26 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     words: Counter = Counter()
     heads = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-    for batch in batches:
-        train = batch.column(1).to_pylist()
-        done = 0
-        for part in slices(batch.column(0).to_pylist()):
-            split = [space_words(t or "") for t in part]
-            learned = [w for w, t in zip(split, train[done : done + len(part)], strict=True) if t]
-            other = [w for w, t in zip(split, train[done : done + len(part)], strict=True) if not t]
-            done += len(part)
-            for w in learned:
-                words.update(w)
-            if learned:
-                words[b""] += len(learned)
-            for texts, counted in ((learned, 1), (other, 0)):
-                if texts:
-                    h, n = np.unique(text_heads(texts)[1], return_counts=True)
-                    heads = summed(np.concatenate([heads[0], h]), np.concatenate([heads[1], n * counted]))
-            for w in other:
-                for x in w:
-                    if x not in words:
-                        words[x] = 0
-            if len(words) + len(heads[0]) > KEPT:
-                yield from flush(words, heads)
-                words, heads = Counter(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    for piece, texts in parts(batches):
+        split = [space_words(t or "") for t in texts]
+        train = piece.column("train").to_pylist()
+        learned = [w for w, t in zip(split, train, strict=True) if t]
+        other = [w for w, t in zip(split, train, strict=True) if not t]
+        for w in learned:
+            words.update(w)
+        if learned:
+            words[b""] += len(learned)
+        for some, counted in ((learned, 1), (other, 0)):
+            if some:
+                h, n = np.unique(text_heads(some)[1], return_counts=True)
+                heads = summed(np.concatenate([heads[0], h]), np.concatenate([heads[1], n * counted]))
+        for w in other:
+            for x in w:
+                if x not in words:
+                    words[x] = 0
+        if len(words) + len(heads[0]) > KEPT:
+            yield from flush(words, heads)
+            words, heads = Counter(), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
     yield from flush(words, heads)
 
 
@@ -373,7 +372,8 @@ def code_lengths(counts: DataFrame) -> DataFrame:
 
 
 def score(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document row.
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes (coded ones) and bits_per_byte (the code
+    length) of every document row.
 
     Null counts as the empty text: one token, the end. With no training rows train_tokens is 0, every base term is 0 and
     every decision has probability one half. A null id counts as the empty text for the fold.
@@ -410,7 +410,7 @@ def score(docs: DataFrame) -> DataFrame:
             *(often[x].to_numpy() for x in ("head", "r")),
         )
     )
-    row = "rid long, doc_id long, held_out boolean, word string, n long, tokens long, known long, base double, coded double"
+    row = "rid long, doc_id long, held_out boolean, word string, n long, tokens long, bytes long, known long, base double, coded double"
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, c, base, coded, met, value = frequent.value
@@ -418,61 +418,61 @@ def score(docs: DataFrame) -> DataFrame:
         place = {w: k for k, w in enumerate(names)}
         none = len(names)
         met, value = np.append(met, -1), np.append(value, 0.0)  # the last place is of no head
-        for b in batches:
-            ids, text, rid = b.column("doc_id"), b.column("text").to_pylist(), b.column("rid").to_numpy()
-            done = 0
-            for part in slices(text):
-                split = [space_words(t or "") for t in part]
-                of, head = text_heads(split)
-                head = head.astype(np.int64)
-                at = np.searchsorted(met[:-1], head)
-                at[met[at] != head] = len(met) - 1
-                heads = np.bincount(of, weights=value[at], minlength=len(part))
-                of, head = of[at == len(met) - 1], head[at == len(met) - 1]
-                order = np.lexsort((head, of))
-                of, head = of[order], head[order]
-                first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (head[1:] != head[:-1])])[: len(of)])
-                times = np.diff(np.append(first, len(of)))
-                of, head = of[first] + done, head[first]
-                out: list[list] = [[], [], [], [], [], [], []]
-                for k, w in enumerate(split):
-                    w.append(b"")
-                    at = np.fromiter((place.get(x, none) for x in w), np.int64, len(w))
-                    rare = Counter(x for x, p in zip(w, at.tolist(), strict=True) if p == none) if (at == none).any() else {}
-                    j = done + k
-                    own = (f"\t{rid[j]}", 1, len(w), int((c[at] > 0).sum()), base[at].sum(), coded[at].sum() + heads[k])
-                    for x, v in zip(out, (j, *own), strict=True):
+        for b, own_texts in parts(batches):
+            ids, rid = b.column("doc_id"), b.column("rid").to_numpy()
+            split = [space_words(t or "") for t in own_texts]
+            of, head = text_heads(split)
+            head = head.astype(np.int64)
+            at = np.searchsorted(met[:-1], head)
+            at[met[at] != head] = len(met) - 1
+            heads = np.bincount(of, weights=value[at], minlength=len(split))
+            of, head = of[at == len(met) - 1], head[at == len(met) - 1]
+            order = np.lexsort((head, of))
+            of, head = of[order], head[order]
+            first = np.flatnonzero(np.concatenate([[True], (of[1:] != of[:-1]) | (head[1:] != head[:-1])])[: len(of)])
+            times = np.diff(np.append(first, len(of)))
+            of, head = of[first], head[first]
+            out: list[list] = [[] for _ in range(8)]
+            for k, w in enumerate(split):
+                w.append(b"")
+                at = np.fromiter((place.get(x, none) for x in w), np.int64, len(w))
+                rare = Counter(x for x, p in zip(w, at.tolist(), strict=True) if p == none) if (at == none).any() else {}
+                size = sum(map(len, w)) + len(w)  # a space after each word, a line break at the end
+                own = (f"\t{rid[k]}", 1, len(w), size, int((c[at] > 0).sum()), base[at].sum(), coded[at].sum() + heads[k])
+                for x, v in zip(out, (k, *own), strict=True):
+                    x.append(v)
+                for word, m in rare.items():
+                    for x, v in zip(out, (k, word.decode(), m, 0, 0, 0, 0.0, 0.0), strict=True):
                         x.append(v)
-                    for word, m in rare.items():
-                        for x, v in zip(out, (j, word.decode(), m, 0, 0, 0.0, 0.0), strict=True):
-                            x.append(v)
-                done += len(part)
-                kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-                zeros = np.zeros(len(of), np.int64)
-                keys = pc.binary_join_element_wise("\t\t", pa.array(head).cast(pa.string()), "")
-                rare_heads = (keys, times, zeros, zeros, zeros.astype(float), zeros.astype(float))
-                for take, columns in ((out[0], out[1:]), (of, rare_heads)):
-                    take = pa.array(take, pa.int64())
-                    yield pa.RecordBatch.from_arrays(
-                        [b.column("rid").take(take), ids.take(take), b.column("held_out").take(take)]
-                        + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns, kinds, strict=True)],
-                        ["rid", "doc_id", "held_out", "word", "n", "tokens", "known", "base", "coded"],
-                    )
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            zeros = np.zeros(len(of), np.int64)
+            keys = pc.binary_join_element_wise("\t\t", pa.array(head).cast(pa.string()), "")
+            rare_heads = (keys, times, zeros, zeros, zeros, zeros.astype(float), zeros.astype(float))
+            for take, columns in ((out[0], out[1:]), (of, rare_heads)):
+                take = pa.array(take, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("rid").take(take), ids.take(take), b.column("held_out").take(take)]
+                    + [v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(columns, kinds, strict=True)],
+                    ["rid", "doc_id", "held_out", "word", "n", "tokens", "bytes", "known", "base", "coded"],
+                )
 
     rows = docs.select(
         F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"
     )
     # A text's own sums stand under a word that no text has (a tab and the row), so that they spread like words do.
-    parts = rows.mapInArrow(texts, row).join(words, "word", "left")
+    terms = rows.mapInArrow(texts, row).join(words, "word", "left")
     zero = lambda x: F.coalesce(x, F.lit(0))
-    sums = parts.groupBy("rid").agg(
+    sums = terms.groupBy("rid").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.sum("tokens").alias("n_tokens"),
+        F.sum("bytes").alias("n_bytes"),
         F.sum(F.col("known") + F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.col("n") * zero(F.col("b"))).alias("base_score"),
         F.sum(F.col("coded") + F.col("n") * zero(F.col("r"))).alias("score"),
     )
+    bits = -F.col("score") * math.log2(10) / F.col("n_bytes")
     return sums.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score"
-    )
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score",
+        "n_bytes", bits.alias("bits_per_byte"),
+    )
