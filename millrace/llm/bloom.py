@@ -1,4 +1,4 @@
-"""Bloom filters of a fixed size, to keep rows that can't join out of a shuffle. An exact join always follows."""
+"""Bloom filters to keep rows that can't join out of a shuffle. An exact join always follows."""
 
 from __future__ import annotations
 
@@ -9,17 +9,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of a filter: 4 MB, whatever the number of keys. Beyond some 5 million keys it lets more through, never less.
-BITS = 1 << 25
+#: Bits of a filter for each key (two are set: one row in 60 that can't join gets through), and the bounds of its size:
+#: 8 KB to 16 MB. For more keys than the largest holds there is no filter, and every row is shuffled.
+BITS_A_KEY, LEAST, MOST = 16, 1 << 16, 1 << 27
 
 
-def build(keys: DataFrame, key: str) -> np.ndarray:
-    """The filter of a column of 64-bit hashes. At most BITS / 64 words reach the driver."""
+def build(keys: DataFrame, key: str) -> np.ndarray | None:
+    """The filter of a column of 64-bit hashes, sized by their number. MOST / 8 bytes reach the driver at most."""
+    n = keys.count()
+    if n * BITS_A_KEY > MOST:
+        return None
+    bits = max(LEAST, 1 << (n * BITS_A_KEY - 1).bit_length() if n else 0)
     both = F.array(F.col(key), F.shiftright(F.col(key), 32).bitwiseXOR(F.col(key)))
-    at = keys.select(F.explode(both).alias("h")).select(F.pmod("h", F.lit(BITS)).alias("at"))
+    at = keys.select(F.explode(both).alias("h")).select(F.pmod("h", F.lit(bits)).alias("at"))
     words = at.groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at & 63 AS int))")).alias("bits"))
     got = words.toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[got["w"].to_numpy().astype(np.int64)] = got["bits"].to_numpy()
     return out
 
@@ -28,14 +33,17 @@ def hits(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which keys may be in the filter."""
     out = np.ones(len(keys), bool)
     for h in (keys, (keys >> np.int64(32)) ^ keys):
-        at = h % np.int64(BITS)
+        at = h % np.int64(64 * len(words))
         out &= (words[at >> np.int64(6)] >> (at & np.int64(63)) & np.int64(1)) == 1
     return out
 
 
 def may_hold(keys: DataFrame, key: str, column: Column) -> Column:
-    """A column: whether a 64-bit hash may be among the keys."""
-    filter_ = keys.sparkSession.sparkContext.broadcast(build(keys, key))
+    """A column: whether a 64-bit hash may be among the keys. Always true where there are too many keys for a filter."""
+    made = build(keys, key)
+    if made is None:
+        return F.lit(True)
+    filter_ = keys.sparkSession.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
