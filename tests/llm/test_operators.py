@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, graph, language_id, licenses, line_dedup, lm, near_dedup, sharding, topk, toxicity
-from millrace.llm.common import alnum_words, space_words
+from millrace.llm.common import Scratch, alnum_words, space_words
 from millrace.llm.registry import tokenizer_path
 
 RNG = random.Random(7)
@@ -53,18 +53,66 @@ def empty(spark):
 # ---- 1
 
 
+def brute_templates(lines, docs):
+    """For each line (tokens) of a leaf the templates that it shares, by the rule as it is stated. docs: of each line."""
+    shared = {t: set() for t in lines}
+
+    def group(own, depth, name):
+        total = sum(docs[t] for t in own)
+        if depth > line_dedup.SPLITS or len(own) < 2 or total < line_dedup.GENERAL:
+            return
+        counts = []
+        for p in range(len(own[0])):
+            c = Counter()
+            for t in own:
+                c[t[p]] += docs[t]
+            counts.append(c)
+        fixed, uneven = {}, []
+        for p, c in enumerate(counts):
+            token, n = max(c.items(), key=lambda x: (x[1], x[0] != line_dedup.WILD))
+            if n >= line_dedup.FIXED * total and token != line_dedup.WILD:
+                fixed[p] = token
+            elif max((v for k, v in c.items() if k != line_dedup.WILD), default=0) >= line_dedup.GENERAL:
+                uneven.append((sum(v * v for k, v in c.items() if k != line_dedup.WILD), -p))
+        if len(fixed) >= line_dedup.SIMILAR * len(own[0]):
+            rest = [t for t in own if any(t[p] != x for p, x in fixed.items())]
+            for t in own:
+                if t not in rest:
+                    shared[t].add((name, depth))
+            group(rest, depth + 1, (name, "rest"))
+        elif uneven:
+            p = -max(uneven)[1]
+            for token in {t[p] for t in own}:
+                group([t for t in own if t[p] == token], depth + 1, (name, p, token))
+
+    leaves = {}
+    for t in lines:
+        leaves.setdefault((len(t), t[: line_dedup.LEADING]), []).append(t)
+    for leaf, own in leaves.items():
+        group(own, 0, leaf)
+    return shared
+
+
 def brute_lines(rows, least=line_dedup.DOCUMENTS):
-    """Lines to drop under exact masked templates (for fixtures in which no leaf generalises)."""
-    where = {}
+    """Lines to drop: (doc_id, line)."""
+    where, short = {}, {}
     for i, t in sorted({(i, t) for i, t in rows if t}, key=lambda r: (r[0] is None, r[0] or 0)):
         for j, x in enumerate(t.split("\n")):
-            tokens = x.split()
-            if len(tokens) >= line_dedup.LEAST_TOKENS:
-                where.setdefault(tuple(line_dedup.masked(tokens)), []).append((i, j))
+            if found := line_dedup.line_keys(x):
+                where.setdefault(tuple(found[0]), []).append((i, j))
+                short[tuple(found[0])] = found[1]
+    docs = {t: len({i for i, _ in places}) for t, places in where.items()}
     drop = set()
-    for places in where.values():
-        if len({i for i, _ in places}) >= least:
+    for t, places in where.items():
+        if docs[t] >= (line_dedup.GENERAL if short[t] else least):
             drop |= set(places[1:])
+    finals = {}
+    for t, names in brute_templates(list(where), docs).items():
+        for name in names:
+            finals.setdefault(name, []).extend(where[t])
+    for places in finals.values():
+        if len({i for i, _ in places}) >= line_dedup.GENERAL:
+            drop |= set(sorted(places, key=lambda x: (x[0] is None, x))[1:])
     return drop
 
 
@@ -93,6 +141,26 @@ def test_lines_with_variable_fields(spark):
     assert [got[i].n_dropped for i in (10, 11, 12)] == [0, 1, 1]
 
 
+def test_leaves_of_several_templates(spark):
+    """Two templates, noise, short lines and repeated rows in one leaf, against the rule in plain Python."""
+    rng, lines = random.Random(3), []
+    for k in range(40):
+        lines.append(f"user session of {word()}q{'abcdefgh'[k % 8]} was opened on host alpha")
+        lines.append(f"user session of {word()}r then closed by the {word()}s timer")
+        lines.append("user session of " + " ".join(word() + "abcdefghij"[k % 10] for _ in range(6)))
+        lines.append(f"user session of job {k} was opened on host {k}")
+    lines += ["and so on", "and so on", "}", "}", "}", "", "  ", "one two three four", "one two three four", "go now", "go now", "go now"]
+    rng.shuffle(lines)
+    rows = [(i, "\n".join(lines[4 * i : 4 * i + 4])) for i in range(len(lines) // 4)]
+    rows += [rows[0], (None, lines[0]), (1, "another text of the same id\n" + lines[9])]
+    drop = brute_lines(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("lines", F.lit(1)).withColumn("first", F.lit(2))
+    got = {(r.doc_id, r.lines): r.n for r in line_dedup.repeated_lines(df).selectExpr("doc_id", "explode(lines) AS lines", "1 AS n").collect()}
+    assert set(got) == drop and 60 < len(drop) < len(lines)
+    kept = [x for r in line_dedup.report(df.dropDuplicates()).collect() for x in r.text.split("\n")]
+    assert sum("was opened on host alpha" in x for x in kept) == 1 and kept.count("and so on") == 2 and kept.count("}") == 1
+
+
 def test_lines_of_two_documents_and_of_scripts_without_spaces(spark):
     long, han, thai = prose(60), "本网站的所有内容均受版权保护未经许可不得转载", "สงวนลิขสิทธิ์ตามกฎหมายห้ามคัดลอก"
     shared = f"{long}\n{han}\n{thai}\n目录"
@@ -153,8 +221,58 @@ def test_min_max_estimates(spark):
 
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
-    got = {r.node: r.comp for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    scratch = Scratch(spark)
+    got = {r.node: r.comp for r in graph.components(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 102: 100}
+    assert graph.components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+
+
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(1)
+    for n in (1, 3, 40, 500, 700, 3000, 60_000):
+        for share in (0.0, 0.05, 0.1, 0.2, 0.5):
+            x = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+            y = np.unique(np.concatenate([x[int(share * n) :], rng.integers(0, 1 << 63, int(share * n) + n // 9, dtype=np.uint64)]))
+            x = np.unique(x)
+            both = len(np.intersect1d(x, y))
+            a, b = near_dedup.bitmap(x)[None], near_dedup.bitmap(y)[None]
+            while a.shape[1] < b.shape[1]:
+                b = near_dedup.halved(b)
+            ok, far = near_dedup.may_link(a, np.array([len(x)]), b, np.array([len(y)]), 80)
+            assert ok[0, 0] or 100 * both < 80 * (len(x) + len(y) - both)
+            assert far[0, 0] <= (len(x) + len(y) - 2 * both) / (len(x) + len(y))
+
+
+def test_recall_of_the_buckets():
+    """Pairs at similarity 0.8 that share no bucket: 3 in a million by the module's own permutations."""
+    rng = np.random.default_rng(5)
+    missed = 0
+    for _ in range(2000):
+        x = rng.integers(0, 1 << 63, 270, dtype=np.uint64)
+        a, b = near_dedup.bands(near_dedup.signature(x[:243])), near_dedup.bands(near_dedup.signature(x[27:]))
+        assert len(set(x[:243].tolist()) & set(x[27:].tolist())) / 270 == 0.8
+        missed += not set(a.tolist()) & set(b.tolist())
+    assert missed <= 1
+
+
+def test_large_buckets_lose_no_link(spark):
+    """More members than a block, of which each is near a few others only: blocks, passes and the cut of pairs."""
+    base = [f"w{k}" for k in range(200)]
+    rows, rng = [], random.Random(11)
+    for c in range(40):
+        own = list(base)
+        for p in rng.sample(range(200), 11):
+            own[p] = f"c{c}x{p}"
+        for k in range(9):
+            now = list(own)
+            for p in rng.sample(range(200), k // 3):
+                now[p] = f"c{c}k{k}x{p}"
+            rows.append((1000 * c + k, " ".join(now)))
+    rows += [(-5, rows[7][1]), (-5, rows[7][1]), (70_000, None), (70_001, "")]
+    sets, comp = brute_clusters(dict(rows).items(), 4)
+    got = near_dedup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == comp
+    assert len(set(comp.values())) > 20
 
 
 # ---- 3
@@ -240,6 +358,8 @@ def test_lm_columns_and_gain(spark):
         held, n, known, base = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
         assert r.base_score == pytest.approx(base) and r.score < 0
+        assert r.n_bytes == len(" ".join(w.decode() for w in dict(tokens)[r.doc_id])) + 1
+        assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / r.n_bytes)
     assert lm.score(empty(spark)).count() == 0
     assert lm.score(spark.createDataFrame([(None, None)], "doc_id long, text string")).first().n_tokens == 1
 
