@@ -358,7 +358,7 @@ def test_lm_columns_and_gain(spark):
         held, n, known, base = want[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, total)
         assert r.base_score == pytest.approx(base) and r.score < 0
-        assert r.n_bytes == len(" ".join(w.decode() for w in dict(tokens)[r.doc_id])) + 1
+        assert r.n_bytes == len(b" ".join(dict(tokens)[r.doc_id])) + 1
         assert r.bits_per_byte == pytest.approx(-r.score / math.log10(2) / r.n_bytes)
     assert lm.score(empty(spark)).count() == 0
     assert lm.score(spark.createDataFrame([(None, None)], "doc_id long, text string")).first().n_tokens == 1
@@ -532,3 +532,16 @@ def test_top_k_against_brute_force(spark):
     few = spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(few).collect()] == [(0, 1, 1, 64 * 128)]
     assert topk.top_k(few.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("size", [1e-3, 2e6, 2e7, 1e12, 3e30])
+def test_top_k_of_any_size(spark, size):
+    """Components whose products no float sums exactly, copies in many blocks, repeated rows and ids."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * size]) for i in range(150)]
+    rows += [(i, rows[5][1]) for i in range(1000, 1100)] + [rows[40], (60, rows[7][1]), (None, rows[0][1]), (1020, rows[5][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3).withColumn("k1", F.lit(1)).withColumn("z", F.lit(2))
+    want = brute_top(rows)
+    limit = (1 << 63) - 1
+    want = sorted((q, r, v, max(-limit - 1, min(limit, s))) for q, r, v, s in want)
+    assert sorted(map(tuple, topk.top_k(df, block=16, pivots=4).collect())) == want
