@@ -156,9 +156,23 @@ def may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, perce
     return differ * (100 + percent) <= sizes * (100 - percent), differ / sizes
 
 
-def block_pairs(i: int, j: int, block, comp, n, bits: list[bytes], percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Positions (a, b) of pairs between blocks i and j whose components differ and that may link; of each a the ``most``
-    nearest, and whether any was left out."""
+def meet_before(bucket: int, buckets: list[list[int]]) -> np.ndarray:
+    """Which pairs of members (with their lists of buckets) share a bucket before this one."""
+    owner = np.repeat(np.arange(len(buckets)), [len(x) for x in buckets])
+    every = np.concatenate([np.array(x, np.int64) for x in buckets])
+    _, at, times = np.unique(every, return_inverse=True, return_counts=True)
+    there = (every < bucket) & (times[at] > 1)
+    _, at = np.unique(at[there], return_inverse=True)
+    held = np.zeros((len(buckets), at.max() + 1 if len(at) else 0), np.float32)
+    held[owner[there], at] = 1
+    return held @ held.T > 0
+
+
+def block_pairs(key: tuple[int, int, int], block, comp, n, bits: list[bytes], buckets: list[list[int]], percent: int, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Positions (a, b) of pairs between blocks i and j of a bucket (key: bucket, i, j) whose components differ, that share no
+    bucket before and may link; of each a the ``most`` nearest, and whether any was left out."""
+    bucket, i, j = key
+    before = meet_before(bucket, buckets)
     words = np.array([len(x) // 8 for x in bits])
     maps = {w: np.array([np.frombuffer(bits[k], np.uint64) for k in np.flatnonzero(words == w)]) for w in set(words.tolist())}
     first, second, far = [], [], []
@@ -169,7 +183,7 @@ def block_pairs(i: int, j: int, block, comp, n, bits: list[bytes], percent: int,
                 continue
             py, y = np.flatnonzero(words == v), maps[v] if v == w else halved(maps[v])
             ok, share = may_link(x, n[px], y, n[py], percent)
-            ok &= comp[px][:, None] != comp[py][None, :]
+            ok &= (comp[px][:, None] != comp[py][None, :]) & ~before[np.ix_(px, py)]
             if i != j:
                 ok &= block[px][:, None] != block[py][None, :]
             if v == w:
@@ -186,19 +200,20 @@ def block_pairs(i: int, j: int, block, comp, n, bits: list[bytes], percent: int,
 
 
 def apart_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
-    """a, b: pairs of nodes that share a bucket, lie in two components and may link; and a null row if there are more.
+    """a, b: pairs of nodes that share a bucket, lie in two components and may link, each from the least bucket they share;
+    and a null row if there are more.
 
     A bucket of m members is dealt into ceil(m / BLOCK) blocks by a hash, and every two blocks meet in one task.
     """
     label = members.join(comp, "node", "left").select("bucket", "m", "node", F.coalesce("comp", "node").alias("comp"))
     apart = label.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    held = label.join(apart, "bucket").join(sets.select("node", "n", "bits"), "node")
+    held = label.join(apart, "bucket").join(sets.select("node", "n", "bits", "own"), "node")
     held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int"))
     held = held.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     held = held.select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
-        F.xxhash64("comp").alias("comp"), "n", "bits",
+        F.xxhash64("comp").alias("comp"), "n", "bits", "own",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,8 +221,8 @@ def apart_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: i
         more = False
 
         def work(key: tuple, rows: list[tuple]) -> bool:
-            block, node, comp, n, bits = zip(*rows, strict=True)
-            a, b, cut = block_pairs(key[1], key[2], np.array(block), np.array(comp), np.array(n), bits, percent, most)
+            block, node, comp, n, own, bits = zip(*rows, strict=True)
+            a, b, cut = block_pairs(key, np.array(block), np.array(comp), np.array(n), bits, own, percent, most)
             for p, q in zip(a.tolist(), b.tolist(), strict=True):
                 out[0].append(max(node[p], node[q]))
                 out[1].append(min(node[p], node[q]))
@@ -215,13 +230,13 @@ def apart_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: i
 
         key, rows = None, []
         for piece, bits in parts(batches, "bits"):
-            columns = [piece.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "node", "comp", "n")]
-            for own in zip(*columns, bits, strict=True):
-                if own[:3] != key:
+            columns = [piece.column(c).to_pylist() for c in ("bucket", "i", "j", "block", "node", "comp", "n", "own")]
+            for row in zip(*columns, bits, strict=True):
+                if row[:3] != key:
                     if len(rows) > 1:
                         more |= work(key, rows)
-                    key, rows = own[:3], []
-                rows.append(own[3:])
+                    key, rows = row[:3], []
+                rows.append(row[3:])
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in out], names=["a", "b"])
             out[0].clear()
             out[1].clear()
@@ -300,7 +315,8 @@ def cluster(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     wanted = linked.select("node", "doc_id", "th").join(members.select("node").distinct(), "node")
     wanted = wanted.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("one")).select("node", "one.*")
     wanted = scratch.keep(wanted)
-    sets = scratch.keep(shingle_sets(docs, wanted, words))
+    buckets = members.groupBy("node").agg(F.collect_list("bucket").alias("own"))  # BANDS at most
+    sets = scratch.keep(shingle_sets(docs, wanted, words).join(buckets, "node"))
 
     tried = scratch.keep(first_pairs(members))
     links = scratch.keep(confirm(tried, sets, percent))
