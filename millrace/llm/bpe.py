@@ -39,7 +39,7 @@ SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 OTHER_SPACE = re.compile("[\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Bounds of what a Python worker keeps: words and pre-tokens (each twice, see Recent), pairs, bytes of a kept word.
-CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 250_000, 600_000, 48
+CACHE_WORDS, CACHE_PAIRS, CACHE_BYTES = 120_000, 300_000, 48
 
 
 class Recent(dict):

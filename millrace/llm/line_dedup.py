@@ -117,18 +117,22 @@ def tokens_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
     Only those documents are parsed again. Bloom filters keep other lines out of the shuffle.
     """
-    own = F.xxhash64("doc_id", "th")
-    held = rows.where(bloom.may_hold(wanted, "own", own)).select(own.alias("own"), "text")
+    held = rows.select(F.xxhash64("doc_id", "th").alias("own"), "text")
     mark = F.col("leaf").bitwiseXOR(F.col("template"))
-    made = bloom.build(wanted.select(mark.alias("h")), "h")
-    filter_ = rows.sparkSession.sparkContext.broadcast(made) if made is not None else None
+    made = (bloom.build(wanted, "own"), bloom.build(wanted.select(mark.alias("h")), "h"))
+    filters = rows.sparkSession.sparkContext.broadcast(made)
+
+    def wanted_rows(batches: Iterator[pa.RecordBatch], of_text: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b if of_text is None else b.filter(pa.array(bloom.hits(of_text, b.column("own").to_numpy())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda t: 0 if t == WILD else xxhash.xxh3_64_intdigest(t) - (1 << 63)
-        for piece, texts in parts(batches):
+        of_text, of_line = filters.value
+        for piece, texts in parts(wanted_rows(batches, of_text)):
             found = [(k, *f) for k, t in enumerate(texts) if t for x in t.split("\n") if (f := line_keys(x)) is not None]
-            if filter_ is not None and found:
-                near = bloom.hits(filter_.value, np.array([f[3] ^ f[4] for f in found], np.int64))
+            if of_line is not None and found:
+                near = bloom.hits(of_line, np.array([f[3] ^ f[4] for f in found], np.int64))
                 found = [f for f, ok in zip(found, near, strict=True) if ok]
             yield pa.RecordBatch.from_arrays(
                 [
