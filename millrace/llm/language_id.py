@@ -2,9 +2,8 @@
 
 For each language a sample of its texts becomes a zstandard raw-content dictionary. A text is compressed with each
 dictionary, and the language whose dictionary gives the fewest bytes wins. Where the runner-up comes close the result
-is marked as rejected. Before that a text becomes its distinct words in order of appearance, since a repeated word says
-nothing more of the language yet would be coded from the text itself. Long texts are compressed in blocks, all of
-them, so that a dictionary stays in reach.
+is marked as rejected. A text is compressed whole, as its words in lower case, in blocks that each start from the
+dictionary: else a long text's own beginning would soon say more than the dictionary.
 """
 
 from __future__ import annotations
@@ -14,6 +13,7 @@ import re
 from collections import defaultdict
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,13 +22,12 @@ from pyspark.sql import Window
 
 from millrace.llm.common import fold, text_function
 
-#: Fit parameters: labelled texts sampled per language, bytes taken of each (a window at a place given by its hash), and
-#: a dictionary's bytes.
-TEXTS, TEXT_CHARS, DICTIONARY = 96, 1200, 96 * 1024
+#: Fit parameters: labelled texts sampled per language, each taken whole, and the lengths of texts that are taken first.
+TEXTS, LENGTHS = 96, (200, 20_000)
 LEVEL, BLOCK = 6, 2048
 #: Rejected: the runner-up is within this share of the winner's bytes.
 MARGIN = 0.02
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 RESULT = T.StructType(
     [
@@ -41,8 +40,8 @@ RESULT = T.StructType(
 
 
 def normal(text: str) -> bytes:
-    """The distinct words of a text (runs of letters in lower case), in order, with one space between them."""
-    return " ".join(dict.fromkeys(NOT_LETTERS.sub(" ", text.lower()).split())).encode("utf-8", "replace")
+    """The words of a text (runs of letters in lower case), with one space between them."""
+    return " ".join(NOT_LETTERS.sub(" ", text.lower()).split()).encode("utf-8", "replace")
 
 
 class Classifier:
@@ -76,25 +75,20 @@ class Classifier:
 def fit(docs: DataFrame) -> dict[str, bytes]:
     """A dictionary's content per language, from texts outside the held-out fold.
 
-    Each language gives at most TEXTS texts, the first by a hash of id and text: every task passes on so many of a
-    language at most. The sample's size depends on the number of languages alone.
-    The languages come in order of their training rows, most first.
+    Each language gives at most TEXTS texts, those of LENGTHS first, then by a hash of id and text: every task passes on so
+    many of a language at most. The languages come in order of their training rows, most first.
     """
     train = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
-    h = F.xxhash64(F.col("doc_id"), F.substring("text", 1, 100))
-    at = F.pmod(h, F.greatest(F.length("text") - TEXT_CHARS, F.lit(1))).cast("int") + 1
-    rows = train.where(F.col("text").rlike(r"\p{L}")).select(
-        "lang", h.alias("h"), F.substring(F.col("text"), at, F.lit(TEXT_CHARS)).alias("part")
-    )
-    order = Window.partitionBy("lang").orderBy("h", "part")
+    other = ~F.length("text").between(*LENGTHS)
+    rows = train.where(F.col("text").rlike(r"\p{L}")).select("lang", other.alias("other"), F.xxhash64("doc_id", "text").alias("h"), "text")
+    order = Window.partitionBy("lang").orderBy("other", "h")
     chosen = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= TEXTS).collect()
-    parts: dict[str, list] = defaultdict(list)
+    content: dict[str, list] = defaultdict(list)
     for r in sorted(chosen, key=lambda r: (r.lang, r.k)):
-        parts[r.lang].append(normal(r.part))
+        content[r.lang].append(normal(r.text))
     rows_of = {r.lang: r["count"] for r in train.groupBy("lang").count().collect()}
-    common = sorted(parts, key=lambda lang: (-rows_of.get(lang, 0), lang))
-    content = {lang: b" ".join(parts[lang])[:DICTIONARY] for lang in common}
-    return {lang: c if len(c) >= 8 else (c + b" " * 8)[:8] for lang, c in content.items()}
+    common = sorted(content, key=lambda lang: (-rows_of.get(lang, 0), lang))
+    return {lang: b" ".join(content[lang]).ljust(8) for lang in common}  # a dictionary has eight bytes at least
 
 
 def predictor(samples: dict[str, bytes]):

@@ -1,17 +1,22 @@
 """License scan by ordered signature rules.
 
-Rules are regexes over a text's normalised words, made from families of license names and the phrasings that cite them.
-A rule runs only on texts that hold its keyword. Each rule has a priority; of detections that overlap, one contained
-in the interval of another with the same or a higher priority is suppressed. Base phrases are places where a phrase's
-words stand consecutively; they are counted before any suppression, and their labels always stay.
+Rules are regexes over a text's normalised words: signatures written one by one, and those that families of license names
+make with the phrasings that cite them. A rule runs only where a text holds its keyword, a word that every match has.
+Detections are resolved in the order of the rules, by falling priority: one that overlaps a kept detection of a higher
+priority goes, and so does one contained in the interval of a kept one of the same priority (of equal intervals the
+earlier rule's stays). Base phrases are places where a phrase's words stand consecutively; they are counted before any
+suppression, and their labels always stay.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,65 +27,65 @@ from millrace.llm.common import alnum_words, text_function
 # The base phrases and their labels.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-# Families: label, keyword that every match holds, and the names by which texts call the license. Names are regexes
-# over words that are joined by single spaces.
+# Families: label, and the names by which texts call the license. Names are regexes over words that are joined by single
+# spaces.
 FAMILIES = (
-    ("mit", "mit", ("mit", "mit x11", "expat mit")),
-    ("apache-2.0", "apache", ("apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?", "asl 2 0", "apache 2 0")),
-    ("apache-1.1", "apache", ("apache(?: software)?(?: license)? (?:version |v)?1 1",)),
-    ("gpl-3.0", "3", ("(?:gnu )?general public license (?:version |v)?3(?: 0)?", "(?:gnu )?gpl ?(?:version |v)?3(?: 0)?")),
-    ("gpl-2.0", "2", ("(?:gnu )?general public license (?:version |v)?2(?: 0)?", "(?:gnu )?gpl ?(?:version |v)?2(?: 0)?")),
-    ("lgpl-3.0", "3", ("(?:gnu )?lesser general public license (?:version |v)?3(?: 0)?", "lgpl ?(?:version |v)?3(?: 0)?")),
-    ("lgpl-2.1", "2", ("(?:gnu )?lesser general public license (?:version |v)?2 1", "lgpl ?(?:version |v)?2 1")),
-    ("agpl-3.0", "3", ("(?:gnu )?affero general public license (?:version |v)?3(?: 0)?", "agpl ?(?:version |v)?3(?: 0)?")),
-    ("lgpl", "gpl", ("(?:gnu )?lgpl",)),
-    ("lgpl", "lesser", ("(?:gnu )?lesser general public license",)),
-    ("agpl", "affero", ("(?:gnu )?affero general public license",)),
-    ("gpl", "gpl", ("(?:gnu )?gpl",)),
-    ("gpl", "public", ("gnu public license", "gnu general public license")),
-    ("bsd-3-clause", "bsd", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd")),
-    ("bsd-2-clause", "bsd", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd")),
-    ("bsd-4-clause", "bsd", ("bsd 4 clause", "4 clause bsd", "original bsd")),
-    ("0bsd", "bsd", ("0bsd", "zero clause bsd")),
-    ("bsd", "bsd", ("bsd", "berkeley software distribution bsd")),
-    ("mpl-2.0", "2", ("mozilla public license (?:version |v)?2(?: 0)?", "mpl ?(?:version |v)?2(?: 0)?")),
-    ("mpl-1.1", "1", ("mozilla public license (?:version |v)?1 1", "mpl ?(?:version |v)?1 1")),
-    ("mpl", "mozilla", ("mozilla public license",)),
-    ("epl-2.0", "2", ("eclipse public license (?:version |v)?2(?: 0)?", "epl ?(?:version |v)?2(?: 0)?")),
-    ("epl-1.0", "1", ("eclipse public license (?:version |v)?1(?: 0)?", "epl ?(?:version |v)?1 0")),
-    ("cddl-1.0", "cddl", ("cddl", "common development and distribution license cddl")),
-    ("eupl-1.2", "1", ("european union public licen[cs]e (?:version |v)?1 2", "eupl ?(?:version |v)?1 2")),
-    ("cc0-1.0", "cc0", ("cc0(?: 1 0)?", "creative commons zero cc0")),
-    ("cc-by-nc-nd", "nd", ("cc by nc nd(?: [1-4] [05])?", "creative commons attribution noncommercial noderivatives nd")),
-    ("cc-by-nc-sa", "sa", ("cc by nc sa(?: [1-4] [05])?",)),
-    ("cc-by-nc", "nc", ("cc by nc(?: [1-4] [05])?",)),
-    ("cc-by-nd", "nd", ("cc by nd(?: [1-4] [05])?",)),
-    ("cc-by-sa", "sa", ("cc by sa(?: [1-4] [05])?",)),
-    ("cc-by", "cc", ("cc by(?: [1-4] [05])?",)),
-    ("cc-by", "creative", ("creative commons attribution",)),
-    ("isc", "isc", ("isc",)),
-    ("zlib", "zlib", ("zlib(?: libpng)?",)),
-    ("unlicense", "unlicense", ("unlicense",)),
-    ("wtfpl", "wtfpl", ("wtfpl", "do what the fuck you want to public license wtfpl")),
-    ("artistic-2.0", "artistic", ("artistic(?: license)? 2 0",)),
-    ("artistic-1.0", "artistic", ("artistic(?: license)? 1 0", "perl artistic")),
-    ("bsl-1.0", "boost", ("boost software", "boost")),
-    ("python-2.0", "python", ("python software foundation", "python 2 0")),
-    ("ofl-1.1", "ofl", ("sil open font license ofl", "ofl ?(?:version |v)?1 1", "sil ofl")),
-    ("odbl-1.0", "odbl", ("odbl(?: 1 0)?", "open database license odbl")),
-    ("afl-3.0", "academic", ("academic free license(?: (?:version |v)?3 0)?",)),
-    ("ms-pl", "microsoft", ("microsoft public",)),
-    ("ms-rl", "microsoft", ("microsoft reciprocal",)),
-    ("postgresql", "postgresql", ("postgresql",)),
-    ("openssl", "openssl", ("openssl",)),
-    ("php-3.01", "php", ("php 3 01", "php")),
-    ("ruby", "ruby", ("ruby",)),
-    ("x11", "x11", ("x11",)),
-    ("ncsa", "ncsa", ("university of illinois ncsa", "ncsa")),
-    ("sspl-1.0", "side", ("server side public license(?: (?:version |v)?1)?",)),
-    ("busl-1.1", "business", ("business source license(?: 1 1)?",)),
-    ("elastic-2.0", "elastic", ("elastic license(?: 2 0)?",)),
-    ("public-domain", "public", ("public domain",)),
+    ("mit", ("mit", "mit x11", "expat mit")),
+    ("apache-2.0", ("apache(?: software)?(?: license)? (?:version |v)?2(?: 0)?", "asl 2 0", "apache 2 0")),
+    ("apache-1.1", ("apache(?: software)?(?: license)? (?:version |v)?1 1",)),
+    ("gpl-3.0", ("(?:gnu )?general public license (?:version |v)?3(?: 0)?", "(?:gnu )?gpl ?(?:version |v)?3(?: 0)?")),
+    ("gpl-2.0", ("(?:gnu )?general public license (?:version |v)?2(?: 0)?", "(?:gnu )?gpl ?(?:version |v)?2(?: 0)?")),
+    ("lgpl-3.0", ("(?:gnu )?lesser general public license (?:version |v)?3(?: 0)?", "lgpl ?(?:version |v)?3(?: 0)?")),
+    ("lgpl-2.1", ("(?:gnu )?lesser general public license (?:version |v)?2 1", "lgpl ?(?:version |v)?2 1")),
+    ("agpl-3.0", ("(?:gnu )?affero general public license (?:version |v)?3(?: 0)?", "agpl ?(?:version |v)?3(?: 0)?")),
+    ("lgpl", ("(?:gnu )?lgpl",)),
+    ("lgpl", ("(?:gnu )?lesser general public license",)),
+    ("agpl", ("(?:gnu )?affero general public license",)),
+    ("gpl", ("(?:gnu )?gpl",)),
+    ("gpl", ("gnu public license", "gnu general public license")),
+    ("bsd-3-clause", ("bsd 3 clause", "3 clause bsd", "new bsd", "modified bsd", "revised bsd")),
+    ("bsd-2-clause", ("bsd 2 clause", "2 clause bsd", "simplified bsd", "freebsd")),
+    ("bsd-4-clause", ("bsd 4 clause", "4 clause bsd", "original bsd")),
+    ("0bsd", ("0bsd", "zero clause bsd")),
+    ("bsd", ("bsd", "berkeley software distribution bsd")),
+    ("mpl-2.0", ("mozilla public license (?:version |v)?2(?: 0)?", "mpl ?(?:version |v)?2(?: 0)?")),
+    ("mpl-1.1", ("mozilla public license (?:version |v)?1 1", "mpl ?(?:version |v)?1 1")),
+    ("mpl", ("mozilla public license",)),
+    ("epl-2.0", ("eclipse public license (?:version |v)?2(?: 0)?", "epl ?(?:version |v)?2(?: 0)?")),
+    ("epl-1.0", ("eclipse public license (?:version |v)?1(?: 0)?", "epl ?(?:version |v)?1 0")),
+    ("cddl-1.0", ("cddl", "common development and distribution license cddl")),
+    ("eupl-1.2", ("european union public licen[cs]e (?:version |v)?1 2", "eupl ?(?:version |v)?1 2")),
+    ("cc0-1.0", ("cc0(?: 1 0)?", "creative commons zero cc0")),
+    ("cc-by-nc-nd", ("cc by nc nd(?: [1-4] [05])?", "creative commons attribution noncommercial noderivatives nd")),
+    ("cc-by-nc-sa", ("cc by nc sa(?: [1-4] [05])?",)),
+    ("cc-by-nc", ("cc by nc(?: [1-4] [05])?",)),
+    ("cc-by-nd", ("cc by nd(?: [1-4] [05])?",)),
+    ("cc-by-sa", ("cc by sa(?: [1-4] [05])?",)),
+    ("cc-by", ("cc by(?: [1-4] [05])?",)),
+    ("cc-by", ("creative commons attribution",)),
+    ("isc", ("isc",)),
+    ("zlib", ("zlib(?: libpng)?",)),
+    ("unlicense", ("unlicense",)),
+    ("wtfpl", ("wtfpl", "do what the fuck you want to public license wtfpl")),
+    ("artistic-2.0", ("artistic(?: license)? 2 0",)),
+    ("artistic-1.0", ("artistic(?: license)? 1 0", "perl artistic")),
+    ("bsl-1.0", ("boost software", "boost")),
+    ("python-2.0", ("python software foundation", "python 2 0")),
+    ("ofl-1.1", ("sil open font license ofl", "ofl ?(?:version |v)?1 1", "sil ofl")),
+    ("odbl-1.0", ("odbl(?: 1 0)?", "open database license odbl")),
+    ("afl-3.0", ("academic free license(?: (?:version |v)?3 0)?",)),
+    ("ms-pl", ("microsoft public",)),
+    ("ms-rl", ("microsoft reciprocal",)),
+    ("postgresql", ("postgresql",)),
+    ("openssl", ("openssl",)),
+    ("php-3.01", ("php 3 01", "php")),
+    ("ruby", ("ruby",)),
+    ("x11", ("x11",)),
+    ("ncsa", ("university of illinois ncsa", "ncsa")),
+    ("sspl-1.0", ("server side public license(?: (?:version |v)?1)?",)),
+    ("busl-1.1", ("business source license(?: 1 1)?",)),
+    ("elastic-2.0", ("elastic license(?: 2 0)?",)),
+    ("public-domain", ("public domain",)),
 )
 #: Phrasings around a name, with the priority of what they detect: {} is the name.
 PHRASINGS = (
@@ -90,46 +95,104 @@ PHRASINGS = (
     (20, "(?:the )?{} licen[cs]e(?:d)?"),
     (20, "licen[cs]e (?:is )?(?:the )?{}"),
 )
-#: Rules that no family makes: label, priority, keyword, regex.
+#: Rules that no family makes: label, priority, regex.
 SINGLE = (
-    ("mit", 35, "permission", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", 35, "permission", "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd", 35, "redistribution", "redistribution and use in source and binary forms with or without modification"),
-    ("gpl", 25, "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("unlicense", 35, "unencumbered", "free and unencumbered software released into the public domain"),
-    ("zlib", 35, "altered", "altered source versions must be plainly marked as such"),
-    ("proprietary", 10, "reserved", "all rights reserved"),
-    ("proprietary", 10, "proprietary", "proprietary and confidential"),
-    ("mit", 5, "mit", "mit license"),
-    ("apache", 5, "apache", "apache license"),
-    ("gpl", 5, "general", "general public license"),
-    ("cc-by-nc", 15, "nc", "cc by nc(?: [1-4] [05])?"),
+    ("mit", 35, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 34, "to deal in the software without restriction including without limitation the rights to use"),
+    ("mit", 34, "the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", 33, "the software is provided as is without warranty of any kind express or implied"),
+    ("x11", 36, "except as contained in this notice the name of the x consortium shall not be used"),
+    ("isc", 35, "permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", 34, "the author disclaims all warranties with regard to this software"),
+    ("bsd", 35, "redistribution and use in source and binary forms with or without modification"),
+    ("bsd", 34, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 34, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", 36, "neither the name of .{1,60}? nor the names of its contributors may be used"),
+    ("bsd-4-clause", 36, "all advertising materials mentioning features or use of this software must display"),
+    ("apache-2.0", 35, "you may not use this file except in compliance with the license"),
+    ("apache-2.0", 36, "www apache org licenses license 2 0"),
+    ("apache-2.0", 34, "distributed on an as is basis without warranties or conditions of any kind"),
+    ("gpl", 25, "you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl", 24, "you should have received a copy of the gnu general public license"),
+    ("gpl-2.0", 26, "either version 2 of the license or at your option any later version"),
+    ("gpl-3.0", 26, "either version 3 of the license or at your option any later version"),
+    ("gpl-3.0", 36, "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("lgpl", 35, "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl-2.1", 36, "either version 2 1 of the license or at your option any later version"),
+    ("agpl", 35, "you should have received a copy of the gnu affero general public license"),
+    ("mpl-2.0", 36, "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl", 34, "you can obtain one at https? mozilla org mpl"),
+    ("epl", 34, "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("unlicense", 35, "free and unencumbered software released into the public domain"),
+    ("unlicense", 34, "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("zlib", 35, "altered source versions must be plainly marked as such"),
+    ("zlib", 34, "the origin of this software must not be misrepresented"),
+    ("bsl-1.0", 35, "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("cc0-1.0", 35, "has waived all copyright and related or neighboring rights"),
+    ("cc0-1.0", 36, "creativecommons org publicdomain zero 1 0"),
+    ("public-domain", 35, "creativecommons org publicdomain mark 1 0"),
+    ("cc-by", 36, "creativecommons org licenses by [1-4] [05]"),
+    ("cc-by-sa", 37, "creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by-nc", 37, "creativecommons org licenses by nc [1-4] [05]"),
+    ("cc-by-nd", 37, "creativecommons org licenses by nd [1-4] [05]"),
+    ("cc-by-nc-sa", 38, "creativecommons org licenses by nc sa [1-4] [05]"),
+    ("cc-by-nc-nd", 38, "creativecommons org licenses by nc nd [1-4] [05]"),
+    ("cc-by-nc", 15, "cc by nc(?: [1-4] [05])?"),
+    ("wtfpl", 35, "you just do what the fuck you want to"),
+    ("artistic", 34, "you may make and give away verbatim copies of the source form"),
+    ("ofl-1.1", 35, "this font software is licensed under the sil open font license"),
+    ("ofl-1.1", 34, "fonts are allowed to remain under this license"),
+    ("postgresql", 35, "in no event shall the university of california be liable to any party"),
+    ("ncsa", 35, "to deal with the software without restriction"),
+    ("openssl", 35, "this product includes software developed by the openssl project"),
+    ("json", 35, "the software shall be used for good not evil"),
+    ("beerware", 35, "you can buy me a beer in return"),
+    ("sspl-1.0", 35, "making the functionality of the program available to third parties as a service"),
+    ("busl-1.1", 35, "effective on the change date"),
+    ("proprietary", 10, "all rights reserved"),
+    ("proprietary", 10, "proprietary and confidential"),
+    ("proprietary", 12, "unauthorized copying of this file via any medium is strictly prohibited"),
+    ("proprietary", 11, "may not be reproduced without (?:the )?(?:prior )?written permission"),
+    ("mit", 5, "mit license"),
+    ("apache", 5, "apache license"),
+    ("gpl", 5, "general public license"),
 )
 
 
+def keyword(pattern: str) -> bytes:
+    """The longest word that every match of a rule holds: what is left without optional parts, choices and classes."""
+    plain = re.sub(r"\(\?:[^()]*\)\??|\[[^\]]*\]\??|\.\{[^}]*\}\??|.\?", " ", pattern)
+    return max(plain.replace("(", " ").replace(")", " ").split(), key=len).encode()
+
+
 @dataclass(frozen=True)
 class Rule:
     label: str
     priority: int
     keyword: bytes
     pattern: re.Pattern
+    #: No match is longer.
+    longest: int
 
 
 def rules() -> list[Rule]:
     """All rules, by falling priority and then in the order of the tables."""
     made = [
-        Rule(label, priority, key.encode(), re.compile(f"(?<![^ ]){phrase.format(f'(?:{name})')}(?![^ ])".encode()))
-        for label, key, names in FAMILIES
+        (label, priority, phrase.format(f"(?:{name})"), keyword(name))
+        for label, names in FAMILIES
         for name in names
         for priority, phrase in PHRASINGS
     ]
-    made += [Rule(label, p, key.encode(), re.compile(f"(?<![^ ]){x}(?![^ ])".encode())) for label, p, key, x in SINGLE]
-    return sorted(made, key=lambda r: -r.priority)
+    made += [(label, p, x, keyword(x)) for label, p, x in SINGLE]
+    found = [Rule(label, p, k, re.compile(f"(?<![^ ]){x}(?![^ ])".encode()), len(x) + 64) for label, p, x, k in made]
+    return sorted(found, key=lambda r: -r.priority)
 
 
-#: No rule can match a text that holds none of these.
-GATE = (b"licen", b"spdx", b"released", b"distributed", b"published", b"available", b"dedicated", b"placed", b"permission")
-GATE += (b"redistribution", b"redistribute", b"unencumbered", b"altered", b"reserved", b"proprietary", b"cc by nc")
+def places(text: bytes, word: bytes) -> Iterator[int]:
+    at = text.find(word)
+    while at >= 0:
+        yield at
+        at = text.find(word, at + 1)
 
 
 class Scanner:
@@ -140,40 +203,68 @@ class Scanner:
             self.keywords.setdefault(r.keyword, []).append((k, r))
         self.base = [(f" {phrase} ".encode(), len(phrase.split()), label) for phrase, label in BASE]
 
+    def matches(self, joined: bytes) -> list[tuple[int, int, int, int, str]]:
+        """(start, end, priority, rule, label) of every rule's matches, found around its keyword."""
+        found = []
+        for key, group in self.keywords.items():
+            if key not in joined:
+                continue
+            reach = max(r.longest for _, r in group)
+            windows: list[list[int]] = []
+            for at in places(joined, key):
+                lo, hi = max(0, at - reach), min(len(joined), at + reach)
+                if windows and lo <= windows[-1][1]:
+                    windows[-1][1] = hi
+                else:
+                    windows.append([lo, hi])
+            for k, r in group:
+                for lo, hi in windows:
+                    # what ends with the window was cut off, and is no match around the keyword
+                    found += [
+                        (m.start(), m.end(), r.priority, k, r.label)
+                        for m in r.pattern.finditer(joined, lo, hi)
+                        if m.end() < hi or hi == len(joined)
+                    ]
+        return found
+
     def detections(self, joined: bytes) -> list[tuple[int, int, int, str]]:
-        """(start, end, priority, label) over ``joined``, contained ones suppressed, in order of place."""
-        present = [x for key, group in self.keywords.items() if key in joined for x in group]
-        found = [
-            (m.start(), m.end(), r.priority, k, r.label) for k, r in sorted(present) for m in r.pattern.finditer(joined)
-        ]
-        # by start, then the longer, then the higher priority; an interval is suppressed by one that holds it
-        found.sort(key=lambda x: (x[0], -x[1], -x[2], x[3]))
+        """(start, end, priority, label) of what stays, in order of place."""
+        found = sorted(self.matches(joined), key=lambda x: (-x[2], x[0], -x[1], x[3]))
         kept: list[tuple[int, int, int, int, str]] = []
-        reach: list[tuple[int, int, int, int, str]] = []
-        for x in found:
-            reach = [y for y in reach if y[1] > x[0]]
-            if not any(y[1] >= x[1] and (y[2] >= x[2] or y[:2] != x[:2]) for y in reach):
-                kept.append(x)
-                reach.append(x)
-        return [(a, b, p, label) for a, b, p, _, label in kept]
+        for _, own in groupby(found, key=lambda x: x[2]):
+            held: list[list[int]] = []  # the kept intervals so far, joined where they overlap
+            for a, b, *_ in sorted(kept):
+                if held and a < held[-1][1]:
+                    held[-1][1] = max(held[-1][1], b)
+                else:
+                    held.append([a, b])
+            starts, ends = [x[0] for x in held], [x[1] for x in held]
+            reach, new = -1, []
+            for x in own:
+                k = bisect_right(ends, x[0])  # the first that ends after x starts
+                if k < len(held) and starts[k] < x[1]:
+                    continue
+                if x[1] > reach:
+                    new.append(x)
+                    reach = x[1]
+            kept += new
+        return [(a, b, p, label) for a, b, p, _, label in sorted(kept)]
 
     def scan(self, text: str | None) -> dict:
         words = alnum_words(text) if text else []
         out = {"n_words": len(words), "base": [], "spans": []}
         joined = b" " + b" ".join(words) + b" "
-        if not any(g in joined for g in GATE):
-            return out
-        def word_at(place: int) -> int:
-            return joined.count(b" ", 0, place + 1) - 1
-
-        for phrase, n, label in self.base:
-            at = joined.find(phrase)
-            while at >= 0:
-                k = word_at(at)
+        found = [(at, n, label) for phrase, n, label in self.base for at in places(joined, phrase)]
+        spans = self.detections(joined)
+        if found or spans:
+            # the word that starts after a space
+            spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+            for (_, n, label), k in zip(found, np.searchsorted(spaces, [x[0] for x in found]).tolist(), strict=True):
                 out["base"].append((k, k + n, label))
-                at = joined.find(phrase, at + 1)
-        for a, b, priority, label in self.detections(joined):
-            out["spans"].append((word_at(a), word_at(b - 1) + 1, priority, label))
+            first = np.searchsorted(spaces, [x[0] for x in spans]) - 1
+            last = np.searchsorted(spaces, [x[1] for x in spans])
+            for (_, _, p, label), k, n in zip(spans, first.tolist(), last.tolist(), strict=True):
+                out["spans"].append((k, n, p, label))
         return out
 
 

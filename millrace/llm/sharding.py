@@ -1,17 +1,20 @@
 """Sharding by fixed virtual slots.
 
-A record's id is hashed into one of a fixed number of slots. Bytes are summed per slot, and a small table maps each slot
-to a shard so that the shards' bytes are near equal. Rebalancing edits the map, which carries a version; records keep
-their slot for good. All of it is DataFrame and SQL functions: the map is made by one ordered fold over the slots,
+A record's id and text are hashed into one of a fixed number of slots, so that rows of one id spread like others. Bytes
+are summed per slot, and a small table maps each slot to a shard so that the shards' bytes are near equal. The map is
+stored, a folder for each version; rebalancing edits the newest version and stores the next, and records keep their
+slot for good. All of it is DataFrame and SQL functions: the map is made by one ordered fold over the slots,
 whose number is a parameter and does not grow with the data.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.common import Scratch
+
 SLOTS = 8192
 #: Bytes a record takes besides its text.
 RECORD_BYTES = 16
@@ -27,12 +30,18 @@ MAP_SCHEMA = T.StructType(
 )
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    """The record's slot: the first 32 bits of md5 of the key as text, modulo the number of slots; a null key is ''."""
-    digest = F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary"))
+def slot_of(key: Column, text: Column, slots: int = SLOTS) -> Column:
+    """The record's slot: the first 32 bits of md5 of the key and of its text's crc32, modulo the number of slots. A null key
+    and a null text count as empty."""
+    digest = F.md5(F.concat_ws(" ", F.coalesce(key.cast("string"), F.lit("")), text_crc32(text)).cast("binary"))
     return F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(slots)).cast("long")
 
 
+def text_crc32(text: Column) -> Column:
+    """crc32 of the text's UTF-8 bytes, of no bytes for null."""
+    return F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def record_size(text: Column) -> Column:
     """UTF-8 bytes of the text (none for null) and the record's own bytes."""
     return (F.coalesce(F.octet_length(text), F.lit(0)) + RECORD_BYTES).cast("long")
@@ -41,7 +50,7 @@ def record_size(text: Column) -> Column:
 def slot_sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """vslot, bytes, rows of every slot that has rows. Summed before the shuffle, which moves a row for each slot and
     task at most."""
-    rows = docs.select(slot_of(F.col(key), slots).alias("vslot"), record_size(F.col(text)).alias("size"))
+    rows = docs.select(slot_of(F.col(key), F.col(text), slots).alias("vslot"), record_size(F.col(text)).alias("size"))
     return rows.groupBy("vslot").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows"))
 
 
@@ -116,9 +125,9 @@ def assign(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id", text: str
     placed = slot_map.select("vslot", "shard", "version", F.coalesce(before, F.lit(0)).cast("long").alias("before"))
     rows = docs.select(
         F.col(key).alias("key"),
-        slot_of(F.col(key), slots).alias("vslot"),
+        slot_of(F.col(key), F.col(text), slots).alias("vslot"),
         record_size(F.col(text)).alias("size"),
-        F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
+        text_crc32(F.col(text)).alias("text_crc32"),
     )
     place = F.expr("row_number() OVER (PARTITION BY vslot ORDER BY key, size, text_crc32) - 1").cast("long")
     ranked = rows.withColumn("place", place)
@@ -134,14 +143,33 @@ def assign(docs: DataFrame, slot_map: DataFrame, key: str = "doc_id", text: str
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> DataFrame:
+def store_map(slot_map: DataFrame, folder: str) -> int:
+    """Writes a map into the folder of its version, which must not exist yet, and returns the version (0 for an empty map,
+    which is version 0). The rows are a few thousand, whatever the data."""
+    version = slot_map.agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first().v
+    slot_map.coalesce(1).write.parquet(f"{folder}/v{version}")
+    return version
+
+
+def stored_map(spark: SparkSession, folder: str, version: int) -> DataFrame:
+    return spark.read.schema(MAP_SCHEMA).parquet(f"{folder}/v{version}")
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of every document, under the law ``bytes``.
 
-    ``grown_shard`` is null: with one more shard the map is edited for equal bytes (``add_shard``). Also returns vslot
-    and map_version.
+    The map is stored in ``folder`` (by default one of the session's shared folder), edited for one more shard, stored
+    again, and both versions are read back. ``grown_shard`` is null, as law ``bytes`` has it; ``next_shard`` is the shard by
+    the edited map. Also returns vslot and map_version. A null id is a key of its own, rows that repeat an id and text lie
+    in one slot, and an empty table gives no rows.
     """
-    slot_map = build_map(slot_sizes(docs, slots=slots), shards)
-    return assign(docs, slot_map, slots=slots).select(
+    spark = docs.sparkSession
+    folder = folder or Scratch(spark).base
+    first = store_map(build_map(slot_sizes(docs, slots=slots), shards), folder)
+    slot_map = stored_map(spark, folder, first)
+    edited = stored_map(spark, folder, store_map(add_shard(slot_map, shards), folder) if first else first)
+    after = edited.select("vslot", F.col("shard").alias("next_shard"))
+    return assign(docs, slot_map, slots=slots).join(F.broadcast(after), "vslot").select(
         "doc_id",
         "size",
         "text_crc32",
@@ -151,4 +179,5 @@ def shard_documents(docs: DataFrame, shards: int = 40, slots: int = SLOTS) -> Da
         F.lit(None).cast("int").alias("grown_shard"),
         "vslot",
         "map_version",
+        "next_shard",
     )

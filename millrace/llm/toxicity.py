@@ -38,8 +38,8 @@ REPORTS = (
     "alleged reportedly stated according"
 ).split()
 
-#: Fit parameters: about so many labelled texts of each class, and at most so many learned entries.
-FIT_TOXIC, FIT_CLEAN, LEARNED = 4000, 8000, 4000
+#: Fit parameters: about so many labelled texts of each class. What is learned is bounded by them.
+FIT_TOXIC, FIT_CLEAN = 4000, 8000
 STEMS = (4, 5, 6)
 #: Evidence (log-likelihood ratio) and share of toxic texts from which a word or stem is learned.
 EVIDENCE, PRECISION = 16.0, 0.9
@@ -48,7 +48,8 @@ BASE = 0.01
 
 OTHER, END, STOP, TARGET, NEGATION, REPORT, THREAT, INSULT = range(8)
 CLASSES = 8
-TOKENS = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?\n,;:]")
+NEITHER = (OTHER, 0.0)
+TOKENS = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?\n,;:]")
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -119,7 +120,7 @@ class Grammar:
             self.words[w] = (self.words.get(w, (INSULT,))[0] if w in THREATS else INSULT, p)
         self.stems = stems
         self.move, self.weight, self.later = compose(negation(), reported(), aimed())
-        self.read = Recent(self.lookup, 200_000)
+        self.read = Recent(self.lookup, 50_000)
 
     def lookup(self, token: str) -> tuple[int, float]:
         found = self.words.get(token)
@@ -127,18 +128,17 @@ class Grammar:
             for n in reversed(STEMS):
                 if len(token) > n and (p := self.stems.get(token[:n])) is not None:
                     return INSULT, p
-        return found or (OTHER, 0.0)
+        return found or NEITHER
 
     def score(self, text: str | None) -> float:
         if not text:
             return BASE
-        text = text.lower()
-        read = self.read
-        if not any(read[w][0] >= THREAT for w in set(WORDS.findall(text))):
+        read, tokens = self.read, TOKENS.findall(text.lower().replace("’", "'"))
+        if not any(read[w][0] >= THREAT for w in set(tokens)):
             return BASE
         state, clause, pending, clean = 0, 0.0, 0.0, 1.0
-        for token in TOKENS.findall(text):
-            c, p = read[token.replace("’", "'")]
+        for token in tokens:
+            c, p = read[token]
             if c >= THREAT:
                 clause = max(clause, p * self.weight[state][c])
                 pending = max(pending, p * self.later[state][c])
@@ -195,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     gain = t * F.log(share / prior) + F.when(c > 0, c * F.log((1 - share) / (1 - prior))).otherwise(0.0)
     written = F.col("feature").isin(INSULTS + THREATS) & (F.col("kind") == 0)
     good = sums.withColumn("gain", gain).where(((F.col("gain") >= EVIDENCE) & (share >= PRECISION)) | written)
-    rows = good.orderBy(F.desc("gain"), "kind", "feature").limit(LEARNED).collect()
+    rows = good.collect()  # each stands in several texts of the bounded sample
     weight = {(r.kind, r.feature): (r.t + 0.5) / (r.t + r.c + 1.0) for r in rows}
     return Grammar(
         {w: p for (kind, w), p in weight.items() if kind == 0}, {w: p for (kind, w), p in weight.items() if kind}

@@ -293,6 +293,9 @@ def test_sharding(spark):
 
 def test_slot_map_against_greedy(spark):
     many = spark.range(5000).selectExpr("id AS doc_id", "repeat('x', cast(pmod(hash(id), 400) AS int)) AS text")
+    hot = many.selectExpr("CASE WHEN doc_id % 3 = 0 THEN NULL WHEN doc_id % 3 = 1 THEN 7 ELSE doc_id END AS doc_id", "concat(text, doc_id) AS text")
+    load = sharding.shard_documents(hot, shards=8, slots=512).groupBy("shard").agg(F.sum("size").alias("n")).collect()
+    assert len(load) == 8 and max(r.n for r in load) < 1.02 * min(r.n for r in load)
     sizes = sharding.slot_sizes(many, slots=512)
     first = sharding.build_map(sizes, 8)
     loads, want = [0] * 8, {}
@@ -308,6 +311,14 @@ def test_slot_map_against_greedy(spark):
     assert 0.8 < new / (sum(loads) / 9) <= 1.0
 
 
+def test_stored_maps(spark, tmp_path):
+    folder = str(tmp_path / "map")
+    rows = sharding.shard_documents(documents(spark), shards=4, slots=64, folder=folder).collect()
+    one, two = ({r.vslot: r.shard for r in sharding.stored_map(spark, folder, v).collect()} for v in (1, 2))
+    assert all((r.shard, r.next_shard, r.map_version) == (one[r.vslot], two[r.vslot], 1) for r in rows)
+    assert set(one) == set(two) and all(two[v] in (one[v], 4) for v in one)
+
+
 # ---- 4
 
 
@@ -481,6 +492,136 @@ def test_a_threat_counts_before_its_target():
     assert s("she said I will kill you") < s("I will kill you")
 
 
+def test_letters_decide_what_has_a_language(spark):
+    rows = [(i, t, "en") for i, t in enumerate(["the thing of it"] * 20)] + [(100 + i, t, None) for i, t in enumerate(["½ ²", "Ⅷ", "１２", "ª", "ß", "中", "\n\t", "x" * 5_000_000])]
+    rows += [rows[0], (None, "the", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("lang_pred", F.lit(1)).withColumn("h", F.lit(1)).withColumn("other", F.lit(1))
+    got = language_id.predict(df).collect()
+    assert len(got) == len(rows)
+    assert [r.lang_pred for r in sorted(got, key=lambda r: r.doc_id or 0) if (r.doc_id or 0) >= 100] == ["und"] * 3 + ["en"] * 3 + ["und", "en"]
+
+
+def test_language_against_brute_force(spark):
+    """The whole text in blocks with each language's dictionary: fewest bytes, ties to more rows."""
+    import zstandard
+
+    letters = {"en": "th ing er and of to".split(), "fr": "eau eux oir que ent é".split()}
+    rows = [(i, " ".join("".join(RNG.choice(letters[("en", "fr")[i % 2]]) for _ in range(3)) for _ in range(10 + 90 * (i % 7))), ("en", "fr")[i % 2]) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language_id.fit(df)
+    assert all(len(v) > 5000 for v in samples.values())
+    for r in language_id.predict(df).collect():
+        raw = language_id.normal(rows[r.doc_id][1])
+        sizes = {}
+        for lang, content in samples.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes[lang] = sum(len(c.compress(raw[k : k + language_id.BLOCK])) for k in range(0, len(raw), language_id.BLOCK))
+        assert sizes[r.lang_pred] <= min(sizes.values()) * 1.01 and r.rejected == (r.margin < language_id.MARGIN)
+
+
+def brute_toxic(text, words, stems):
+    """A text's score, clause by clause: no machines, no early exit."""
+    import re
+
+    if not text:
+        return toxicity.BASE
+    tokens = re.findall(r"[^\W_]+(?:'[^\W_]+)*|[.!?\n,;:]", text.lower().replace("’", "'"))
+    clean, at = 1.0, 0
+    reported = False
+    while at < len(tokens):
+        end = at
+        while end < len(tokens) and tokens[end] not in ".!?\n,;:":
+            end += 1
+        clause, best = tokens[at:end], 0.0
+        for k, t in enumerate(clause):
+            kind, p = words.get(t, (None, 0.0))
+            if kind is None:
+                for n in (6, 5, 4):
+                    if len(t) > n and t[:n] in stems:
+                        kind, p = toxicity.INSULT, stems[t[:n]]
+                        break
+            if kind == toxicity.REPORT:
+                reported = True
+            if kind in (toxicity.INSULT, toxicity.THREAT):
+                is_target = [words.get(x, (0,))[0] == toxicity.TARGET for x in clause]
+                w = p
+                if any(words.get(x, (0,))[0] == toxicity.NEGATION for x in clause[max(0, k - 3) : k]):
+                    w *= 0.15
+                if reported:
+                    w *= 0.5
+                if kind == toxicity.INSULT:
+                    w *= 1.0 if any(is_target[:k]) else 0.9
+                else:
+                    w *= 1.0 if any(is_target) else 0.1
+                best = max(best, w)
+        clean *= 1 - best
+        if end < len(tokens) and tokens[end] in ".!?\n":
+            reported = False
+        at = end + 1
+    return max(toxicity.BASE, 1 - clean)
+
+
+def test_toxicity_against_brute_force(spark):
+    words = ["you", "idiot", "kill", "not", "said", "grum7x", "grumble", "gru", "them", "the", "vileword", "don't", "don’t", "stupid", "hurt", "ok", "x9"]
+    learned, stems = {"vileword": 0.95, "kill": 0.7}, {"grum": 0.97, "vilew": 0.92}
+    g = toxicity.Grammar(learned, stems)
+    for k in range(3000):
+        t = "".join(RNG.choice(words) + RNG.choice([" ", " ", " ", " ", ". ", ", ", "\n", "! ", " - "]) for _ in range(RNG.randint(1, 14)))
+        assert g.score(t) == pytest.approx(brute_toxic(t, g.words, stems)), t
+    assert g.score("you grum7x") >= 0.3
+    assert g.score("fine words here. " * 300_000 + "you idiot") > 0.5
+
+
+def test_toxic_words_are_learned_as_counted(spark):
+    rows = [(i, prose(12) + (f" vilest{i % 5} grimword" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").withColumn("toxic", F.lit("x")).withColumn("feature", F.lit(1))
+    labels = spark.createDataFrame([(i, x) for i, _, x in rows] + [(0, 0), (8, None)], "doc_id long, toxic int")
+    g = toxicity.fit(docs, labels)
+    train = [(t, x) for i, t, x in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    hit = sum("grimword" in t for t, x in train)
+    assert g.words["grimword"] == (toxicity.INSULT, pytest.approx((hit + 0.5) / (hit + 1))) and "viles" in g.stems
+    twice = docs.unionByName(docs.limit(7))
+    assert toxicity.classify(twice, labels).count() == 307
+
+
+def brute_licenses(text):
+    """All rules over the whole text, and each detection against all kept ones."""
+    joined = b" " + b" ".join(alnum_words(text)) + b" "
+    found = [(m.start(), m.end(), r.priority, k) for k, r in enumerate(licenses.rules()) for m in r.pattern.finditer(joined)]
+    kept = []
+    for a, b, p, k in sorted(found, key=lambda x: (-x[2], x[0], -x[1], x[3])):
+        over = any(q > p and c < b and a < d for c, d, q, _ in kept)
+        inside = any(q == p and c <= a and b <= d for c, d, q, _ in kept)
+        if not over and not inside:
+            kept.append((a, b, p, k))
+    return sorted((joined.count(b" ", 0, a) - 1, joined.count(b" ", 0, b), p, licenses.rules()[k].label) for a, b, p, k in kept)
+
+
+def test_licenses_against_brute_force():
+    vocabulary = (
+        "the mit license apache general public gnu gpl lgpl version 2 3 0 1 licensed released under terms of bsd clause new asl cc by nc sa 4 "
+        "spdx identifier all rights reserved isc is permission creative commons attribution mozilla software x11 expat v3 you may"
+    ).split()
+    s = licenses.Scanner()
+    texts = [" ".join(RNG.choice(vocabulary) for _ in range(RNG.randint(1, 60))) for _ in range(250)]
+    texts += ["Licensed under the ASL 2.0", f"{prose(300)} mit license {prose(300)} apache license 2.0", *(x for _, _, x in licenses.SINGLE)]
+    for t in texts:
+        got = sorted((x[0], x[1], x[2], x[3]) for x in s.scan(t)["spans"])
+        assert got == brute_licenses(t), t
+    assert s.scan("Licensed under the ASL 2.0")["spans"][0][3] == "apache-2.0"
+
+
+def test_licenses_of_very_long_and_repeated_texts(spark):
+    texts = ["mit LICENSE " * 40_000, "words of a text " * 300_000, "Released under the MIT License."] * 2
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (2, texts[2])], "doc_id long, text string")
+    for c in ("labels", "n_words", "base", "r", "spans"):
+        df = df.withColumn(c, F.lit(1))
+    got = licenses.report(df).collect()
+    assert len(got) == 8 and sorted(r.n_base for r in got) == [0, 0, 0, 1, 1, 1, 40_000, 40_000]
+    assert [r.last_word for r in got if r.n_base > 1] == [79_998] * 2
+
+
 def brute_base(text):
     w = [x.decode() for x in alnum_words(text or "")]
     found = [(i, label) for phrase, label in licenses.BASE for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
