@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.text import literal_lock
+from millrace.functions.text import literal_lock, tokens
 
 ID, MATCH, DISPLAY, REVIEW = "IMMUTABLE_ID", "IMMUTABLE_MATCH_VALUE", "TRANSLATABLE_DISPLAY", "UNKNOWN_REVIEW"
 LANGUAGE_FORMATS = ("json-lang", "legacy-lang")
@@ -70,3 +70,18 @@ def unit_policy(form: Column, text: Column, preset: Column, suspected: Column, b
         .when(form.isin(*LANGUAGE_FORMATS), fixed(DISPLAY, "language value"))
         .otherwise(by_locator)
     )
+
+
+def suspected_containers(units: DataFrame, container: str, text: str) -> DataFrame:
+    """The containers whose texts look like a cipher: eight texts or more, 160 letters, 95 % of them capitals, eight
+    different words of six capitals, four of them with five consonants in a row.
+
+    Every signal is a count, so a container's texts are never brought together; words are counted once by a distinct.
+    Null texts count as none.
+    """
+    letters, capitals = F.regexp_count(text, F.lit("[A-Za-z]")), F.regexp_count(text, F.lit("[A-Z]"))
+    dense = units.groupBy(container).agg(F.count("*").alias("n"), F.sum(letters).alias("letters"), F.sum(capitals).alias("capitals"))
+    dense = dense.where("n >= 8 AND letters >= 160 AND capitals >= 0.95 * letters").select(container)
+    words = units.select(container, F.explode(tokens(F.col(text), r"\b[A-Z]{6,}\b")).alias("word")).join(dense, container, "left_semi").distinct()
+    found = words.groupBy(container).agg(F.count("*").alias("words"), F.count_if(F.col("word").rlike("[BCDFGHJKLMNPQRSTVWXZ]{5,}")).alias("broken"))
+    return found.where("words >= 8 AND broken >= 4").select(container)

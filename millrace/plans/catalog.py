@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import accounts, audits, lookups, sequences, texts
+from millrace.plans import accounts, audits, lines, lookups, paths, sequences, texts
 from millrace.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "accounts", "audits", "lookups", "sequences", "texts"]
+__all__ = ["ORACLES", "QUERIES", "accounts", "audits", "lines", "lookups", "paths", "sequences", "texts"]
