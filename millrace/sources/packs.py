@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -25,7 +26,11 @@ def folder(spark: SparkSession, root: str) -> DataFrame:
     """path (below root), content of every file under a folder. Only files that later filters keep are read."""
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
-    below = F.expr(f"substring_index(path, '{base.rsplit('/', 1)[-1]}/', -1)")
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    # Spark may write a scheme with one slash or three; what follows the folder's own path is below it
+    own = F.regexp_replace("path", "^([a-z0-9]+):/+", "$1:/")
+    below = F.substring(own, len(re.sub("^([a-z0-9]+):/+", r"\1:/", whole)) + 2, 1 << 20)
     return files.select(below.alias("path"), "content").where(~os_metadata(F.col("path")))
 
 

@@ -27,3 +27,8 @@ def write_counts(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuer
         latest(stream).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
+
+
+def write_events(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The events as JSON lines, appended once each whatever fails between."""
+    return stream.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -11,10 +11,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import gate
+from millrace.functions import lines as L_
 from millrace.functions import text as X
 from millrace.operators import lookup as L
-from millrace.operators import packing, sequence
-from millrace.sources import language, nbt, packs, sinks
+from millrace.operators import dimensions, packing, sequence
+from millrace.sources import documents, language, nbt, packs, sinks
 from millrace.streaming import progress
 
 
@@ -183,3 +184,132 @@ def test_cli(spark, tmp_path, capsys):
     (tmp_path / "g.json").write_text('[{"source":"a","target":"b"}]')
     cli.main(["glossary", str(tmp_path / "g.json"), str(tmp_path / "g")], spark)
     assert spark.read.parquet(str(tmp_path / "g")).first().priority == 100
+
+
+def test_folders_within_folders_of_one_name(spark, tmp_path):
+    root = tmp_path / "it's a pack"
+    (root / "a" / "it's a pack").mkdir(parents=True)
+    (root / "a" / "it's a pack" / "b.json").write_text("{}")
+    (root / "c.json").write_text("[]")
+    assert {r.path for r in packs.folder(spark, str(root)).collect()} == {"a/it's a pack/b.json", "c.json"}
+
+
+def region(*documents):
+    data = bytearray(8192 + 4096 * len(documents))
+    for k, raw in documents_at(documents):
+        data[4 * k : 4 * k + 4] = (2 + k).to_bytes(3, "big") + b"\x01"
+        packed = zlib.compress(raw)
+        at = 8192 + 4096 * k
+        data[at : at + 5] = struct.pack(">IB", len(packed) + 1, 2)
+        data[at + 5 : at + 5 + len(packed)] = packed
+        data[4096 + 4 * k : 4100 + 4 * k] = struct.pack(">I", 1000 + k)
+    return bytes(data)
+
+
+def documents_at(documents):
+    return list(enumerate(documents))
+
+
+def test_tags_are_written_and_read_back(spark):
+    mca = region(document(), document())
+    df = files(spark, [("a.dat", gzip.compress(document())), ("r.mca", mca), ("n.nbt", document()), ("same.nbt", document()), ("bad.nbt", document())])
+    edits = [
+        ("a.dat", None, ["tag", "pages", "0"], "eins 😀\x00"), ("r.mca", 1, ["tag", "pages", "1"], "zwei"), ("n.nbt", None, ["tag", "pages", "1"], ""),
+        ("same.nbt", None, ["tag", "pages", "0"], "one"), ("bad.nbt", None, ["tag", "pages", "7"], "x"), ("bad.nbt", None, ["tag", "pages", "0"], "y"),
+    ]
+    out = nbt.rewritten(df, spark.createDataFrame(edits, "path string, chunk int, keys array<string>, value string"))
+    rows = {r.path: r for r in out.collect()}
+    assert {p: r.changed for p, r in rows.items()} == {"a.dat": 1, "r.mca": 1, "n.nbt": 1, "same.nbt": 0, "bad.nbt": 0}
+    assert rows["bad.nbt"].error and bytes(rows["bad.nbt"].content) == document() and bytes(rows["same.nbt"].content) == document()
+    before = {(r.path, r.chunk, ".".join(r["keys"])): r.value for r in nbt.leaves(df).collect()}
+    after = {(r.path, r.chunk, ".".join(r["keys"])): r.value for r in nbt.leaves(out.select("path", "content")).collect()}
+    changed = {k: v for k, v in after.items() if before[k] != v}
+    assert changed == {("a.dat", None, "tag.pages.0"): "eins 😀\x00", ("r.mca", 1, "tag.pages.1"): "zwei", ("n.nbt", None, "tag.pages.1"): ""}
+    assert set(before) == set(after)
+    new = bytes(rows["r.mca"].content)
+    assert new[4096:8192] == mca[4096:8192] and new[8192:12288] == mca[8192:12288]
+    with pytest.raises(ValueError):
+        nbt.with_chunks(mca, {0: bytes(__import__("random").Random(1).randbytes(2_000_000))})
+
+
+def test_units_of_tags(spark):
+    rows = [
+        ("w/a.dat", ["Data", "LastOutput"], "done"), ("w/a.dat", ["Entities", "0", "CustomName"], "Steve_1"), ("w/a.dat", ["Entities", "0", "CustomName"], "Old Man"),
+        ("w/a.dat", ["Entities", "1", "CustomName"], "mob_7"), ("w/a.dat", ["tag", "display", "Name"], "Sword"), ("w/a.dat", ["tag", "pages", "0"], "Once"),
+        ("w/a.dat", ["tag", "author"], "Me"), ("w/a.dat", ["x", "y"], "?"), ("w/a.dat", ["x", "text"], "  "), ("w/a.dat", ["plugin", "text"], "maybe"),
+        ("g/structures/a.nbt", ["plugin", "text"], "maybe"),
+    ]
+    df = spark.createDataFrame([(p, None, k, nbt.STRING, v, None) for p, k, v in rows], nbt.LEAVES)
+    got = {(r.path[0], ".".join(r["keys"]), r.value): (r.policy, r.reason) for r in nbt.tag_units(df).collect()}
+    assert len(got) == len(rows) - 1
+    assert got["w", "Data.LastOutput", "done"] == ("IMMUTABLE_MATCH_VALUE", "command feedback")
+    assert [got["w", "Entities.0.CustomName", n][1] for n in ("Steve_1", "Old Man")] == ["player name", "entity name"]
+    assert got["w", "Entities.1.CustomName", "mob_7"][0] == "IMMUTABLE_MATCH_VALUE" and got["w", "tag.author", "Me"][1] == "author"
+    assert got["w", "tag.display.Name", "Sword"][0] == got["w", "tag.pages.0", "Once"][0] == got["g", "plugin.text", "maybe"][0] == "TRANSLATABLE_DISPLAY"
+    assert got["w", "plugin.text", "maybe"] == ("UNKNOWN_REVIEW", "no safe path") and got["w", "x.y", "?"][0] == "UNKNOWN_REVIEW"
+
+
+def test_json_is_written_by_pointer(spark):
+    body = '{"a~/b": ["x", {"t": "y"}],\n "n": 1}'
+    df = files(spark, [("a.json", body), ("same.json", body), ("bad.json", body), ("broken.json", "{")])
+    edits = [("a.json", "/a~0~1b/1/t", "甲"), ("same.json", "/a~0~1b/0", "x"), ("bad.json", "/a~0~1b/0", "z"), ("bad.json", "/q", "z"), ("broken.json", "/q", "z")]
+    rows = {r.path: r for r in documents.rewritten(df, spark.createDataFrame(edits, "path string, pointer string, value string")).collect()}
+    assert json.loads(rows["a.json"].content) == {"a~/b": ["x", {"t": "甲"}], "n": 1} and rows["a.json"].changed == 1
+    assert all(rows[p].content.decode() == body for p in ("same.json", "bad.json")) and rows["bad.json"].error and rows["broken.json"].error
+
+
+def test_reports_and_stores(spark, tmp_path):
+    store = spark.createDataFrame([("p1", "h", "old"), ("p9", "h", "old")], "passage_id string, source_hash string, members string")
+    runs = spark.createDataFrame([("p1", "h", "new", True), ("p2", "h", "new", True), ("p3", "h", "new", False), ("p9", "h", "new", True)], "passage_id string, source_hash string, members string, published boolean")
+    members = spark.createDataFrame([("p1", True), ("p1", True), ("p2", True), ("p2", False), ("p3", True), ("p9", None)], "passage_id string, written boolean")
+    assert {(r.passage_id, r.members) for r in sinks.put_passages(store, runs, members).collect()} == {("p1", "new")}
+    edits = spark.createDataFrame([("u", "s", "t", "ok")], "unit_key string, source_text string, target_text string, status string")
+    sinks.append_manual_edit(spark, str(tmp_path / "e"), edits)
+    sinks.append_manual_edit(spark, str(tmp_path / "e"), edits)
+    good, errors = sinks.manual_edits(spark, str(tmp_path / "e"))
+    assert (good.count(), errors.count()) == (2, 0)
+    with pytest.raises(ValueError):
+        sinks.append_manual_edit(spark, str(tmp_path / "e"), edits.withColumn("source_text", F.lit(" ")))
+    page = sinks.html_report("<run>", {"units": spark.range(100).select("id", F.lit("<b>").alias("t"))})
+    assert page.count("<tr>") == 1 + sinks.SHOWN and "(100)" in page and "<b>" not in page and "&lt;run&gt;" in page
+    sinks.write_json(str(tmp_path / "m.json"), {"a": "é"})
+    assert json.loads((tmp_path / "m.json").read_text()) == {"a": "é"} and not list(tmp_path.glob("*.part"))
+    assert "hunter22" not in open(sinks.failure_log(str(tmp_path / "f.log"), ValueError("password=hunter22"), "x")).read()
+    assert sinks.failure_log(str(tmp_path / "no/f.log"), ValueError("x"), "x") is None
+    paths = ["assets/m/lang/zh_cn.json", "a.lang", "x/lang/a.lang", "q.json", "f.mcfunction", "r.MCA", "z.png"]
+    routed = {r.path: r.writer for r in sinks.routed(spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert [routed[p] for p in paths] == ["language", None, "legacy", "json", "script", "tags", None]
+    rows = spark.createDataFrame([("r", None, "t", "s"), (None, "e", "t", "s"), (None, None, "s", "s"), (None, None, None, "s"), (None, None, "t", "s")], "gated string, failed string, target string, source string")
+    got = rows.select(sinks.write_status(*(F.col(c) for c in rows.columns)).alias("s")).collect()
+    assert [r.s for r in got] == ["blocked", "failed", "unchanged", "unchanged", "changed"]
+
+
+def test_allow_lists_fail_closed(spark, tmp_path):
+    schema = "file string, locator string"
+    assert dimensions.allow_list(spark, str(tmp_path / "none.json"), schema).count() == 0
+    (tmp_path / "a.json").write_text('{"file":"f","locator":"l"}\nbroken\n{"file":"g"}\n')
+    assert [tuple(r) for r in dimensions.allow_list(spark, str(tmp_path / "a.json"), schema).collect()] == [("f", "l")]
+    (tmp_path / "n.json").write_text('{"format":"names-1","input_fingerprint":"x",\n"names":{"Bob":"鲍勃"}}')
+    assert [tuple(r) for r in dimensions.name_config(spark, str(tmp_path / "n.json"), "names-1", "x").collect()] == [("Bob", "鲍勃")]
+    for form, mark in (("names-2", "x"), ("names-1", "y")):
+        with pytest.raises(ValueError):
+            dimensions.name_config(spark, str(tmp_path / "n.json"), form, mark)
+
+
+def test_event_sink(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.json").write_text('{"unit":1,"seq":2,"state":"done"}\n')
+    for _ in range(2):  # what was written is not written again
+        progress.write_events(progress.events(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "c")).awaitTermination(60)
+    assert spark.read.json(str(tmp_path / "out")).count() == 1
+
+
+def test_lines_of_commands(spark):
+    row = lambda s: spark.createDataFrame([(s,)], "c string").select(
+        L_.command_tokens(F.col("c")).alias("w"), L_.command_starts(F.col("c")).alias("s"), L_.unescaped(F.col("c")).alias("u"), L_.selector_references(F.col("c")).alias("r")
+    ).first()
+    got = row("execute as @e[name=\"A b\",tag=!x] run say 'it\\'s' \"open")
+    assert got.w == ["execute", "as", "@e[name=A b,tag=!x]", "run", "say", "it\\'s", "open"]
+    assert got.s[1:] == ["say 'it\\'s' \"open"] and [tuple(r) for r in got.r] == [("name", "A b")]
+    assert row("tag run run x").s == ["tag run run x"] and row("").w == []
+    assert row("a\\u00e9\\n\\q\\x4\\\\u0041").u == "aé\n\\q\\x4\\u0041"
