@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.text import count, tokens
-from millrace.operators.lookup import union_all
+from millrace.operators.lookup import hashes, union_all
 
 
 def issues(df: DataFrame, bad: Column, level: Column | str, category: str, key: str, message: Column | str) -> DataFrame:
@@ -25,9 +25,10 @@ def parse_regression(before: DataFrame, after: DataFrame, key: str, text: str) -
 
 def immutable_changed(df: DataFrame, key: str, locked: Column, source: str, output: str, official: DataFrame) -> DataFrame:
     """Locked values that changed, unless to their official translation."""
-    exempt = official.select(F.col("source").alias("__s"), F.col("target").alias("__t")).distinct()
-    hit = (F.col(source) == F.col("__s")) & (F.col(output) == F.col("__t"))
-    return issues(df.join(exempt, hit, "left_anti"), locked & ~F.col(output).eqNullSafe(F.col(source)), "error", "immutable", key, "changed")
+    changed = df.where(locked & ~F.col(output).eqNullSafe(F.col(source))).select(key, *hashes(source, output), F.col(output).isNull().alias("__none"))
+    exempt = official.where("source IS NOT NULL AND target IS NOT NULL").select(*hashes("source", "target"), F.lit(False).alias("__none"))
+    # few rows of either side, and these as hashes
+    return issues(changed.join(exempt, ["__h1", "__h2", "__none"], "left_anti"), F.lit(True), "error", "immutable", key, "changed")
 
 
 def book_layout(df: DataFrame, key: str, source: str, output: str) -> DataFrame:

@@ -45,10 +45,15 @@ def majority(units: DataFrame, key: str, target: str, seq: str) -> DataFrame:
 def conflicts(units: DataFrame, source: str, target: str, seq: str, top: int = 8, samples: int = 3) -> DataFrame:
     """norm, target, n, samples, rank: the ``top`` targets of every source that has several, with the first places."""
     norm = units.withColumn("norm", F.lower(strip(F.col(source))))
-    n = norm.groupBy("norm", target).agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set(seq)), 1, samples).alias("samples"))
+    n = norm.groupBy("norm", target).agg(F.count("*").alias("n"))
     several = n.groupBy("norm").agg(F.count("*").alias("kinds")).where("kinds > 1").select("norm")
     rank = F.row_number().over(Window.partitionBy("norm").orderBy(F.desc("n"), target))
-    return n.join(several, "norm").withColumn("rank", rank).where(F.col("rank") <= top)
+    ranked = n.join(several, "norm").withColumn("rank", rank).where(F.col("rank") <= top)
+    # of each pair's places every task passes on ``samples`` at most
+    turn = F.row_number().over(Window.partitionBy("norm", target).orderBy(seq))
+    places = norm.select("norm", target, seq).withColumn("__turn", turn).where(F.col("__turn") <= samples)
+    places = places.groupBy("norm", target).agg(F.array_sort(F.collect_set(seq)).alias("samples"))
+    return ranked.join(places, ["norm", target]).select("norm", target, "n", "samples", "rank")
 
 
 def merge_conflicts(frames: list[DataFrame], key: str, target: str) -> DataFrame:
@@ -63,7 +68,20 @@ def merge_conflicts(frames: list[DataFrame], key: str, target: str) -> DataFrame
     )
 
 
-def duplicate_names(files: DataFrame, path: str) -> DataFrame:
-    """name, n, paths: base names, without case, that several files have."""
-    name = F.lower(F.element_at(F.split(F.col(path), "/"), -1))
-    return files.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(path)).alias("paths")).where("n >= 2")
+def duplicate_names(files: DataFrame, path: str, most: int = 20) -> DataFrame:
+    """name, n, paths: base names, without case, that several files have, and the first ``most`` of these (a report's cap)."""
+    named = files.select(F.lower(F.element_at(F.split(F.col(path), "/"), -1)).alias("name"), path)
+    n = named.groupBy("name").agg(F.count("*").alias("n")).where("n >= 2")
+    turn = F.row_number().over(Window.partitionBy("name").orderBy(path))
+    first = named.withColumn("__turn", turn).where(F.col("__turn") <= most).groupBy("name").agg(F.array_sort(F.collect_list(path)).alias("paths"))
+    return n.join(first, "name")
+
+
+def content_fingerprint(files: DataFrame, folder: str, path: str, digest: str) -> DataFrame:
+    """folder and fingerprint: sha256 over ``path NUL digest LF`` of a folder's files in order of their paths.
+
+    The value is defined over all of a folder's files in one sequence, so their paths and digests (not their contents)
+    meet in one row: some 100 bytes a file."""
+    lines = F.array_sort(F.collect_list(F.struct(path, digest)))
+    joined = F.array_join(F.transform(lines, lambda x: F.concat(x[path], F.lit("\x00"), x[digest], F.lit("\n"))), "")
+    return files.groupBy(folder).agg(F.sha2(joined, 256).alias("fingerprint"))

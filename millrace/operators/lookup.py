@@ -9,13 +9,19 @@ from pyspark.sql import functions as F
 
 from millrace.functions.text import strip
 
-#: Rows up to which a dimension is sent to all executors; a larger one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as JSON) up to which a dimension is sent to all executors; a larger one is joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def sized(dim: DataFrame) -> DataFrame:
     """The dimension with a broadcast hint if it is proven small."""
-    return F.broadcast(dim) if dim.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else dim
+    size = dim.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(dim) if size.n <= BROADCAST_ROWS and size.bytes <= BROADCAST_BYTES else dim
+
+
+def hashes(*columns: str) -> list[Column]:
+    """Two 64-bit hashes of the columns, as ``__h1`` and ``__h2``: a join's key that is short whatever the texts."""
+    return [F.xxhash64(*columns).alias("__h1"), F.xxhash64(*columns, F.lit(1)).alias("__h2")]
 
 
 def first_by(df: DataFrame, keys: list[str | Column], *order: Column) -> DataFrame:
@@ -25,10 +31,14 @@ def first_by(df: DataFrame, keys: list[str | Column], *order: Column) -> DataFra
 
 
 def seed_join(units: DataFrame, seeds: DataFrame, keys: list[str], target: str = "target") -> DataFrame:
-    """Units with the target of the seed that has the same keys; locked units and seeds that equal their source get none."""
-    wanted = seeds.where(F.col(target).isNotNull() & (F.col(target) != F.col("source_text"))).select(*keys, target)
-    met = units.join(wanted, keys, "left")
-    return met.withColumn(target, F.when(F.col("policy") == "TRANSLATABLE_DISPLAY", F.col(target)))
+    """Units with the target of the seed that has the same keys; locked units and seeds that equal their source get none.
+
+    Keys meet as 128 bits of hash, not as whole texts. A unit with a null key has no seed."""
+    good = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.col(target).isNotNull() & (F.col(target) != F.col("source_text")))
+    wanted = seeds.where(good).select(*hashes(*keys), target)
+    met = units.select("*", *hashes(*keys)).join(wanted, ["__h1", "__h2"], "left").drop("__h1", "__h2")
+    whole = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.col("policy") == "TRANSLATABLE_DISPLAY")
+    return met.withColumn(target, F.when(whole, F.col(target)))
 
 
 def memory_join(units: DataFrame, memory: DataFrame, fallback: bool = False) -> DataFrame:
@@ -98,13 +108,15 @@ def maximal_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Spans (start, end) that no longer span of the same keys holds.
 
     Sorted by start and then by falling end, a span lies within an earlier one just if the furthest end so far reaches
-    its own: one window instead of a self join.
+    its own; of equal spans the first tells it for all. One shuffle by the keys.
     """
     order = Window.partitionBy(*keys).orderBy("start", F.desc("end"))
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    distinct = spans.dropDuplicates([*keys, "start", "end"])
-    kept = distinct.withColumn("__far", before).where(F.col("__far").isNull() | (F.col("__far") < F.col("end"))).drop("__far")
-    return spans.join(kept.select(*keys, "start", "end"), [*keys, "start", "end"], "left_semi")
+    first = F.row_number().over(Window.partitionBy(*keys, "start", "end").orderBy("__row"))
+    held = spans.withColumn("__far", before).withColumn("__row", F.row_number().over(order)).withColumn("__first", first)
+    free = F.col("__far").isNull() | (F.col("__far") < F.col("end"))
+    mine = F.bool_or((F.col("__first") == 1) & free).over(Window.partitionBy(*keys, "start", "end"))
+    return held.withColumn("__free", mine).where("__free").select(*spans.columns)
 
 
 def asset_full(entries: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -156,10 +168,15 @@ def newest_report(reports: DataFrame, keys: list[str], usable: Column | None = N
 
 
 def allowed_fragments(units: DataFrame, allow: DataFrame, keys: list[str], file: str) -> DataFrame:
-    """Units with an allow-list row of the same keys and source whose whole passage stands in the unit's file."""
-    held = units.groupBy(file).agg(F.collect_set("locator").alias("__have"))
-    met = units.join(allow.withColumnRenamed("source", "__source"), keys).where(F.col("source") == F.col("__source")).join(held, file)
-    return met.where(F.size(F.array_except("passage", "__have")) == 0).select(*units.columns)
+    """Units with an allow-list row of the same keys and source whose whole passage stands in the unit's file.
+
+    The members of the passages are looked up one by one: no file's locators are ever brought together."""
+    met = units.join(allow.withColumnRenamed("source", "__source"), keys).where(F.col("source") == F.col("__source"))
+    met = met.withColumn("__want", F.array_distinct("passage")).withColumn("__unit", F.xxhash64(*keys, "locator", file, "__want"))
+    want = met.select("__unit", file, F.explode("__want").alias("locator"), F.size("__want").alias("__n")).distinct()
+    have = want.join(units.select(file, "locator").distinct(), [file, "locator"], "left_semi")
+    whole = have.groupBy("__unit", "__n").agg(F.count("*").alias("__have")).where(F.col("__have") == F.col("__n")).select("__unit")
+    return met.where(F.size("__want") == 0).select(*units.columns).unionByName(met.join(whole, "__unit", "left_semi").select(*units.columns))
 
 
 def member_sets(members: DataFrame, stored: DataFrame) -> DataFrame:

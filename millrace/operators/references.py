@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 
 def reference_index(refs: DataFrame, most: int = 12) -> DataFrame:
-    """One row an object: kind of its first occurrence, exact counts of definitions and uses, and its first ``most`` uses."""
+    """One row an object: kind of its first occurrence, exact counts of definitions and uses, and its first ``most`` uses.
+
+    Each task passes on so many uses of an object at most, so no list grows with an object's uses. Rows without a role
+    count as neither."""
     used = F.col("role") == "use"
-    return refs.groupBy("object_key").agg(
-        F.min(F.struct("seq", "kind"))["kind"].alias("kind"),
-        F.count_if(~used).alias("definitions"),
-        F.count_if(used).alias("uses"),
-        F.slice(F.array_sort(F.collect_list(F.when(used, F.col("seq")))), 1, most).alias("first_uses"),
+    counts = refs.groupBy("object_key").agg(
+        F.min(F.struct("seq", "kind"))["kind"].alias("kind"), F.count_if(~used).alias("definitions"), F.count_if(used).alias("uses")
     )
+    turn = F.row_number().over(Window.partitionBy("object_key").orderBy("seq"))
+    first = refs.where(used).select("object_key", "seq").withColumn("__turn", turn).where(F.col("__turn") <= most)
+    first = first.groupBy("object_key").agg(F.array_sort(F.collect_list("seq")).alias("first_uses"))
+    none = F.array().cast(first.schema["first_uses"].dataType)
+    return counts.join(first, "object_key", "left").withColumn("first_uses", F.coalesce("first_uses", none))
 
 
 def ambiguous_values(refs: DataFrame, most: int = 80) -> DataFrame:
@@ -76,7 +81,10 @@ def define_before_use(log: DataFrame, name: str, seq: str, op: Column) -> DataFr
 def set_difference(before: DataFrame, after: DataFrame, missing: int = 20, added: int = 10) -> DataFrame:
     """level, value: what is gone (errors, ``missing`` at most and then one overflow row) and new (warnings, ``added``)."""
     value = before.columns[0]
-    gone, new = before.distinct().subtract(after.distinct()), after.distinct().subtract(before.distinct())
+    # both sides at once, a row a value
+    sides = before.select(F.col(value), F.lit(True).alias("__b"), F.lit(False).alias("__a")).unionByName(after.select(F.col(after.columns[0]).alias(value), F.lit(False).alias("__b"), F.lit(True).alias("__a")))
+    once = sides.groupBy(value).agg(F.bool_or("__b").alias("__b"), F.bool_or("__a").alias("__a"))
+    gone, new = once.where("__b AND NOT __a").select(value), once.where("__a AND NOT __b").select(value)
     shown = gone.orderBy(value).limit(missing).select(F.lit("error").alias("level"), F.col(value).cast("string").alias("value"))
     over = gone.agg(F.count("*").alias("n")).where(F.col("n") > missing)
     over = over.select(F.lit("error").alias("level"), F.concat(F.lit("and "), (F.col("n") - missing).cast("string"), F.lit(" more")).alias("value"))

@@ -225,10 +225,11 @@ def merge_conflicts(spark, d):
 
 
 @query(
-    """SELECT name, count(*) AS n, array_to_string(list_sort(list(path)), ',') AS paths FROM (
-      SELECT source || '/' || 'T' || (doc_id % 97) AS path, 't' || (doc_id % 97) AS name FROM documents WHERE doc_id < 300) GROUP BY name HAVING count(*) >= 2"""
+    """SELECT name, any_value(total) AS n, array_to_string(list_sort(list(path)), ',') AS paths FROM (
+      SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) AS k, count(*) OVER (PARTITION BY name) AS total FROM (
+        SELECT source || '/' || 'T' || (doc_id % 97) AS path, 't' || (doc_id % 97) AS name FROM documents)) WHERE k <= 20 GROUP BY name HAVING any_value(total) >= 2"""
 )
 def duplicate_basename(spark, d):
     path = F.concat(F.col("source"), F.lit("/T"), (F.col("doc_id") % 97).cast("string"))
-    out = C.duplicate_names(read(spark, d, "documents").where("doc_id < 300").select(path.alias("path")), "path")
+    out = C.duplicate_names(read(spark, d, "documents").select(path.alias("path")), "path")
     return out.withColumn("paths", F.array_join("paths", ","))

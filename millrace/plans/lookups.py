@@ -90,7 +90,7 @@ def official_exact(spark, d):
 
 
 @query(
-    """WITH t AS (SELECT DISTINCT lower(p_name) AS source, p_brand AS target, p_size AS priority FROM part WHERE p_partkey % 4 = 0),
+    """WITH t AS (SELECT DISTINCT lower(p_name) AS source, CASE WHEN lower(p_name) < 'c' THEN p_brand ELSE 'T:' || lower(p_name) END AS target, p_size AS priority FROM part WHERE p_partkey % 4 = 0),
     k AS (SELECT source, min(target) AS target, max(priority) AS priority, count(DISTINCT target) > 1 AS amb FROM t GROUP BY 1),
     u AS (SELECT p_partkey AS unit, ' ' || trim(regexp_replace(lower(p_name || ' ' || p_type), '[^a-z0-9]+', ' ', 'g')) || ' ' AS text FROM part),
     m AS (SELECT unit, source, target, priority, amb, max(amb) OVER (PARTITION BY unit) AS void,
@@ -99,7 +99,7 @@ def official_exact(spark, d):
 )
 def term_containment(spark, d):
     p = read(spark, d, "part")
-    terms = p.where("p_partkey % 4 = 0").select(F.lower("p_name").alias("source"), F.col("p_brand").alias("target"), F.col("p_size").alias("priority")).distinct()
+    terms = p.where("p_partkey % 4 = 0").select(F.lower("p_name").alias("source"), F.when(F.lower("p_name") < "c", F.col("p_brand")).otherwise(F.concat(F.lit("T:"), F.lower("p_name"))).alias("target"), F.col("p_size").alias("priority")).distinct()
     return L.term_containment(p.select(F.col("p_partkey").alias("unit"), F.concat_ws(" ", "p_name", "p_type").alias("text")), terms)
 
 
@@ -239,14 +239,14 @@ def entity_names(spark, d):
 
 @query(
     f"""WITH {REFS}, p AS (SELECT value, count(DISTINCT object_key) FILTER (kind = 'display') AS nd, count(DISTINCT object_key) FILTER (kind = 'match') AS nm,
-      min(object_key) FILTER (kind = 'display') AS d1, min(object_key) FILTER (kind = 'match') AS m1 FROM refs WHERE object_key < 20 GROUP BY value)
+      min(object_key) FILTER (kind = 'display') AS d1, min(object_key) FILTER (kind = 'match') AS m1 FROM refs GROUP BY value)
     SELECT s_suppkey, coalesce(CASE WHEN nd = 1 THEN d1 WHEN nd = 0 AND nm = 1 THEN m1 END, -1) AS object_key,
       CASE WHEN nd > 1 THEN 'ambiguous' WHEN nd = 1 OR (nd = 0 AND nm = 1) THEN 'bound' ELSE 'free' END AS status
     FROM supplier LEFT JOIN p ON value = 's' || s_suppkey"""
 )
 def reference_binding(spark, d):
     u = read(spark, d, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("value"))
-    return R.bind(u, refs(spark, d).where("object_key < 20"), "value").select("s_suppkey", F.coalesce("object_key", F.lit(-1)).alias("object_key"), "status")
+    return R.bind(u, refs(spark, d), "value").select("s_suppkey", F.coalesce("object_key", F.lit(-1)).alias("object_key"), "status")
 
 
 OPS = """CASE event_type WHEN 'signup' THEN 'add' WHEN 'error' THEN 'remove' ELSE 'use' END"""

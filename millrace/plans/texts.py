@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as X
+from millrace.operators import canonical as C_
 from millrace.operators import policy as P_
 from millrace.plans.base import UNITS, literals, query, quoted, read, units, values
 
@@ -207,9 +208,7 @@ def unit_keys(spark, d):
 def content_fingerprint(spark, d):
     docs = read(spark, d, "documents")
     rel = docs.select("source", F.concat_ws("/", "lang", "doc_id").alias("rel"), F.sha2("text", 256).alias("h"))
-    lines = F.array_sort(F.collect_list(F.struct("rel", "h")))
-    joined = F.array_join(F.transform(lines, lambda x: F.concat(x["rel"], F.lit("\x00"), x["h"], F.lit("\n"))), "")
-    return rel.groupBy("source").agg(F.sha2(joined, 256).alias("fingerprint"))
+    return C_.content_fingerprint(rel, "source", "rel", "h")
 
 
 @query(
