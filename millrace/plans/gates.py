@@ -17,6 +17,7 @@ CASES = "doc_id % 8"
 SELECT doc_id, CASE WHEN target IS NULL THEN 'no_candidate' WHEN puzzle AND target <> source THEN 'puzzle_content'
   WHEN doc_id % 8 = 2 THEN CASE WHEN NOT layout THEN 'empty_candidate' END
   WHEN doc_id % 8 = 3 THEN 'structural_token'
+  WHEN doc_id % 8 = 4 AND len(regexp_extract_all(target, '\\*\\*[^*\\n]+\\*\\*|__[^_\\n]+__')) > len(regexp_extract_all(source, '\\*\\*[^*\\n]+\\*\\*|__[^_\\n]+__')) THEN 'model_scaffolding'
   WHEN doc_id % 8 = 4 AND NOT layout AND breaks > 0 AND (form = 'nbt-text' OR starts_with(source, chr(10)) OR ends_with(source, chr(10)) OR contains(source, chr(10) || chr(10)) OR regexp_matches(source, '\\n[ \\t]+$')) THEN 'newline_structure'
   WHEN doc_id % 8 = 5 AND NOT layout AND ((form = 'nbt-text' AND breaks > 0) OR (breaks > 0 AND (starts_with(source, chr(10)) OR ends_with(source, chr(10)) OR contains(source, chr(10) || chr(10)) OR regexp_matches(source, '\\n[ \\t]+$')))) THEN 'newline_structure'
   WHEN doc_id % 8 = 5 THEN 'unexpected_expansion'
