@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, decontaminate, line_dedup, near_dedup, registry, toxicity
-from millrace.llm.common import table
-from millrace.session import checkpoint_dir
+from millrace.llm.common import Scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +47,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``. What a stage returns is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    base = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    """All stages over ``documents``. What a stage returns is written to the shared folder and read again; the table before
+    it goes then, and the last one when the session ends.
+
+    Rows without an id or text pass; rows that repeat an id and text stay or go together; an empty table gives none.
+    """
+    docs, before, scratch = table(spark, sf_dir, "documents"), None, Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+        scratch.drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
