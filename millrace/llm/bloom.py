@@ -38,6 +38,12 @@ def hits(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def kept(batches: Iterator[pa.RecordBatch], column: str, words: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The rows whose hash may be in the filter; all where there is none."""
+    for b in batches:
+        yield b if words is None else b.filter(pa.array(hits(words, b.column(column).to_numpy())))
+
+
 def may_hold(keys: DataFrame, key: str, column: Column) -> Column:
     """A column: whether a 64-bit hash may be among the keys. Always true where there are too many keys for a filter."""
     made = build(keys, key)

@@ -122,14 +122,10 @@ def tokens_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     made = (bloom.build(wanted, "own"), bloom.build(wanted.select(mark.alias("h")), "h"))
     filters = rows.sparkSession.sparkContext.broadcast(made)
 
-    def wanted_rows(batches: Iterator[pa.RecordBatch], of_text: np.ndarray | None) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield b if of_text is None else b.filter(pa.array(bloom.hits(of_text, b.column("own").to_numpy())))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda t: 0 if t == WILD else xxhash.xxh3_64_intdigest(t) - (1 << 63)
         of_text, of_line = filters.value
-        for piece, texts in parts(wanted_rows(batches, of_text)):
+        for piece, texts in parts(bloom.kept(batches, "own", of_text)):
             found = [(k, *f) for k, t in enumerate(texts) if t for x in t.split("\n") if (f := line_keys(x)) is not None]
             if of_line is not None and found:
                 near = bloom.hits(of_line, np.array([f[3] ^ f[4] for f in found], np.int64))

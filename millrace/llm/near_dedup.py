@@ -119,25 +119,29 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, n, bits (the bitmap) and set (sorted hashes) of the wanted nodes (doc_id, th, node: one document of each)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
-    keys = wanted.select(F.xxhash64("doc_id", "th").alias("h"))
-    rows = rows.where(bloom.may_hold(keys, "h", F.xxhash64("doc_id", "th")))
-    texts = rows.join(wanted, ["doc_id", "th"]).select("node", "text")
+    """node, n, bits (the bitmap) and set (sorted hashes) of the wanted nodes (doc_id, th, node: one document of each).
+
+    Texts are read where they lie; a Bloom filter leaves out most that are not wanted, and only sets are shuffled.
+    """
+    own = F.xxhash64("doc_id", "th")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").withColumn("own", own)
+    filter_ = docs.sparkSession.sparkContext.broadcast(bloom.build(wanted.select(own.alias("h")), "h"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, own in parts(batches):
-            sets = [shingles(t, words) for t in own]
+        for piece, texts in parts(bloom.kept(batches, "own", filter_.value)):
+            sets = [shingles(t, words) for t in texts]
             columns = [
-                piece.column("node"),
+                piece.column("doc_id"),
+                piece.column("th"),
                 pa.array([len(x) for x in sets], pa.int64()),
                 pa.array([bitmap(x).tobytes() for x in sets], pa.binary()),
                 pa.array([x.tobytes() for x in sets], pa.binary()),
             ]
-            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "bits", "set"])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "th", "n", "bits", "set"])
 
-    made = texts.mapInArrow(run, "node binary, n long, bits binary, set binary")
-    return made.dropDuplicates(["node"])  # a document that stands twice in the table
+    made = rows.mapInArrow(run, "doc_id long, th long, n long, bits binary, set binary")
+    met = made.join(wanted, ["doc_id", "th"]).select("node", "n", "bits", "set")
+    return met.dropDuplicates(["node"])  # a document that stands twice in the table
 
 
 def may_link(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
