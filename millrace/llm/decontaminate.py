@@ -11,8 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD_PATTERN, ascii_lower
-from millrace.session import checkpoint_dir
+from millrace.llm.common import WORD_PATTERN, Scratch, ascii_lower
 
 WINDOW = 10
 #: Windows up to which the set is broadcast (some 100 MB with their words); beyond, the join shuffles.
@@ -59,19 +58,26 @@ def find_hits(docs: DataFrame, bench: DataFrame, keys: list[str], window: int =
     grams = benchmark_windows(bench, window)
     sizes = sorted(r.n for r in grams.select("n").distinct().collect()) or [window]  # at most ``window`` numbers
     few = grams.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    known = F.broadcast(grams) if few else grams
     w = docs.select(*keys, words(F.col("text")).alias("w"))
     # The hashes stand in a projection of their own, so that explode, join and comparison compile into one stage. A
     # plain explode would add a filter on the array's size, pushed below the projections: it would match the pattern
     # anew for every window.
     hashed = w.withColumn("hashes", F.expr("concat(" + ", ".join(map(_hashes, sizes)) + ")"))
-    starts = hashed.select(*keys, "w", F.posexplode_outer("hashes").alias("p", "h"))
-    met = starts.join(known, "h")
-    at = F.col("p")
-    for k, n in enumerate(sizes):  # windows of the lengths before n come first
-        before = " + ".join(map(windows_in, sizes[:k])) or "0"
-        at = F.when(F.col("n") == n, F.col("p") - F.expr(before)).otherwise(at)
-    met = met.withColumn("at", at).where(F.slice("w", F.col("at") + 1, F.col("n")) == F.col("gram"))
+    at, length, before = F.lit(None).cast("int"), F.lit(None).cast("int"), "0"
+    for n in sizes:  # windows of the lengths before n come first
+        here = F.expr(f"p >= {before} AND p < {before} + {windows_in(n)}")
+        at, length = F.when(here, F.expr(f"p - ({before})")).otherwise(at), F.when(here, F.lit(n)).otherwise(length)
+        before += f" + {windows_in(n)}"
+    if few:
+        met = hashed.select(*keys, "w", F.posexplode_outer("hashes").alias("p", "h")).join(F.broadcast(grams), "h")
+        met = met.withColumn("at", at).where((F.col("n") == length) & (F.slice("w", F.col("at") + 1, F.col("n")) == F.col("gram")))
+        return met.select(*keys, "at", "n", "item_ids")
+    # Only numbers are shuffled to find where a hash is known; then each such place gets its own few words.
+    starts = hashed.select(*keys, F.posexplode_outer("hashes").alias("p", "h")).join(grams.select("h").distinct(), "h", "left_semi")
+    places = starts.groupBy(*keys).agg(F.collect_set(F.struct("p", "h")).alias("places"))
+    near = w.join(places, keys).select(*keys, "w", F.explode("places").alias("x")).select(*keys, "w", "x.p", "x.h")
+    near = near.select(*keys, "h", at.alias("at"), F.slice("w", at + 1, length).alias("own"))
+    met = near.join(grams, "h").where(F.col("own") == F.col("gram"))
     return met.select(*keys, "at", "n", "item_ids")
 
 
@@ -119,10 +125,10 @@ def clean_documents(docs: DataFrame, bench: DataFrame, window: int = WINDOW) ->
     """The documents, with their columns, in which no window of the benchmark occurs: an anti join by a 128-bit hash of id
     and text. DataFrame functions only. Hit keys are broadcast where a count proves them few; else the join shuffles."""
     text, name = F.coalesce("text", F.lit("")), F.coalesce(F.col("doc_id").cast("string"), F.lit("\x00"))
-    checkpoint_dir(docs.sparkSession)
     k1, k2 = F.xxhash64(name, text), F.xxhash64(text, F.lit(1), name)
     hits = find_hits(docs.select("text", k1.alias("k1"), k2.alias("k2")), bench, ["k1", "k2"], window)
-    bad = hits.select(F.struct(F.col("k1"), F.col("k2")).alias("bad")).distinct().checkpoint()
+    bad = hits.select(F.struct(F.col("k1"), F.col("k2")).alias("bad")).distinct()
+    bad = Scratch(docs.sparkSession).keep(bad)
     bad = F.broadcast(bad) if bad.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS else bad
     return docs.join(bad, F.struct(k1.alias("k1"), k2.alias("k2")) == F.col("bad"), "left_anti")
 

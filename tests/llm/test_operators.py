@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, decontaminate, graph, language_id, licenses, line_dedup, lm, near_dedup, sharding, topk, toxicity
+from millrace.llm import bloom, bpe, decontaminate, graph, language_id, licenses, line_dedup, lm, near_dedup, sharding, topk, toxicity
 from millrace.llm.common import Scratch, alnum_words, space_words
 from millrace.llm.registry import tokenizer_path
 
@@ -219,6 +219,21 @@ def test_min_max_estimates(spark):
     assert abs(same - 800 / 1200) < 0.15
 
 
+def test_bloom_filters(spark, monkeypatch):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    found = spark.range(20_000).where(bloom.may_hold(keys, "h", F.xxhash64("id")))
+    assert found.where("id < 5000").count() == 5000 and found.count() < 5600
+    rows = spark.range(100).select("id", F.lit("x").alias("h"), F.lit(1).alias("may"))
+    gone = spark.range(0, 100, 3).select(F.xxhash64("id").alias("gone"))
+    left = bloom.without(rows, gone, "gone", F.xxhash64("id"))
+    assert left.columns == rows.columns and {r.id for r in left.collect()} == {i for i in range(100) if i % 3}
+    assert bloom.without(rows, gone.limit(0), "gone", F.xxhash64("id")).count() == 100
+    assert bloom.without(rows.limit(0), gone, "gone", F.xxhash64("id")).count() == 0
+    monkeypatch.setattr(bloom, "MOST", 1000)  # too many keys for a filter
+    assert bloom.build(keys, "h") is None and spark.range(9).where(bloom.may_hold(keys, "h", F.xxhash64("id"))).count() == 9
+    assert {r.id for r in bloom.without(rows, gone.unionByName(keys.select(F.lit(1).cast("long").alias("gone"))), "gone", F.xxhash64("id")).collect()} == {i for i in range(100) if i % 3}
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (7, 7)]
     scratch = Scratch(spark)
@@ -426,7 +441,9 @@ def brute_hits(text, items, window=10):
     return len(w), len(hit), {str(x) for x in held if x is not None}
 
 
-def test_decontamination_against_brute_force(spark):
+@pytest.mark.parametrize("broadcast", [decontaminate.BROADCAST_WINDOWS, 3])
+def test_decontamination_against_brute_force(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     items = [(1, BASE[0]), (2, "one MORE"), (3, None), (4, ""), (None, BASE[4]), (5, " ".join(BASE[0].split()[5:30])), (1, BASE[0]), (6, BASE[7].upper())]
     bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     df = documents(spark)
