@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.functions.text import strip
+
 
 def reference_index(refs: DataFrame, most: int = 12) -> DataFrame:
     """One row an object: kind of its first occurrence, exact counts of definitions and uses, and its first ``most`` uses.
@@ -98,3 +100,27 @@ def multiset_difference(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     nb = b.groupBy(key).agg(F.count("*").alias("n_b"))
     both = na.join(nb, key, "full").select(key, F.coalesce("n_a", F.lit(0)).alias("n_a"), F.coalesce("n_b", F.lit(0)).alias("n_b"))
     return both.where("n_a <> n_b")
+
+
+def ambiguous_keys(refs: DataFrame, most: int = 80, each: int = 12) -> DataFrame:
+    """value, n and keys: values, as they are and without white space at their edges, that name several ids or matched values:
+    the first ``most`` by value, with the first ``each`` of their keys (a report's caps)."""
+    own = refs.where(F.col("kind").isin("id", "match")).select("value", "object_key")
+    both = own.unionByName(own.select(strip(F.col("value")).alias("value"), "object_key")).where("value <> ''").distinct()
+    n = both.groupBy("value").agg(F.count("*").alias("n")).where("n > 1").orderBy("value").limit(most)
+    turn = F.row_number().over(Window.partitionBy("value").orderBy("object_key"))
+    ranked = both.join(n, "value").withColumn("turn", turn).where(F.col("turn") <= each)
+    return ranked.groupBy("value", "n").agg(F.array_sort(F.collect_list("object_key")).alias("keys"))
+
+
+def reference_report(refs: DataFrame, objects: int = 400, values: int = 80) -> tuple[DataFrame, DataFrame]:
+    """(entries, locked): a report's ``objects`` first objects with their uses, and its ``values`` first values that are matched.
+    Both keep how many there are in all, as ``total``."""
+    index = reference_index(refs)
+    count = index.agg(F.count("*").alias("total"))
+    locked = refs.where("kind = 'match'").select("value").distinct()
+    n = locked.agg(F.count("*").alias("total"))
+    return (
+        index.orderBy("object_key").limit(objects).crossJoin(F.broadcast(count)),
+        locked.orderBy("value").limit(values).crossJoin(F.broadcast(n)),
+    )

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import skeleton as K
+from millrace.functions import wrap as W
 from millrace.operators import candidates as C
+from millrace.operators import references as R
 from millrace.plans.base import query, read
+from millrace.sources import snbt
 
 CASES = "doc_id % 8"
 
@@ -122,3 +125,47 @@ def provided_candidates(spark, sf_dir):
 
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 7 == 3, "bad").otherwise(F.col("role")).alias("source"))
     return C.provided(rows, provider, workers=3).select("conv_id", "turn", "candidate", "state")
+
+
+@query("""SELECT c_custkey, 'display/Name' AS keys, 'display' AS decision, c_name AS value FROM customer WHERE c_custkey % 7 > 0
+UNION ALL SELECT c_custkey, 'id', 'mechanism_locked', 'minecraft:book' FROM customer WHERE c_custkey % 7 > 0
+UNION ALL SELECT c_custkey, 'pages/[0]', 'display', c_mktsegment FROM customer WHERE c_custkey % 7 > 0
+UNION ALL SELECT c_custkey, 'Name', 'unparsed_mechanism', c_name FROM customer WHERE c_custkey % 7 = 0""")
+def structure_values(spark, sf_dir):
+    """Values of the structures in commands, and what becomes of them."""
+    whole = F.concat(F.lit("give @p[tag=x] book{display:{Name:'"), "c_name", F.lit("'},id:\"minecraft:book\",n:1b,pages:[\""), "c_mktsegment", F.lit('"]'))
+    line = F.when(F.col("c_custkey") % 7 == 0, whole).otherwise(F.concat(whole, F.lit("} 1")))
+    rows = read(spark, sf_dir, "customer").select("c_custkey", line.alias("line"))
+    found = snbt.decisions(snbt.structures(rows, "c_custkey", "line"), F.lit(False)).where("decision IS NOT NULL")
+    return found.select("c_custkey", F.array_join("keys", "/").alias("keys"), "decision", "value")
+
+
+@query("""WITH r AS (SELECT DISTINCT c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ' ' ELSE '' END AS value, c_nationkey AS k FROM customer WHERE c_custkey % 3 > 0),
+b AS (SELECT value, k FROM r UNION SELECT trim(value), k FROM r), n AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY k) AS i FROM b)
+SELECT value, count(*) AS n, string_agg(k::VARCHAR, ',' ORDER BY k) FILTER (WHERE i <= 12) AS keys FROM n GROUP BY 1 HAVING count(*) > 1 ORDER BY 1 LIMIT 80""")
+def ambiguous_keys(spark, sf_dir):
+    """A4: values that name several objects, as they are and without their edges' white space."""
+    k = F.col("c_custkey")
+    refs = read(spark, sf_dir, "customer").select(
+        F.concat("c_mktsegment", F.when(k % 2 == 0, " ").otherwise("")).alias("value"), F.col("c_nationkey").alias("object_key"), F.when(k % 3 == 0, "display").when(k % 3 == 1, "id").otherwise("match").alias("kind")
+    )
+    return R.ambiguous_keys(refs).select("value", "n", F.array_join("keys", ",").alias("keys"))
+
+
+@query("""WITH r AS (SELECT l_suppkey AS object_key, count(*) FILTER (l_returnflag <> 'N') AS uses FROM lineitem GROUP BY 1)
+SELECT object_key, uses, (SELECT count(*) FROM r) AS total FROM r ORDER BY 1 LIMIT 400""")
+def reference_report(spark, sf_dir):
+    """A report's first objects, and how many there are."""
+    refs = read(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("object_key"), F.lit("v").alias("value"), F.when(F.col("l_returnflag") == "N", "definition").otherwise("use").alias("role"), F.lit("match").alias("kind"), F.col("l_orderkey").alias("seq")
+    )
+    return R.reference_report(refs)[0].select("object_key", "uses", "total")
+
+
+@query("""SELECT conv_id, turn, 3 AS lines, true AS same FROM conversations WHERE len(string_split(trim(text), ' ')) >= 8 AND length(text) <= 400""")
+def wrapped_texts(spark, sf_dir):
+    """Texts laid over three lines: as many lines as asked, and the same words in the same order."""
+    rows = read(spark, sf_dir, "conversations").where((F.size(F.split(F.trim("text"), " ")) >= 8) & (F.length("text") <= 400))
+    made = rows.withColumn("w", W.wrapped(F.col("text"), F.lit(3)))
+    plain = lambda c: F.regexp_replace(c, r"\s+", "")
+    return made.select("conv_id", "turn", F.size(F.split("w", "\n")).alias("lines"), (plain(F.col("w")) == plain(F.col("text"))).alias("same"))

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from millrace.functions import gate
 from millrace.functions import lines as L_
 from millrace.functions import text as X
+from millrace.functions import wrap
 from millrace.operators import lookup as L
-from millrace.operators import dimensions, packing, sequence
-from millrace.sources import documents, language, nbt, packs, sinks
+from millrace.operators import candidates, dimensions, packing, sequence
+from millrace.sources import documents, language, nbt, packs, sinks, snbt
 from millrace.streaming import progress
 
 
@@ -313,3 +314,53 @@ def test_lines_of_commands(spark):
     assert got.s[1:] == ["say 'it\\'s' \"open"] and [tuple(r) for r in got.r] == [("name", "A b")]
     assert row("tag run run x").s == ["tag run run x"] and row("").w == []
     assert row("a\\u00e9\\n\\q\\x4\\\\u0041").u == "aé\n\\q\\x4\\u0041"
+
+
+def test_structures_in_commands(spark):
+    text = """/give @p[tag=x] book{display:{Name:'{"text":"It\\'s"}',Lore:["a","b"]},tag:{id:"minecraft:x",n:1b,I:[I;1,2]},text: "Hi \\"you\\"",plugin:"p"} 1"""
+    found, whole = snbt.spans(text)
+    got = {"/".join(k): snbt.decoded(text[a:e]) for k, a, e, _ in found}
+    assert whole and got["display/Lore/[1]"] == "b" and got["text"] == 'Hi "you"' and got["tag/n"] == "1b" and got["tag/I/[1]"] == "2"
+    for broken in ("give @p x{a:", "x{a:1,b}", "x{a b:1}", "x{[}]"):
+        assert not snbt.spans(broken)[1]
+    assert snbt.spans("say hi") == ([], True) and snbt.spans("@a[name=x]") == ([], True)
+    assert [k for k, *_ in snbt.spans('{text:"a",extra:[{"text":"b"}]}')[0]] == [["text"], ["extra", "[0]", "text"]]
+    rows = spark.createDataFrame([(1, text), (2, "give @p x{a:"), (3, None), (4, "clear @p stone{display:{Name:'A'}}")], "k long, c string")
+    out = snbt.decisions(snbt.structures(rows, "k", "c"), F.col("k") == 4)
+    decided = {(r.k, "/".join(r["keys"] or [])): r.decision for r in out.collect()}
+    assert decided[1, "display/Name"] == decided[1, "display/Lore/[0]"] == decided[1, "text"] == "display" or decided[1, "display/Lore/[0]"] == "unknown_mechanism_field"
+    assert decided[1, "tag/id"] == "mechanism_locked" and decided[1, "plugin"] == "unknown_mechanism_field" and decided[1, "tag/n"] is None
+    assert decided[2, ""] == "unparsed_mechanism" and decided[4, "display/Name"] == "mechanism_locked"
+    texts = {(r.pointer, r.text) for r in snbt.display_texts(out, "k").collect()}
+    assert {("/text", "It's"), ("", 'Hi "you"')} <= texts
+
+
+def test_game_version(spark):
+    rows = [("a/b/level.dat", ["Data", "Version", "Name"], "deep"), ("w/level.dat", ["Data", "version"], "19133"), ("w/x.dat", ["Data", "Version", "Name"], "no")]
+    df = spark.createDataFrame([(p, None, k, 8, v, None) for p, k, v in rows], nbt.LEAVES)
+    assert [r.version for r in candidates.game_version(df).collect()] == ["<=1.8"]
+    assert candidates.game_version(df.where("path = 'w/x.dat'")).count() == 0
+
+
+def test_layouts_against_all_breaks():
+    """The least sum of faults over all ways to break, for small texts; what was laid out comes out again."""
+    import itertools
+
+    for text, lines in (("the old man went home at last", 3), ("他说：“你好，世界！”然后走了。", 3), ("one", 1), ("%s of %1$d and https://a.b/c now", 2), ("ab cd", 2)):
+        points = [0, *wrap.breaks(text), len(text)]
+
+        def cost(cuts):
+            own = [text[a:b].strip() for a, b in zip(cuts, cuts[1:])]
+            aim = wrap.width(text) / lines
+            ends = sum(wrap.INSIDE for c in cuts[1:-1] if text[c - 1] not in wrap.CLOSING + " ")
+            return sum((wrap.width(x) - aim) ** 2 for x in own) + ends if all(own) else float("inf")
+
+        best = min(cost([0, *c, len(text)]) for c in itertools.combinations(points[1:-1], lines - 1))
+        got = wrap.laid(text, lines)
+        at, cuts = 0, [0]
+        for x in got:
+            at = text.index(x, at) + len(x)
+            cuts.append(at if at == len(text) else next(p for p in points if p >= at))
+        assert len(got) == lines and cost(cuts) == best and wrap.laid(" ".join(got), lines) == got or not text.isascii()
+    assert wrap.laid("word", 2) is None and wrap.laid("", 1) == [""] and wrap.laid("a b", 0) is None
+    assert not set(wrap.breaks("%1$s ok")) & {1, 2, 3}
