@@ -186,13 +186,16 @@ def unit_key(*parts: Column) -> Column:
 
 
 def residue(source: Column, target: Column) -> Column:
-    """Lower-case Latin words glued to Chinese characters in the target that also stand in the source, first seen first."""
+    """Lower-case Latin words glued to Chinese characters in the target that also begin or end a word of the source, first
+    seen first."""
+    # Words of units, and markup.
     skip = "kg cm mm km hp xp fps id ui ms mb gb kb hz px pm am".split()
     markup = r"§[0-9a-fk-orA-FK-OR]|\{[^{}]*\}|%(?:\d+\$)?[sdf]|https?://\S+"
     s, t = F.lower(F.regexp_replace(source, markup, " ")), F.regexp_replace(target, markup, " ")
     glued = rf"(?<![A-Za-z])[a-z]{{2,}}(?={CJK})|(?<={CJK})[a-z]{{2,}}(?![A-Za-z])"
-    found = F.filter(F.array_distinct(tokens(t, glued)), lambda w: s.contains(w) & ~w.isin(skip))
-    return F.when(F.ltrim(source).startswith("/"), F.array().cast("array<string>")).otherwise(found)
+    stands = lambda w: F.rlike(s, F.concat(F.lit("(?<![a-z])"), w, F.lit("|"), w, F.lit("(?![a-z])")))
+    found = F.filter(F.array_distinct(tokens(t, glued)), lambda w: ~w.isin(skip) & stands(w))
+    return F.when(F.ltrim(source).startswith("/") | ~target.rlike(CJK), F.array().cast("array<string>")).otherwise(found)
 
 
 def duration(ms: Column) -> Column:

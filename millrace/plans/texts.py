@@ -221,9 +221,15 @@ def context_key(spark, d):
     return units(spark, d).select("seq", F.concat_ws("|", *parts).alias("k"))
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, lower(text) AS t, regexp_extract(lower(text), '[a-z]{5,}') AS w FROM documents),
+v AS (SELECT doc_id, t, CASE WHEN doc_id % 2 = 0 THEN w ELSE substr(w, 2, greatest(length(w) - 2, 0)) END AS v FROM w)
+SELECT doc_id, CASE WHEN v <> '' AND NOT starts_with(ltrim(t), '/') AND v NOT IN ('kg', 'cm', 'mm', 'km', 'hp', 'xp', 'fps', 'id', 'ui', 'ms', 'mb', 'gb', 'kb', 'hz', 'px', 'pm', 'am')
+  AND (regexp_matches(t, '(^|[^a-z])' || v) OR regexp_matches(t, v || '([^a-z]|$)')) THEN v ELSE '' END AS words FROM v""")
 def source_residue(spark, d):
-    return literals(spark, PAIRS).select("id", F.array_join(X.residue(F.col("a"), F.col("b")), ",").alias("words"))
+    t = F.col("text")
+    w = F.regexp_extract(F.lower(t), "[a-z]{5,}", 0)
+    v = F.when(F.col("doc_id") % 2 == 0, w).otherwise(F.substring(w, F.lit(2), F.greatest(F.length(w) - 2, F.lit(0))))
+    return read(spark, d, "documents").select("doc_id", F.array_join(X.residue(t, F.concat(F.lit("见"), v, F.lit("了 qzzq好 5kg石"))), ",").alias("words"))
 
 
 @query(
