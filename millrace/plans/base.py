@@ -58,15 +58,19 @@ UNITS = """units AS (
   FROM documents LEFT JOIN labels USING (doc_id))"""
 
 
-def literals(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """id and the texts a, b of literal rows, as the same VALUES that the SQL has."""
+def _body(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join([str(k), *(quoted(x) for x in r)]) + ")" for k, r in enumerate(rows))
+
+
+def literals(spark: SparkSession, rows: list[tuple], more: DataFrame | None = None) -> DataFrame:
+    """id and the texts a, b of literal rows, as the same VALUES that the SQL has, and the rows of ``more`` behind them."""
     names = ["id", "a", "b"][: len(rows[0]) + 1]
-    values = ", ".join("(" + ", ".join([str(k), *(quoted(x) for x in r)]) + ")" for k, r in enumerate(rows))
-    escaped = values.replace("\\", "\\\\")
-    return spark.sql(f"SELECT * FROM VALUES {escaped} AS t({', '.join(names)})")
+    escaped = _body(rows).replace("\\", "\\\\")
+    out = spark.sql(f"SELECT * FROM VALUES {escaped} AS t({', '.join(names)})")
+    return out.select(F.col("id").cast("long"), *names[1:]).unionByName(more.select(*names)) if more is not None else out
 
 
-def values(rows: list[tuple]) -> str:
+def values(rows: list[tuple], more: str = "") -> str:
+    """The same in SQL; ``more``: a SELECT of the same columns."""
     names = ["id", "a", "b"][: len(rows[0]) + 1]
-    body = ", ".join("(" + ", ".join([str(k), *(quoted(x) for x in r)]) + ")" for k, r in enumerate(rows))
-    return f"(VALUES {body}) AS t({', '.join(names)})"
+    return f"(SELECT * FROM (VALUES {_body(rows)}) {'UNION ALL ' + more if more else ''}) AS t({', '.join(names)})"

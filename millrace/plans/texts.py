@@ -90,16 +90,33 @@ def risk_class(spark, d):
     return read(spark, d, "pages").select("page_id", X.risk(h, F.col("url")).alias("risk"), X.count(h, X.PLACEHOLDER).cast("long").alias("placeholders"))
 
 
+#: Behind the literal rows, the texts of the tables: conversations, and their turns as candidates for the turn before.
+TALK = "SELECT 1000 + conv_id * 1000 + turn AS id, text AS a FROM conversations"
+TURNS = "SELECT 1000 + a.conv_id * 1000 + a.turn AS id, a.text AS a, CASE WHEN a.turn % 3 = 0 THEN '不 ' || a.text ELSE b.text END AS b FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"
+
+
+def talk(spark, d):
+    return read(spark, d, "conversations").select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"))
+
+
+def turns(spark, d):
+    c = read(spark, d, "conversations")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("next"))
+    both = c.join(after, ["conv_id", "turn"])
+    b = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("不 "), "text")).otherwise(F.col("next"))
+    return both.select((1000 + F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("text").alias("a"), b.alias("b"))
+
+
 @query(
     f"""SELECT id, {translatable_sql("a")} AS translatable, {glyph_sql("a")} AS art,
       lower({strip_sql("a")}) IN ('true', 'false', 'null', 'none') OR regexp_matches(lower({strip_sql("a")}), {quoted(X.NUMBER)}) AS locked,
       {n_sql("a", X.CJK)} > 0 AND {n_sql("a", X.KANA)} <= greatest(2, floor({n_sql("a", X.CJK)} / 3))
         AND ({n_sql("a", r"\p{L}")} = 0 OR {n_sql("a", X.CJK)} >= {n_sql("a", r"\p{L}")} * 0.1) AS chinese
-    FROM {values(SHAPES)}"""
+    FROM {values(SHAPES, TALK)}"""
 )
 def text_shapes(spark, d):
     a = F.col("a")
-    return literals(spark, SHAPES).select(
+    return literals(spark, SHAPES, talk(spark, d)).select(
         "id", X.translatable(a).alias("translatable"), X.glyph_art(a).alias("art"), X.literal_lock(a).alias("locked"), X.chinese_output(a).alias("chinese")
     )
 
@@ -109,7 +126,7 @@ BODY = f"CASE WHEN regexp_full_match(a, '{EDGE}*') THEN a ELSE regexp_replace(re
 
 
 @query(
-    f"""WITH x AS (SELECT id, a, {strip_sql("a")} AS s, {BODY} AS body FROM {values(SHAPES)}),
+    f"""WITH x AS (SELECT id, a, {strip_sql("a")} AS s, {BODY} AS body FROM {values(SHAPES, TALK)}),
     y AS (SELECT id, a, body, {strip_sql(BODY.replace("a,", "s,").replace("THEN a", "THEN s"))} AS t FROM x)
     SELECT id, body, t <> '' AND NOT contains(a, chr(10)) AND NOT contains(t, ' ')
       AND (regexp_matches(t, '^[A-Za-z]{{1,8}}$') OR regexp_matches(t, '^(\\[[A-Z0-9_]+\\]|\\{{[A-Z0-9_]+\\}}|<[A-Z0-9_]+>)$')
@@ -117,7 +134,7 @@ BODY = f"CASE WHEN regexp_full_match(a, '{EDGE}*') THEN a ELSE regexp_replace(re
     FROM y"""
 )
 def short_label_keep(spark, d):
-    return literals(spark, SHAPES).select("id", X.peel(F.col("a"))["body"].alias("body"), X.short_label(F.col("a")).alias("keepable"))
+    return literals(spark, SHAPES, talk(spark, d)).select("id", X.peel(F.col("a"))["body"].alias("body"), X.short_label(F.col("a")).alias("keepable"))
 
 
 @query(
@@ -149,10 +166,10 @@ def same_sql(pattern: str, a: str = "a", b: str = "b") -> str:
     f"""SELECT id, array_to_string(list_filter([CASE WHEN NOT ({same_sql(NUM)}) THEN 'clue_number' END,
       CASE WHEN NOT ({same_sql(JUMP)}) THEN 'clue_jump' END,
       CASE WHEN regexp_matches(lower(a), ' not |n''t|unless|without') AND NOT regexp_matches(b, '不|未|非|没有') THEN 'clue_negation' END],
-      lambda x: x IS NOT NULL), ',') AS reasons FROM {values(PAIRS)}"""
+      lambda x: x IS NOT NULL), ',') AS reasons FROM {values(PAIRS, TURNS)}"""
 )
 def clue_drift(spark, d):
-    return literals(spark, PAIRS).select("id", F.array_join(X.clue_drift(F.col("a"), F.col("b")), ",").alias("reasons"))
+    return literals(spark, PAIRS, turns(spark, d)).select("id", F.array_join(X.clue_drift(F.col("a"), F.col("b")), ",").alias("reasons"))
 
 
 CONTENT = f"""CASE WHEN a = b THEN NULL
@@ -161,9 +178,9 @@ CONTENT = f"""CASE WHEN a = b THEN NULL
   THEN 'instruction_negation' END"""
 
 
-@query(f"SELECT id, {CONTENT} AS reason FROM {values(PAIRS)}")
+@query(f"SELECT id, {CONTENT} AS reason FROM {values(PAIRS, TURNS)}")
 def content_safety(spark, d):
-    return literals(spark, PAIRS).select("id", X.content_reason(F.col("a"), F.col("b")).alias("reason"))
+    return literals(spark, PAIRS, turns(spark, d)).select("id", X.content_reason(F.col("a"), F.col("b")).alias("reason"))
 
 
 CMD = r"(?i)(?:^|[^A-Za-z0-9_])(/[a-z][a-z0-9:_-]*)"
@@ -175,10 +192,10 @@ CMD = r"(?i)(?:^|[^A-Za-z0-9_])(/[a-z][a-z0-9:_-]*)"
       WHEN {CONTENT} IS NOT NULL THEN {CONTENT}
       WHEN len(regexp_extract_all(b, '\\n')) > len(regexp_extract_all(a, '\\n')) + 1 THEN 'unexpected_expansion'
       WHEN length({strip_sql("b")}) > greatest(80, length({strip_sql("a")}) * 4 + 16) THEN 'unexpected_expansion' END AS reason
-    FROM {values(PAIRS)}"""
+    FROM {values(PAIRS, TURNS)}"""
 )
 def context_gate(spark, d):
-    return literals(spark, PAIRS).select("id", X.context_gate(F.col("a"), F.col("b")).alias("reason"))
+    return literals(spark, PAIRS, turns(spark, d)).select("id", X.context_gate(F.col("a"), F.col("b")).alias("reason"))
 
 
 @query(
@@ -259,8 +276,19 @@ POINTERS = [
 _IN = lambda xs: "(" + ", ".join(map(quoted, xs)) + ")"
 
 
+KEYED = "SELECT 1000 + l_orderkey * 10 + l_linenumber AS id, '/' || (['pages', 'name', 'item', 'score', 'text', 'title', 'x', 'custom_data'])[l_partkey % 8 + 1] || '/' || (['name', '0', 'text', 'lore', 'q', '12'])[l_suppkey % 6 + 1] AS a, CASE WHEN l_linenumber = 3 THEN 'json-lang' ELSE 'generic-json' END AS b FROM lineitem"
+
+
+def keyed(spark, d):
+    li = read(spark, d, "lineitem")
+    first = F.element_at(F.array(*map(F.lit, ("pages", "name", "item", "score", "text", "title", "x", "custom_data"))), (F.col("l_partkey") % 8 + 1).cast("int"))
+    last = F.element_at(F.array(*map(F.lit, ("name", "0", "text", "lore", "q", "12"))), (F.col("l_suppkey") % 6 + 1).cast("int"))
+    form = F.when(F.col("l_linenumber") == 3, "json-lang").otherwise("generic-json")
+    return li.select((1000 + F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.concat(F.lit("/"), first, F.lit("/"), last).alias("a"), form.alias("b"))
+
+
 @query(
-    f"""WITH k AS (SELECT id, b, list_transform(list_filter(string_split(a, '/'), lambda x: x <> ''), lambda x: lower(replace(replace(x, '~1', '/'), '~0', '~'))) AS w FROM {values(POINTERS)}),
+    f"""WITH k AS (SELECT id, b, list_transform(list_filter(string_split(a, '/'), lambda x: x <> ''), lambda x: lower(replace(replace(x, '~1', '/'), '~0', '~'))) AS w FROM {values(POINTERS, KEYED)}),
     p AS (SELECT id, b, w, len(w) AS n, coalesce(w[-1], '') AS l, CASE WHEN len(w) > 1 THEN w[-2] ELSE '' END AS u, CASE WHEN len(w) > 2 THEN w[-3] ELSE '' END AS g FROM k)
     SELECT id, CASE WHEN b IN {_IN(P_.LANGUAGE_FORMATS)} THEN 'TRANSLATABLE_DISPLAY' WHEN n = 0 THEN 'UNKNOWN_REVIEW'
       WHEN len(list_filter(w[1:n - 1], lambda x: x IN {_IN(P_.MECHANISM_OBJECTS)} OR x = 'custom_data' OR suffix(x, ':custom_data'))) > 0 THEN 'IMMUTABLE_MATCH_VALUE'
@@ -269,7 +297,7 @@ _IN = lambda xs: "(" + ", ".join(map(quoted, xs)) + ")"
       WHEN regexp_full_match(l, '[0-9]+') AND u IN {_IN(P_.TEXT_KEYS)} THEN 'TRANSLATABLE_DISPLAY' ELSE 'UNKNOWN_REVIEW' END AS policy FROM p"""
 )
 def pointer_policy(spark, d):
-    return literals(spark, POINTERS).select("id", P_.pointer_policy(F.col("a"), F.col("b"))["policy"].alias("policy"))
+    return literals(spark, POINTERS, keyed(spark, d)).select("id", P_.pointer_policy(F.col("a"), F.col("b"))["policy"].alias("policy"))
 
 
 @query(
