@@ -400,6 +400,70 @@ def test_tree_is_a_distribution():
         assert (10 ** tree.log10(at, 256)).sum() == pytest.approx(1.0)
 
 
+def brute_ctw(coded, query):
+    """log10 probability of the query's bytes from a context tree of the coded ones, by recursion over dictionaries. Both are
+    lists of (byte, context from the nearest byte on)."""
+    counts = Counter()
+    for byte, context in coded:
+        for d in range(len(context) + 1):
+            for k in range(8):
+                counts[context[:d], (1 << k) | byte >> (8 - k), byte >> (7 - k) & 1] += 1
+    nodes = {(c, x) for c, x, _ in counts}
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    children = {}
+    for c, x in nodes:
+        if c:
+            children.setdefault((c[:-1], x), []).append((c, x))
+    of = lambda n: (counts[n[0], n[1], 0], counts[n[0], n[1], 1])
+
+    def under(n):
+        rest = [v - sum(of(c)[i] for c in children[n]) for i, v in enumerate(of(n))]
+        return sum(weighted(c) for c in children[n]) + (kt(*rest) if sum(rest) else 0.0), rest
+
+    def weighted(n):
+        return math.log(0.5 * math.exp(kt(*of(n))) + 0.5 * math.exp(under(n)[0])) if n in children else kt(*of(n))
+
+    def one(n, context):
+        a, b = of(n)
+        own = (b + 0.5) / (a + b + 1)
+        if n not in children:
+            return own
+        below, rest = under(n)
+        stop = 1 / (1 + math.exp(below - kt(a, b)))
+        child = (context[: len(n[0]) + 1], n[1])
+        if len(context) > len(n[0]) and child in nodes:
+            return stop * own + (1 - stop) * one(child, context)
+        return stop * own + (1 - stop) * ((rest[1] + 0.5) / (sum(rest) + 1) if sum(rest) else own)
+
+    total = 0.0
+    for byte, context in query:
+        for k in range(8):
+            n = (b"", (1 << k) | byte >> (8 - k))
+            p = one(n, context) if n in nodes else 0.5
+            total += math.log10(p if byte >> (7 - k) & 1 else 1 - p)
+    return total
+
+
+def coded_bytes(words):
+    """(byte, context) of a text: a token's first HEAD bytes see the space and two bytes before it, later ones the token."""
+    out, tokens = [], [w + b" " for w in words] + [b"\n"]
+    before = b"\n\n"
+    for t in tokens:
+        for k, byte in enumerate(t):
+            seen = before[-2:] + b" " + t[:k] if k < lm.HEAD else b" " + t[:k]
+            out.append((byte, seen[::-1][: lm.DEPTH]))
+        before = before + b" " + t[:-1]
+    return out
+
+
+def test_tree_against_recursion(spark):
+    rows = [(i, t) for i, t in enumerate(["ka kato mi", "kato kato ka", "mi re mika", "", "kamito so", "ka ka ka", "to mi", "kato mi ka", None])]
+    split = {i: space_words(t or "") for i, t in rows}
+    train = [x for i, w in split.items() if zlib.crc32(str(i).encode()) % 7 != 2 for x in coded_bytes(w)]
+    for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.score == pytest.approx(brute_ctw(train, coded_bytes(split[r.doc_id])))
+
+
 def test_score_keeps_every_context(spark):
     # so long that a bar by a share of the bytes would drop contexts seen once or twice
     rows = [(i, prose(9000)) for i in range(14)] + [(50, "qyzx wqyzxv qyzx"), (51, "qyzx wqyzxv"), (52, None)]
