@@ -110,3 +110,21 @@ def forward(edges: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
         level = nxt.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("step", F.lit(k))
         seen = seen.unionByName(level)
     return seen
+
+
+def resolved(passes: DataFrame, sinks: DataFrame, roots: DataFrame, depth: int = 4) -> DataFrame:
+    """node and verdict of every root parameter, by what it is passed on to: ``mechanism`` if any sink it reaches is one,
+    ``display`` if all are, else ``unknown``.
+
+    passes: src and dst (parameters), sinks: node and kind. A parameter without a sink or anything it is passed to is
+    unknown, and so is what lies beyond ``depth`` steps; cycles add nothing.
+    """
+    seen = forward(passes.select("src", "dst").distinct(), roots.select("node").distinct(), depth)
+    kinds = sinks.groupBy("node").agg(F.bool_or(F.col("kind") == "mechanism").alias("bad"), F.bool_and(F.col("kind") == "display").alias("good"))
+    on = passes.select(F.col("src").alias("node"), F.lit(True).alias("on")).distinct()
+    met = seen.join(kinds, "node", "left").join(on, "node", "left")
+    # what is neither a sink nor passed on, or is passed on at the last step, is not known
+    open_ = (F.col("good").isNull() & F.col("on").isNull()) | (F.col("on") & (F.col("step") == depth))
+    all_good = F.bool_and(F.coalesce("good", F.lit(True)) & ~F.coalesce(open_, F.lit(False))) & F.bool_or(F.coalesce("good", F.lit(False)))
+    verdict = F.when(F.bool_or("bad"), "mechanism").when(all_good, "display").otherwise("unknown")
+    return met.groupBy(F.col("root").alias("node")).agg(verdict.alias("verdict"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from millrace.functions import skeleton as K
 from millrace.functions import wrap as W
+from millrace.operators import account as A
 from millrace.operators import candidates as C
+from millrace.operators import packing
 from millrace.operators import references as R
 from millrace.plans.base import query, read
 from millrace.sources import snbt
@@ -169,3 +171,29 @@ def wrapped_texts(spark, sf_dir):
     made = rows.withColumn("w", W.wrapped(F.col("text"), F.lit(3)))
     plain = lambda c: F.regexp_replace(c, r"\s+", "")
     return made.select("conv_id", "turn", F.size(F.split("w", "\n")).alias("lines"), (plain(F.col("w")) == plain(F.col("text"))).alias("same"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT p_partkey AS src, (p_partkey * 7 + 3) % 500 AS dst FROM part WHERE p_partkey % 3 > 0),
+r(root, node, step) AS (SELECT DISTINCT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT r.root, e.dst, r.step + 1 FROM r JOIN e ON e.src = r.node WHERE r.step < 4),
+m AS (SELECT root, node, min(step) AS step FROM r GROUP BY 1, 2),
+k AS (SELECT *, node % 4 = 1 AS bad, CASE WHEN node % 4 < 3 THEN node % 4 IN (0, 2) END AS good, node IN (SELECT src FROM e) AS goes FROM m)
+SELECT root AS node, CASE WHEN bool_or(bad) THEN 'mechanism' WHEN bool_and(coalesce(good, true) AND NOT ((good IS NULL AND NOT goes) OR (goes AND step = 4))) AND bool_or(coalesce(good, false)) THEN 'display' ELSE 'unknown' END AS verdict
+FROM k GROUP BY 1""")
+def resolved_parameters(spark, sf_dir):
+    """The verdict of parameters by what they are passed on to."""
+    key = F.col("p_partkey")
+    passes = read(spark, sf_dir, "part").where(key % 3 > 0).select(key.alias("src"), ((key * 7 + 3) % 500).alias("dst"))
+    nodes = read(spark, sf_dir, "part").select(key.alias("node")).unionByName(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"))).unionByName(passes.select(F.col("dst").alias("node"))).distinct()
+    sinks = nodes.where("node % 4 < 3").withColumn("kind", F.when(F.col("node") % 4 == 1, "mechanism").otherwise("display"))
+    return A.resolved(passes, sinks, read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node")))
+
+
+@query("""WITH RECURSIVE s AS (SELECT o_custkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderkey AS o, CAST(o_totalprice // 100 AS BIGINT) AS size FROM orders),
+r(k, i, o, batch, n, total) AS (SELECT k, i, o, 0, 1, size FROM s WHERE i = 1
+  UNION ALL SELECT s.k, s.i, s.o, CASE WHEN cut THEN r.batch + 1 ELSE r.batch END, CASE WHEN cut THEN 1 ELSE r.n + 1 END, CASE WHEN cut THEN s.size ELSE r.total + s.size END
+  FROM r JOIN s ON s.k = r.k AND s.i = r.i + 1, LATERAL (SELECT r.n + 1 > 12 OR r.total + s.size > 3000 OR s.o - r.o > 400 AS cut))
+SELECT k, o, CAST(batch AS INTEGER) AS batch FROM r""")
+def gap_packing(spark, sf_dir):
+    """Batches that also end at gaps."""
+    rows = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("o"), F.floor(F.col("o_totalprice") / 100).alias("size"))
+    return packing.pack(rows, "k", "o", "size", line="o", gap=400)

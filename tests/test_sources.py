@@ -15,7 +15,7 @@ from millrace.functions import lines as L_
 from millrace.functions import text as X
 from millrace.functions import wrap
 from millrace.operators import lookup as L
-from millrace.operators import candidates, dimensions, packing, sequence
+from millrace.operators import account, candidates, dimensions, packing, sequence
 from millrace.sources import documents, language, nbt, packs, sinks, snbt
 from millrace.streaming import progress
 
@@ -364,3 +364,37 @@ def test_layouts_against_all_breaks():
         assert len(got) == lines and cost(cuts) == best and wrap.laid(" ".join(got), lines) == got or not text.isascii()
     assert wrap.laid("word", 2) is None and wrap.laid("", 1) == [""] and wrap.laid("a b", 0) is None
     assert not set(wrap.breaks("%1$s ok")) & {1, 2, 3}
+
+
+def test_packing_by_lines_and_wholes(spark):
+    import random
+
+    rng, rows = random.Random(5), []
+    for key in range(6):
+        line = 0
+        for order in range(40):
+            line += rng.choice([1, 1, 2, 7])
+            rows.append((key, order, rng.choice([None, 10, 200, 900, 4000]), None if order % 11 == 5 else line, f"p{order // 3}" if key % 2 else None))
+    df = spark.createDataFrame(rows, "key long, ord long, size long, line long, page string").repartition(3).withColumn("batch", F.lit(9))
+    want = set()
+    for key in range(6):
+        batch, n, total, at, held = 0, 0, 0, None, None
+        own = [r for r in rows if r[0] == key]
+        for r in own:
+            same = [x for x in own if x[4] == r[4]] if r[4] else [r]
+            need, size = sum(x[2] or 0 for x in same), r[2] or 0
+            far = at is not None and r[3] is not None and r[3] - at > 4
+            if n and not (r[4] and r[4] == held) and (n + len(same) > 12 or total + need > 3000 or far):
+                batch, n, total = batch + 1, 0, 0
+            n, total, held, at = n + 1, total + size, r[4], r[3] if r[3] is not None else at
+            want.add((key, r[1], batch))
+    got = {tuple(r) for r in packing.pack(df, "key", "ord", "size", line="line", whole="page").collect()}
+    assert got == want and packing.pack(df.limit(0), "key", "ord", "size").count() == 0
+
+
+def test_parameters_are_resolved(spark):
+    passes = spark.createDataFrame([("a", "b"), ("b", "c"), ("d", "e"), ("d", "c"), ("f", "f"), ("g", "b"), ("g", "h"), ("x1", "x2"), ("x2", "x3"), ("x3", "x4"), ("x4", "x5"), ("x5", "x6")], "src string, dst string")
+    sinks = spark.createDataFrame([("c", "display"), ("e", "display"), ("h", "mechanism"), ("x6", "display"), ("i", "display"), ("i", "other")], "node string, kind string")
+    roots = spark.createDataFrame([(x,) for x in "a d f g i z x1 x3".split()], "node string")
+    got = {r.node: r.verdict for r in account.resolved(passes, sinks, roots).collect()}
+    assert got == {"a": "display", "d": "display", "f": "unknown", "g": "mechanism", "i": "unknown", "z": "unknown", "x1": "unknown", "x3": "display"}
