@@ -138,6 +138,7 @@ def clue_drift(source: Column, target: Column) -> Column:
     return F.filter(reasons, lambda x: x.isNotNull())
 
 
+# Marks of a model's scaffolding, and phrases that forbid.
 ARTIFACTS = (r"@@(?:\d+|OK)@@", r"\[page=(?:\d+|未知)\]", "```", r"\*\*[^*\n]+\*\*|__[^_\n]+__")
 FORBIDS = (
     r"(?i)^\s*(?:please\s+)?(?:do\s+not|don't|never)\s+"
