@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, decontaminate, language_id, licenses, line_dedup, lm, near_dedup, sharding, topk, toxicity
+from millrace.llm import bpe, decontaminate, language_id, licenses, line_dedup, lm, manifest, near_dedup, quality, sharding, spelling, topk, toxicity
 from millrace.llm.common import table
 
 
@@ -59,6 +59,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.report(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_near_dedup": op2_near_dedup,
@@ -70,8 +82,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_topk": op9_topk,
     "op10_licenses": op10_licenses,
+    "op11_quality": op11_quality,
+    "op12_manifest": op12_manifest,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {
     "op6_decontaminate": decontaminate.ORACLE,
     "op9_topk": topk.ORACLE,
+    "op12_manifest": manifest.ORACLE,
+    "op13_spelling": spelling.ORACLE,
 }
