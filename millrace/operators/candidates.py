@@ -9,15 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.lines import newline_rule, with_padding, with_real_breaks
+from millrace.functions.shape import shape_restored
 from millrace.functions.text import content_reason, context_gate, strip
 
 
-def reuse_gate(units: DataFrame, source: str = "source", target: str = "target") -> DataFrame:
+def reuse_gate(units: DataFrame, source: str = "source", target: str = "target", restore: bool = False) -> DataFrame:
     """The units with ``accepted`` and ``reason`` of their candidate: stored, shared or new, all go through this.
 
     The ladder: no candidate, a puzzle that changed, line breaks and padding given back where the container's rule repairs,
     the context gate under that rule, and last an emptied text, which only a layout slot may become. Units have form,
     layout, before_click and puzzle (booleans; null counts as false).
+
+    With ``restore``, a candidate that flowed where the rule allows it is laid over its source's rows first
+    (``functions.shape``), and refused as ``unproven_layout`` where that has no proof.
     """
     flag = lambda c: F.coalesce(F.col(c), F.lit(False))
     s, t = F.col(source), F.col(target)
@@ -25,16 +29,21 @@ def reuse_gate(units: DataFrame, source: str = "source", target: str = "target")
     held = units.withColumn("__rule", rule)
     shaped = F.when(F.col("__rule.repair"), with_padding(s, with_real_breaks(s, t))).otherwise(t)
     held = held.withColumn("__t", shaped)
+    flows = F.col("__rule.reflow") & (strip(F.col("__t")) != "")
+    if restore:  # the others go to Python as null
+        held = held.withColumn("__laid", shape_restored(F.when(flows, s), F.when(flows, F.col("__t"))))
+        held = held.withColumn("__t", F.when(flows & F.col("__laid").isNotNull(), F.col("__laid")).otherwise(F.col("__t")))
     text = F.col("__t")
     gate = F.when(F.col("__rule.strict"), context_gate(s, text, True)).otherwise(context_gate(s, text))
     emptied = (strip(text) == "") & (strip(s) != "")
     reason = (
         F.when(t.isNull(), "no_candidate")
         .when(flag("puzzle") & (t != s), "puzzle_content")
+        .when(F.lit(restore) & flows & F.col("__laid" if restore else "__t").isNull(), "unproven_layout")
         .when(emptied & ~flag("layout"), "empty_candidate")
         .when(~emptied, gate)
     )
-    return held.withColumn("reason", reason).withColumn("accepted", F.when(F.col("reason").isNull(), text)).drop("__rule", "__t")
+    return held.withColumn("reason", reason).withColumn("accepted", F.when(F.col("reason").isNull(), text)).drop("__rule", "__t", "__laid")
 
 
 def display_content(before: DataFrame, after: DataFrame, key: str, text: str) -> DataFrame:
