@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.plans import accounts, audits, gates, lines, lookups, paths, rewrites, sequences, texts
+from millrace.plans import accounts, audits, gates, lines, lookups, paths, rewrites, sequences, shapes, texts
 from millrace.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "accounts", "audits", "gates", "lines", "lookups", "paths", "rewrites", "sequences", "texts"]
+__all__ = ["ORACLES", "QUERIES", "accounts", "audits", "gates", "lines", "lookups", "paths", "rewrites", "sequences", "shapes", "texts"]
