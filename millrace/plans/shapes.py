@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import shape as S
+from millrace.operators import interaction as I
 from millrace.operators import merges as M
 from millrace.plans.base import query, read
 
@@ -90,3 +91,24 @@ def fragment_merges(spark, sf_dir):
     passages = own.where("short").select("file_path", "locator", F.transform(near, lambda x: x.cast("string")).alias("passage"))
     written = own.select("file_path", "locator", F.when(F.length("line") > 400, " ").otherwise(F.col("line")).alias("text"))
     return M.merge_proofs(units, passages, written)
+
+
+@query(r"""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS hrefs, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS labels FROM pages),
+k AS (SELECT page_id, unnest(range(len(hrefs))) AS i, unnest(hrefs) AS href, unnest(labels) AS label FROM l),
+f AS (SELECT *, ends_with(label, ',') AS lost, length(label) % 3 = 0 AS bare, length(href) % 2 = 0 AS joined FROM k),
+w AS (SELECT *, sum(joined::INT) OVER (PARTITION BY page_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS missing, lag(joined) OVER (PARTITION BY page_id ORDER BY i) AS last FROM f)
+SELECT page_id, 2 * i AS n, 'click' AS problem FROM w WHERE lost UNION ALL SELECT page_id, 2 * i, 'padding' FROM w WHERE bare
+UNION ALL SELECT page_id, 2 * i, 'line_offset' FROM w WHERE missing > 0 UNION ALL SELECT page_id, 2 * i, 'fill' FROM w WHERE last
+UNION ALL SELECT page_id, 2 * i + 1, 'marks_changed' FROM w WHERE joined""")
+def interaction_changes(spark, sf_dir):
+    """Q11 and X11: the links of a page as a menu of clicks; some lose their click, their padding or the break behind them."""
+    link = r'<a href="([^"]*)">([^<]*)</a>'
+    links = F.arrays_zip(F.regexp_extract_all("html", F.lit(link), F.lit(1)).alias("href"), F.regexp_extract_all("html", F.lit(link), F.lit(2)).alias("label"))
+    event = lambda x: F.struct(F.lit("run_command").alias("action"), x["href"].alias("value"))
+    row = lambda text, own: F.struct(text.alias("text"), own.alias("clickEvent"))
+    none = F.lit(None).cast("struct<action:string,value:string>")
+    before = F.transform(links, lambda x: F.array(row(F.concat(x["label"], F.lit(" ")), event(x)), row(F.lit("\n"), none)))
+    label = lambda x: F.concat(F.replace(x["label"], F.lit("e"), F.lit("x")), F.when(F.length(x["label"]) % 3 == 0, "").otherwise(" "))
+    after = F.transform(links, lambda x: F.array(row(label(x), F.when(~x["label"].endswith(","), event(x))), row(F.when(F.length(x["href"]) % 2 == 0, " ").otherwise("\n"), none)))
+    menus = read(spark, sf_dir, "pages").select("page_id", F.to_json(F.flatten(before)).alias("source"), F.to_json(F.flatten(after)).alias("target"))
+    return I.changes(menus, "page_id", "source", "target").select("page_id", F.col("n").cast("long").alias("n"), "problem")
