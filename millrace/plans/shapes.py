@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from millrace.functions import shape as S
 from millrace.operators import interaction as I
 from millrace.operators import merges as M
+from millrace.operators import revisions as R
 from millrace.plans.base import query, read
 
 #: Pages as rows: a row for every tag. The candidate has runs of rows in one.
@@ -112,3 +113,40 @@ def interaction_changes(spark, sf_dir):
     after = F.transform(links, lambda x: F.array(row(label(x), F.when(~x["label"].endswith(","), event(x))), row(F.when(F.length(x["href"]) % 2 == 0, " ").otherwise("\n"), none)))
     menus = read(spark, sf_dir, "pages").select("page_id", F.to_json(F.flatten(before)).alias("source"), F.to_json(F.flatten(after)).alias("target"))
     return I.changes(menus, "page_id", "source", "target").select("page_id", F.col("n").cast("long").alias("n"), "problem")
+
+
+@query(r"""WITH m AS (SELECT conv_id, text, replace(text, '. ', '.' || chr(10)) AS source, length(text) % 4 AS k FROM conversations),
+t AS (SELECT *, CASE k WHEN 2 THEN replace(text, '. ', chr(10) || '.') WHEN 3 THEN replace(text, ', ', ',' || chr(10)) ELSE source END AS target FROM m)
+SELECT conv_id, CASE WHEN sum(length(source) - length(replace(source, chr(10), ''))) <> sum(length(target) - length(replace(target, chr(10), ''))) THEN 'break_count'
+  WHEN bool_or(k = 2 AND contains(text, '. ')) THEN 'punctuation' END AS reason FROM t GROUP BY conv_id""")
+def passage_gate(spark, sf_dir):
+    """Q7: conversations as passages whose members break at other places than their sources."""
+    text = F.col("text")
+    source = F.replace(text, F.lit(". "), F.lit(".\n"))
+    kind = F.length(text) % 4
+    target = F.when(kind == 2, F.replace(text, F.lit(". "), F.lit("\n."))).when(kind == 3, F.replace(text, F.lit(", "), F.lit(",\n"))).when(kind == 1, source)
+    members = read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("passage"), F.col("turn").alias("place"), source.alias("source"), target.alias("target"), F.col("role").alias("style"))
+    return R.passage_gate(members).withColumnRenamed("passage", "conv_id")
+
+
+@query(r"""WITH RECURSIVE p AS (SELECT conv_id, list(DISTINCT string_split(text, ' ')[1]) AS units, bool_or(length(text) > 1500) AS long_, row_number() OVER (ORDER BY conv_id) AS k FROM conversations GROUP BY conv_id),
+s AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS bound, NULL::BIGINT AS conv_id, NULL::VARCHAR AS reason
+  UNION ALL SELECT p.k, CASE WHEN p.long_ OR list_has_any(s.bound, p.units) THEN s.bound ELSE list_concat(s.bound, p.units) END, p.conv_id,
+    CASE WHEN p.long_ THEN 'too long' WHEN list_has_any(s.bound, p.units) THEN 'already_bound' END FROM s JOIN p ON p.k = s.k + 1)
+SELECT conv_id, reason FROM s WHERE k > 0""")
+def passage_claims(spark, sf_dir):
+    """Conversations adopt the first words of their turns, in order; a word that is bound refuses all later ones."""
+    c = read(spark, sf_dir, "conversations")
+    rows = c.select(F.col("conv_id").alias("passage"), F.col("conv_id").alias("rank"), F.get(F.split("text", " ", -1), 0).alias("unit"), F.when(F.length("text") > 1500, "too long").alias("reason"))
+    return R.claimed(rows).select(F.col("passage").alias("conv_id"), "reason")
+
+
+@query("""WITH o AS (SELECT o_orderkey, o_custkey, date_diff('day', DATE '1970-01-01', o_orderdate::DATE) // 60 AS slot, CASE WHEN o_orderstatus = 'P' THEN 'partly' END AS reason FROM orders),
+g AS (SELECT *, coalesce((slot > lag(slot) OVER (PARTITION BY o_custkey ORDER BY slot) + 1)::INT, 1) AS gap FROM o),
+r AS (SELECT *, sum(gap) OVER (PARTITION BY o_custkey ORDER BY slot, gap DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM g)
+SELECT o_orderkey, coalesce(reason, CASE WHEN bool_or(reason IS NOT NULL) OVER (PARTITION BY o_custkey, run) THEN 'chain_incomplete' END) AS reason FROM r""")
+def passage_rollback(spark, sf_dir):
+    """A customer's orders that follow each other are one chain; one that is partly done undoes it."""
+    days = F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")) / 60)
+    orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("message"), F.col("o_orderkey").alias("passage"), days.alias("first"), days.alias("last"), F.when(F.col("o_orderstatus") == "P", "partly").alias("reason"))
+    return R.settled(orders.select("passage", "reason"), R.islands(orders)).withColumnRenamed("passage", "o_orderkey")
