@@ -1,9 +1,10 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexicon transducer turns tokens into classes (insult, threat, target, negation, reported speech, clause and sentence
-end). Three small transducers over the classes, for negation, reported speech and targets, are composed into one
-deterministic machine whose output weighs each insult or threat by its clause: negated and reported ones count less,
-aimed ones more, whether the target stands before them or after. A text's score joins its matched clauses: 1 minus the product of (1 - clause weight).
+A lexicon transducer turns tokens into classes (insult, threat, addressed target, object, negation, reported speech, clause
+and sentence end). Three small transducers over the classes, for negation, reported speech and targets, are composed into one
+deterministic machine whose output weighs each insult or threat by its clause: negated and reported ones count less, and a
+threat counts in full only if the clause says "you", or if an object follows it directly or behind "all of the" and its like.
+A text's score joins its matched clauses: 1 minus the product of (1 - clause weight). What is reported never adds up.
 
 The lexicon has hand-written entries, and words and word stems learned from labelled texts; learned weights replace the
 written ones where there is evidence.
@@ -17,7 +18,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import Recent
@@ -31,7 +32,10 @@ INSULTS = (
     "coward creep freak jerk lowlife maggot"
 ).split()
 THREATS = "kill murder hurt destroy beat stab shoot strangle burn hang smash punish exterminate slaughter".split()
-TARGETS = "you your yours you're u ur they them their these those he him she her everyone people".split()
+TARGETS = "you your yours you're u ur".split()
+OBJECTS = "them him her us me everyone everybody people".split()
+FILLERS = "all of the these those every each both such".split()
+WRITTEN = frozenset(INSULTS + THREATS)
 NEGATIONS = "not no never none neither nor without isn't aren't wasn't don't doesn't didn't won't cannot can't".split()
 REPORTS = (
     "said says saying say told tells wrote writes written called calls calling quoted quotes quote claimed claims "
@@ -41,13 +45,17 @@ REPORTS = (
 #: Fit parameters: about so many labelled texts of each class. What is learned is bounded by them.
 FIT_TOXIC, FIT_CLEAN = 4000, 8000
 STEMS = (4, 5, 6)
-#: Evidence (log-likelihood ratio) and share of toxic texts from which a word or stem is learned.
-EVIDENCE, PRECISION = 16.0, 0.9
+#: The share of toxic texts from which a word or stem is learned. Its evidence (log-likelihood ratio) must reach the logarithm
+#: of how many words and stems are asked, FALSE being how many of them may pass by chance: by Chernoff's bound one of evidence
+#: e passes by chance with a probability of exp(-e) at most. So a language of few texts can teach words too.
+FALSE, PRECISION = 1.0, 0.9
+#: What a reported insult or threat counts: under the threshold, whatever was learned.
+REPORTED = 0.3
 #: The score of a text with no matched clause.
 BASE = 0.01
 
-OTHER, END, STOP, TARGET, NEGATION, REPORT, THREAT, INSULT = range(8)
-CLASSES = 8
+OTHER, END, STOP, TARGET, OBJECT, FILLER, NEGATION, REPORT, THREAT, INSULT = range(10)
+CLASSES = 10
 NEITHER = (OTHER, 0.0)
 TOKENS = re.compile(r"[^\W_]+(?:'[^\W_]+)*|[.!?\n,;:]")
 WORDS = re.compile(r"[^\W\d_]+")
@@ -64,30 +72,35 @@ def negation() -> tuple[int, dict]:
 
 
 def reported() -> tuple[int, dict]:
-    """State: whether reported speech began in this sentence. A match within it counts 0.5."""
+    """State: whether reported speech began in this sentence. A match within it counts REPORTED."""
     step = {}
     for s in range(2):
         for c in range(CLASSES):
             to = 0 if c == STOP else 1 if c == REPORT else s
-            step[s, c] = (to, 0.5 if s and c in (INSULT, THREAT) else 1.0)
+            step[s, c] = (to, REPORTED if s and c in (INSULT, THREAT) else 1.0)
     return 0, step
 
 
+#: States of ``aimed``: what of them says that the clause has named "you", and that a threat waits for its object.
+NAMED, WAITS = 1, 2
+
+
 def aimed() -> tuple[int, dict]:
-    """State: whether the clause has named a target. An insult counts 0.9 without one; a threat needs one (0.1), and counts
-    in full once a target follows in the clause."""
+    """State: NAMED and WAITS. An insult counts 0.9 without "you" before it; a threat needs a target (0.1), and counts in full
+    once "you" follows in the clause, or its object right behind it."""
     step = {}
-    for s in range(2):
+    for s in range(4):
         for c in range(CLASSES):
-            to = 0 if c in (END, STOP) else 1 if c == TARGET else s
-            now = 1.0 if s or c not in (INSULT, THREAT) else 0.9 if c == INSULT else 0.1
-            step[s, c] = (to, now, 1.0 if c == THREAT else now)
+            named = 0 if c in (END, STOP) else NAMED if c == TARGET else s & NAMED
+            waits = WAITS if c == THREAT else s & WAITS if c == FILLER else 0
+            now = 1.0 if s & NAMED or c not in (INSULT, THREAT) else 0.9 if c == INSULT else 0.1
+            step[s, c] = (named | waits, now, 1.0 if c == THREAT else now)
     return 0, step
 
 
-def compose(*machines: tuple[int, dict]) -> tuple[list[list[int]], list[list[float]], list[list[float]]]:
-    """The product machine: next[state][class], weight[state][class] and the weight once a target follows, states numbered
-    as they are reached. A machine that gives one weight gives it for both."""
+def compose(*machines: tuple[int, dict]) -> tuple[list[list[int]], list[list[float]], list[list[float]], list[tuple]]:
+    """The product machine: next[state][class], weight[state][class], the weight once a target follows, and what each state
+    is made of. States are numbered as they are reached. A machine that gives one weight gives it for both."""
     start = tuple(m[0] for m in machines)
     number, queue, move, weight, later = {start: 0}, [start], [], [], []
     for state in queue:
@@ -104,7 +117,7 @@ def compose(*machines: tuple[int, dict]) -> tuple[list[list[int]], list[list[flo
         move.append(row)
         weight.append(out)
         later.append(then)
-    return move, weight, later
+    return move, weight, later, queue
 
 
 class Grammar:
@@ -113,13 +126,14 @@ class Grammar:
     def __init__(self, learned: dict[str, float], stems: dict[str, float]):
         self.words: dict[str, tuple[int, float]] = {w: (INSULT, 0.6) for w in INSULTS}
         self.words |= {w: (THREAT, 0.6) for w in THREATS}
-        for names, c in ((TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
+        for names, c in ((FILLERS, FILLER), (OBJECTS, OBJECT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)):
             self.words |= {w: (c, 0.0) for w in names}
         self.words |= {c: (STOP, 0.0) for c in ".!?\n"} | {c: (END, 0.0) for c in ",;:"}
         for w, p in learned.items():
             self.words[w] = (self.words.get(w, (INSULT,))[0] if w in THREATS else INSULT, p)
         self.stems = stems
-        self.move, self.weight, self.later = compose(negation(), reported(), aimed())
+        self.move, self.weight, self.later, states = compose(negation(), reported(), aimed())
+        self.quoted, self.waits = [bool(s[1]) for s in states], [bool(s[2] & WAITS) for s in states]
         self.read = Recent(self.lookup, 50_000)
 
     def lookup(self, token: str) -> tuple[int, float]:
@@ -136,18 +150,25 @@ class Grammar:
         read, tokens = self.read, TOKENS.findall(text.lower().replace("’", "'"))
         if not any(read[w][0] >= THREAT for w in set(tokens)):
             return BASE
-        state, clause, pending, clean = 0, 0.0, 0.0, 1.0
+        state, clean = 0, 1.0
+        best = [0.0, 0.0]  # what is said in the clause, and what is reported in the text
+        pending, last = [0.0, 0.0], (0.0, False)  # the same of threats, once "you" follows, and of the last one, once its object does
         for token in tokens:
             c, p = read[token]
             if c >= THREAT:
-                clause = max(clause, p * self.weight[state][c])
-                pending = max(pending, p * self.later[state][c])
+                q = self.quoted[state]
+                best[q] = max(best[q], p * self.weight[state][c])
+                then = p * self.later[state][c]
+                pending[q] = max(pending[q], then)
+                last = (then, q) if c == THREAT else last
             elif c == TARGET:
-                clause = max(clause, pending)
+                best = [max(b, t) for b, t in zip(best, pending, strict=True)]
+            elif c == OBJECT and self.waits[state]:
+                best[last[1]] = max(best[last[1]], last[0])
             elif c in (END, STOP):
-                clean, clause, pending = clean * (1 - clause), 0.0, 0.0
+                clean, best[0], pending = clean * (1 - best[0]), 0.0, [0.0, 0.0]
             state = self.move[state][c]
-        return max(BASE, 1 - clean * (1 - clause))
+        return max(BASE, best[1], 1 - clean * (1 - best[0]))
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +215,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     share = t / (t + c)
     gain = t * F.log(share / prior) + F.when(c > 0, c * F.log((1 - share) / (1 - prior))).otherwise(0.0)
     written = F.col("feature").isin(INSULTS + THREATS) & (F.col("kind") == 0)
-    good = sums.withColumn("gain", gain).where(((F.col("gain") >= EVIDENCE) & (share >= PRECISION)) | written)
+    asked = Observation()
+    good = sums.observe(asked, F.count("*").alias("n")).withColumn("gain", gain).where(((F.col("gain") > 0) & (share >= PRECISION)) | written)
     rows = good.collect()  # each stands in several texts of the bounded sample
+    least = math.log(max(1, asked.get["n"]) / FALSE)
+    rows = [r for r in rows if (r.gain >= least and r.t >= PRECISION * (r.t + r.c)) or (r.kind == 0 and r.feature in WRITTEN)]
     weight = {(r.kind, r.feature): (r.t + 0.5) / (r.t + r.c + 1.0) for r in rows}
     return Grammar(
         {w: p for (kind, w), p in weight.items() if kind == 0}, {w: p for (kind, w), p in weight.items() if kind}

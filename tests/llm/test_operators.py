@@ -593,6 +593,19 @@ def test_a_threat_counts_before_its_target():
     assert s("she said I will kill you") < s("I will kill you")
 
 
+@pytest.mark.parametrize(
+    ("text", "toxic"),
+    [
+        ("He said you are an idiot", 0), ("She wrote that they are stupid.", 0), ("They beat the eggs", 0), ("Hang the picture for her", 0),
+        ("He will kill the lights", 0), ("They burn wood to heat their homes", 0), ("He said they will kill you. She said you are an idiot. They wrote he is stupid.", 0),
+        ("You are an idiot", 1), ("They are stupid", 1), ("I will kill them", 1), ("We must hang all of them", 1), ("They beat everyone", 1), ("He said nothing. You idiot", 1), ("I will hurt you", 1),
+    ],
+)
+def test_targets_are_objects_and_reports_do_not_count(text, toxic):
+    assert (toxicity.Grammar({"idiot": 0.99, "stupid": 0.99, "kill": 0.99, "beat": 0.99}, {}).score(text) >= 0.3) == toxic
+    assert (toxicity.Grammar({}, {}).score(text) >= 0.3) == toxic
+
+
 def test_letters_decide_what_has_a_language(spark):
     rows = [(i, t, "en") for i, t in enumerate(["the thing of it"] * 20)] + [(100 + i, t, None) for i, t in enumerate(["½ ²", "Ⅷ", "１２", "ª", "ß", "中", "\n\t", "x" * 5_000_000])]
     rows += [rows[0], (None, "the", "en")]
@@ -628,7 +641,7 @@ def brute_toxic(text, words, stems):
     if not text:
         return toxicity.BASE
     tokens = re.findall(r"[^\W_]+(?:'[^\W_]+)*|[.!?\n,;:]", text.lower().replace("’", "'"))
-    clean, at = 1.0, 0
+    clean, at, said = 1.0, 0, 0.0
     reported = False
     while at < len(tokens):
         end = at
@@ -645,26 +658,31 @@ def brute_toxic(text, words, stems):
             if kind == toxicity.REPORT:
                 reported = True
             if kind in (toxicity.INSULT, toxicity.THREAT):
-                is_target = [words.get(x, (0,))[0] == toxicity.TARGET for x in clause]
+                kinds = [words.get(x, (0,))[0] for x in clause]
+                named = [x == toxicity.TARGET for x in kinds]
+                after = [x for x in kinds[k + 1 :]]
+                while after and after[0] == toxicity.FILLER:
+                    after.pop(0)
                 w = p
                 if any(words.get(x, (0,))[0] == toxicity.NEGATION for x in clause[max(0, k - 3) : k]):
                     w *= 0.15
-                if reported:
-                    w *= 0.5
                 if kind == toxicity.INSULT:
-                    w *= 1.0 if any(is_target[:k]) else 0.9
+                    w *= 1.0 if any(named[:k]) else 0.9
+                else:
+                    w *= 1.0 if any(named) or after[:1] == [toxicity.OBJECT] else 0.1
+                if reported:
+                    said = max(said, toxicity.REPORTED * w)
                 else:
-                    w *= 1.0 if any(is_target) else 0.1
-                best = max(best, w)
+                    best = max(best, w)
         clean *= 1 - best
         if end < len(tokens) and tokens[end] in ".!?\n":
             reported = False
         at = end + 1
-    return max(toxicity.BASE, 1 - clean)
+    return max(toxicity.BASE, said, 1 - clean)
 
 
 def test_toxicity_against_brute_force(spark):
-    words = ["you", "idiot", "kill", "not", "said", "grum7x", "grumble", "gru", "them", "the", "vileword", "don't", "don’t", "stupid", "hurt", "ok", "x9"]
+    words = ["you", "idiot", "kill", "not", "said", "grum7x", "grumble", "gru", "them", "the", "all", "they", "of", "vileword", "don't", "don’t", "stupid", "hurt", "ok", "x9"]
     learned, stems = {"vileword": 0.95, "kill": 0.7}, {"grum": 0.97, "vilew": 0.92}
     g = toxicity.Grammar(learned, stems)
     for k in range(3000):
