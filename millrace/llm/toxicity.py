@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import Recent
-from millrace.llm.common import fold, text_function
+from millrace.llm.common import fold, parts, text_function
 
 # The written lexicon.
 INSULTS = (
@@ -134,7 +134,7 @@ class Grammar:
         self.stems = stems
         self.move, self.weight, self.later, states = compose(negation(), reported(), aimed())
         self.quoted, self.waits = [bool(s[1]) for s in states], [bool(s[2] & WAITS) for s in states]
-        self.read = Recent(self.lookup, 50_000)
+        self.read = Recent(self.lookup, 20_000)
 
     def lookup(self, token: str) -> tuple[int, float]:
         found = self.words.get(token)
@@ -171,16 +171,16 @@ class Grammar:
         return max(BASE, best[1], 1 - clean * (1 - best[0]))
 
 
+#: Words and stems that a task counts before it passes them on.
+HELD = 50_000
+
+
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """kind (0: word, else a stem's length), feature, toxic and clean: in how many of the texts it stands."""
-    for batch in batches:
-        counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for text, toxic in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            words = set(WORDS.findall((text or "").lower()))
-            counts[toxic].update((0, w) for w in words)
-            counts[toxic].update({(n, w[:n]) for w in words for n in STEMS if len(w) > n})
+    """kind (0: word, else a stem's length), feature, toxic and clean: in how many of some texts it stands."""
+
+    def out(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
         keys = list(counts[0] | counts[1])
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [
                 pa.array([k[0] for k in keys], pa.int32()),
                 pa.array([k[1] for k in keys], pa.string()),
@@ -190,6 +190,17 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names=["kind", "feature", "toxic", "clean"],
         )
 
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
+    for piece, texts in parts(batches):
+        for text, toxic in zip(texts, piece.column("toxic").to_pylist(), strict=True):
+            words = set(WORDS.findall((text or "").lower()))
+            counts[toxic].update((0, w) for w in words)
+            counts[toxic].update({(n, w[:n]) for w in words for n in STEMS if len(w) > n})
+            if len(counts[0]) + len(counts[1]) > HELD:
+                yield out(counts)
+                counts = (Counter(), Counter())
+    yield out(counts)
+
 
 def fit(docs: DataFrame, labels: DataFrame) -> Grammar:
     """A grammar with what labelled texts show, from rows outside the held-out fold.
