@@ -46,7 +46,7 @@ def alnum_words(text: str) -> list[bytes]:
 
 
 #: Texts of one Arrow batch are worked on in slices of about so many bytes, so that what a slice makes stays small.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 
 
 def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:

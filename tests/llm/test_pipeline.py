@@ -85,5 +85,5 @@ def test_stages_on_no_rows_and_clashing_columns(spark, name):
 
 def test_run(spark):
     out = corpus_pipeline.run(spark, DATA)
-    assert out.count() > 100 and len(registry.QUERIES) == 10 and set(registry.ORACLES) <= set(registry.QUERIES)
+    assert out.count() > 100 and len(registry.QUERIES) == 13 and set(registry.ORACLES) <= set(registry.QUERIES)
     assert near_dedup.BANDS == 32
