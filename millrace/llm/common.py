@@ -49,6 +49,18 @@ def alnum_words(text: str) -> list[bytes]:
 SLICE_BYTES = 2_000_000
 
 
+#: Bytes of one Arrow batch between the JVM and Python (a batch ends with the row that passes them).
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds an Arrow batch's bytes in the session, unless it names a number of bytes itself: with rows alone bounded, 10,000 texts
+    of one batch stand several times in an executor's memory, in the JVM's buffers and in Python's."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.conf.get(key).isdigit():  # a session's own number of bytes wins
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Where to cut an array of texts: (start, length) of slices of SLICE_BYTES at most, or of one text."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
@@ -70,6 +82,7 @@ def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[t
 
 def text_function(returns: str, work: Callable[[list[str | None]], pa.Array]):
     """A column function over texts. ``work`` turns a list of texts into an Arrow array of as many values."""
+    small_batches(SparkSession.active())
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -85,6 +98,7 @@ class Scratch:
     executor costs no more than the tasks it ran. A table goes once ``drop`` names it, the others when the session ends."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{checkpoint_dir(spark)}/{uuid.uuid4().hex}"
         self.made = 0

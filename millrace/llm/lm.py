@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, parts, space_words
+from millrace.llm.common import fold, parts, small_batches, space_words
 from millrace.session import checkpoint_dir
 
 DEPTH = 6
@@ -380,6 +380,7 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     checkpoint_dir(spark)
+    small_batches(spark)
     held = fold(F.col("doc_id"), 7) == 2
     seen = docs.select("text", (~held).alias("train")).mapInArrow(count_tokens, COUNTS)
     counts = seen.groupBy("kind", "word", "head").agg(F.sum("n").alias("n"))
