@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import names as NM
 from millrace.operators import dimensions as D
 from millrace.operators import rewrite as R
-from millrace.plans.base import query, read
+from millrace.plans.base import query, quoted, read
 from millrace.plans.lines import COMMANDS, commands
 from millrace.sources import documents as docs_
 
@@ -178,3 +179,31 @@ def masked_terms(spark, sf_dir):
     first = F.when(F.col("doc_id") % 10 == 0, F.regexp_count("m.text", F.lit(r"\{term1001\}"))).otherwise(F.regexp_count("m.text", F.lit(r"\{term1\}")))
     accent = F.col("m.text").rlike(r"\{term(5|1005)\}")
     return masked.select("doc_id", first.cast("long").alias("first_term"), accent.alias("accent"), (back == F.col("text")).alias("back"))
+
+
+_COUNTED = ", ".join(map(quoted, NM.COUNTED))
+
+
+@query(f"""WITH r AS (SELECT doc_id, upper(lang) || 'x' AS one, upper(source) AS two, text || chr(10) || source || '_' || lang || doc_id AS text FROM documents),
+p AS (SELECT doc_id, unnest(list_zip(regexp_extract_all(text, '[A-Za-z0-9_]+'), string_split_regex(text, '[A-Za-z0-9_]+')[:-2],
+             string_split_regex(text, '[A-Za-z0-9_]+')[2:], range(len(regexp_extract_all(text, '[A-Za-z0-9_]+'))))) AS z FROM r),
+w AS (SELECT doc_id, z[1] AS word, z[2] AS before, z[3] AS after, z[4] AS k FROM p),
+tags AS (SELECT doc_id, k, word FROM w WHERE length(word) >= 4 AND NOT regexp_matches(before, '[§.:/{{%$@#-]$')
+  AND NOT regexp_matches(after, '^(\\}}|[\\\\"'']*\\s*[:=])') AND NOT regexp_full_match(word, '[0-9a-fk-or]([A-Z][a-z]+|[A-Z]+)')
+  AND CASE WHEN contains(word, '_') THEN NOT contains('_' || word || '_', '__') AND regexp_matches(word, '[A-Z0-9]') AND regexp_matches(word, '[a-z]')
+      ELSE regexp_matches(word, '[a-z][A-Z]') OR (regexp_full_match(word, '[A-Za-z]{{3,}}[0-9]{{1,4}}') AND regexp_matches(word, '[a-z]')
+           AND rtrim(lower(word), '0123456789') NOT IN ({_COUNTED})) END),
+n AS (SELECT doc_id, count(*) AS n, string_agg(word, ',' ORDER BY k) AS found FROM tags GROUP BY doc_id)
+SELECT doc_id, 2 + coalesce(n, 0) AS n_names, concat_ws(',', one, two, found) AS names,
+       'Map by {{term0}} & {{term1}}' AS credits, true AS back
+FROM r LEFT JOIN n USING (doc_id)""")
+def masked_names(spark, sf_dir):
+    """names in whole texts with a credit line and a tag made of each document's own fields, masked and put back."""
+    credit = F.concat(F.lit("Map by "), F.upper("lang"), F.lit("x & "), F.upper("source"), F.lit("\n"))
+    tag = F.concat(F.lit("\n"), "source", F.lit("_"), "lang", "doc_id")
+    rows = read(spark, sf_dir, "documents").select("doc_id", F.concat(credit, "text", tag).alias("text"))
+    masked = rows.select("doc_id", "text", NM.masked_names(F.col("text")).alias("m"))
+    return masked.select(
+        "doc_id", F.size("m.names").cast("long").alias("n_names"), F.array_join("m.names", ",").alias("names"),
+        F.substring_index("m.text", "\n", 1).alias("credits"), (NM.unmasked_names(F.col("m")) == F.col("text")).alias("back"),
+    )
