@@ -143,8 +143,9 @@ def retry_seconds(asked: Column, attempt: Column) -> Column:
 def newline_rule(form: Column, source: Column, layout: Column, before_click: Column) -> Column:
     """struct<strict, repair, reflow>: what a text's line breaks allow, by its container and its own breaks."""
     rule = lambda s, r, f: F.struct(F.lit(s).alias("strict"), F.lit(r).alias("repair"), F.lit(f).alias("reflow"))
-    divider = source.rlike(r"(?m)^[ \t]*={4,}[ \t]*$") & source.contains("\n")
-    padding = source.contains("\n") & (source.startswith("\n") | source.endswith("\n") | source.contains("\n\n") | source.rlike(r"\n[ \t]+\z"))
+    divider = source.contains("====") & source.contains("\n") & source.rlike(r"(?m)^[ \t]*={4,}[ \t]*$")
+    blank_end = F.rtrim(source, F.lit(" \t")).endswith("\n")
+    padding = source.contains("\n") & (source.startswith("\n") | blank_end | source.contains("\n\n"))
     return (
         F.when(layout, rule(False, True, False))
         .when(divider, rule(True, True, True))

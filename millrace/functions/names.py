@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import SPACE
+from millrace.functions.text import SPACE, holds
 
 # Cues, separators of a list of names, and words that are no names.
 CUES = (
@@ -63,11 +63,15 @@ def _credited(text: Column) -> Column:
         lambda x: F.regexp_count(F.concat(x["gap"], x["name"]), F.lit(WORD)),
     )
     last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(-1))
-    return F.aggregate(steps, F.lit([]).cast("array<int>"), lambda done, n: F.concat(done, F.array(last(done) + n)))
+    none = F.lit([]).cast("array<int>")
+    places = F.aggregate(steps, none, lambda done, n: F.concat(done, F.array(last(done) + n)))
+    # most texts have no cue at all, which a search over bytes tells
+    return F.when(holds(F.lower(text), (*CUES, *(h.removesuffix("s?") for h in HEADINGS))), places).otherwise(none)
 
 
 def _names(text: Column, known: Callable[[Column], Column]) -> Column:
-    """array<struct<word, before, at, name>> of the text's words; ``name``: it is one."""
+    """struct<words, end> of array<struct<word, before, at, name>> of the text's words and the gap after the last; ``name``: it is
+    one."""
     words, gaps = F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.split(text, WORD, -1)
 
     def judged(v: Column) -> Column:
@@ -80,7 +84,7 @@ def _names(text: Column, known: Callable[[Column], Column]) -> Column:
             joined = F.right(x["before"], F.lit(1)).isin(*"§.:/{%$@#-") | x["after"].rlike(rf"\A(?:\}}|[\\\"']*{SPACE}*[:=])")
             return F.struct(word.alias("word"), x["before"].alias("before"), at.alias("at"), ((credited | (~joined & tag_shaped(word))) & ~known(word)).alias("name"))
 
-        return F.transform(rows, row)
+        return F.struct(F.transform(rows, row).alias("words"), F.element_at(v["gaps"], -1).alias("end"))
 
     return let(F.struct(words.alias("words"), gaps.alias("gaps"), _credited(text).alias("credited")), judged)
 
@@ -95,9 +99,10 @@ def masked_names(text: Column, known: Callable[[Column], Column] = lambda word:
     own = F.transform(F.regexp_extract_all(text, F.lit(r"\{term(0|[1-9][0-9]{0,8})\}"), F.lit(1)), lambda x: x.cast("int"))
 
     def laid(v: Column) -> Column:
-        hits = F.filter(v["words"], lambda x: x["name"])
+        hits = F.filter(v["found"]["words"], lambda x: x["name"])
         free = F.array_except(F.sequence(F.lit(0), F.size(hits) + F.size(v["own"])), v["own"])
-        return let(F.struct(v["words"].alias("words"), v["end"].alias("end"), hits.alias("hits"), free.alias("free")), written)
+        found = v["found"]
+        return let(F.struct(found["words"].alias("words"), found["end"].alias("end"), hits.alias("hits"), free.alias("free")), written)
 
     def written(v: Column) -> Column:
         at = F.transform(v["hits"], lambda x: x["at"])
@@ -111,8 +116,7 @@ def masked_names(text: Column, known: Callable[[Column], Column] = lambda word:
 
         return let(F.struct(at.alias("at"), marks.alias("marks")), joined)
 
-    end = F.element_at(F.split(text, WORD, -1), -1)
-    return F.when(text.isNotNull(), let(F.struct(_names(text, known).alias("words"), own.alias("own"), end.alias("end")), laid))
+    return F.when(text.isNotNull(), let(F.struct(_names(text, known).alias("found"), own.alias("own")), laid))
 
 
 def unmasked_names(masked: Column) -> Column:

@@ -15,8 +15,10 @@ PLACEHOLDER = (
     r"|\\u[0-9A-Fa-f]{0,3}|\\x[0-9A-Fa-f]{0,1}|\\[nrtbf'\"\\]|\\[A-Za-z]"
 )
 URL = r"(?i)https?://[^\s\"']+"
-COMMAND = r"(?i)(?<![A-Za-z0-9_])/[a-z][a-z0-9:_-]*"
+COMMAND = r"(?i)/(?<![A-Za-z0-9_]/)[a-z][a-z0-9:_-]*"
 FORMAT_CODE = r"§[0-9A-FK-ORa-fk-or]"
+#: What every token of a grammar holds. A text without it is not searched for tokens.
+HOLDS = {URL: ("://",), COMMAND: ("/",), FORMAT_CODE: ("§",), PLACEHOLDER: ("%", "{", "$", "§", "\\")}
 SELECTOR = r"^@[praesn](\[[^\]]*\])?$"
 DIGIT_TOKEN = r"^[A-Za-z0-9_]*\d[A-Za-z0-9_]*$"
 NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?$"
@@ -30,8 +32,20 @@ KANA = r"[\x{3040}-\x{30ff}]"
 PRIVATE_USE = r"[\x{e000}-\x{f8ff}\x{f0000}-\x{ffffd}\x{100000}-\x{10fffd}]"
 
 
+#: The characters of ``SPACE``.
+SPACES = "".join(map(chr, [*range(0x9, 0xE), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.trim(c, F.lit(SPACES))
+
+
+def holds(c: Column, marks: tuple[str, ...]) -> Column:
+    """Whether a text holds any of some marks: a search over bytes, without a regex."""
+    found = c.contains(marks[0])
+    for m in marks[1:]:
+        found = found | c.contains(m)
+    return found
 
 
 def count(c: Column, pattern: str) -> Column:
@@ -40,6 +54,8 @@ def count(c: Column, pattern: str) -> Column:
 
 def tokens(c: Column, pattern: str) -> Column:
     """All whole matches, in order."""
+    if pattern == PLACEHOLDER:  # one look at a character spares its fourteen branches
+        pattern = rf"(?=[%{{$§\\])(?:{PLACEHOLDER})"
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
 
 
@@ -123,8 +139,12 @@ def redact(c: Column, limit: int = 400) -> Column:
 
 
 def same_tokens(a: Column, b: Column, pattern: str) -> Column:
-    """Equal multisets of matches."""
-    return F.array_sort(tokens(a, pattern)) == F.array_sort(tokens(b, pattern))
+    """Equal multisets of matches. Equal texts have them, and so have two texts without any mark of the grammar."""
+    same = F.array_sort(tokens(a, pattern)) == F.array_sort(tokens(b, pattern))
+    bare = a == b
+    if pattern in HOLDS:
+        bare = bare | ~(holds(a, HOLDS[pattern]) | holds(b, HOLDS[pattern]))
+    return F.when(bare, True).otherwise(same)
 
 
 def clue_drift(source: Column, target: Column) -> Column:
@@ -140,6 +160,8 @@ def clue_drift(source: Column, target: Column) -> Column:
 
 # Marks of a model's scaffolding, and phrases that forbid.
 ARTIFACTS = (r"@@(?:\d+|OK)@@", r"\[page=(?:\d+|未知)\]", "```", r"\*\*[^*\n]+\*\*|__[^_\n]+__")
+#: What every match of an artifact's pattern holds.
+ARTIFACT_MARKS = (("@@",), ("[page=",), ("```",), ("**", "__"))
 FORBIDS = (
     r"(?i)^\s*(?:please\s+)?(?:do\s+not|don't|never)\s+"
     r"(?:press|click|push|pull|open|close|break|destroy|place|enter|leave|use|touch|activate)\b"
@@ -148,15 +170,15 @@ FORBIDS_TARGET = "不|勿|别|禁止|切忌|避免|无需|不能"
 
 
 def content_reason(source: Column, target: Column) -> Column:
-    more = [count(target, p) > count(source, p) for p in ARTIFACTS]
+    more = [F.when(holds(target, m), count(target, p) > count(source, p)) for p, m in zip(ARTIFACTS, ARTIFACT_MARKS, strict=True)]
     scaffolding = more[0] | more[1] | more[2] | more[3]
     lost = source.rlike(FORBIDS) & target.rlike(CJK) & ~target.rlike(FORBIDS_TARGET)
     return F.when(source == target, None).when(scaffolding, "model_scaffolding").when(lost, "instruction_negation")
 
 
-def context_gate(source: Column, target: Column, strict: bool = False) -> Column:
-    """Why a candidate must not replace its source, or null. Conversions by index count as their plain spelling in
-    order; for the full proof see ``functions.gate``."""
+def context_gate(source: Column, target: Column, strict: bool | Column = False) -> Column:
+    """Why a candidate must not replace its source, or null; ``strict`` asks for the source's line breaks too. Conversions by
+    index count as their plain spelling in order; for the full proof see ``functions.gate``."""
     structure = same_tokens(source, target, URL) & same_tokens(source, target, COMMAND)
     structure = structure & same_tokens(source, target, PLACEHOLDER) & same_tokens(source, target, FORMAT_CODE)
     breaks_s, breaks_t = count(source, "\n"), count(target, "\n")
@@ -164,15 +186,10 @@ def context_gate(source: Column, target: Column, strict: bool = False) -> Column
         F.transform(F.split(c, "\n", -1), lambda x, i: F.when(x == "", i)), lambda x: x.isNotNull()
     )
     layout = (breaks_s > 0) & ((breaks_s != breaks_t) | (blank(source) != blank(target)))
-    gate = F.when(~structure, "structural_token").when(
-        content_reason(source, target).isNotNull(), content_reason(source, target)
-    )
-    if strict:
-        gate = gate.when(layout, "newline_structure")
-    gate = gate.when(breaks_t > breaks_s + 1, "unexpected_expansion")
-    return gate.when(
-        F.length(strip(target)) > F.greatest(F.lit(80), F.length(strip(source)) * 4 + 16), "unexpected_expansion"
-    )
+    grown = F.length(strip(target)) > F.greatest(F.lit(80), F.length(strip(source)) * 4 + 16)
+    strict = strict if isinstance(strict, Column) else F.lit(strict)
+    rest = F.when(strict & layout, "newline_structure").when((breaks_t > breaks_s + 1) | grown, "unexpected_expansion")
+    return F.when(~structure, "structural_token").otherwise(F.coalesce(content_reason(source, target), rest))
 
 
 def stable_id(*parts: Column) -> Column:

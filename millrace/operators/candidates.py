@@ -34,7 +34,7 @@ def reuse_gate(units: DataFrame, source: str = "source", target: str = "target",
         held = held.withColumn("__laid", shape_restored(F.when(flows, s), F.when(flows, F.col("__t"))))
         held = held.withColumn("__t", F.when(flows & F.col("__laid").isNotNull(), F.col("__laid")).otherwise(F.col("__t")))
     text = F.col("__t")
-    gate = F.when(F.col("__rule.strict"), context_gate(s, text, True)).otherwise(context_gate(s, text))
+    gate = context_gate(s, text, F.col("__rule.strict"))
     emptied = (strip(text) == "") & (strip(s) != "")
     reason = (
         F.when(t.isNull(), "no_candidate")
