@@ -1,7 +1,8 @@
 """License scan by ordered signature rules.
 
-Rules are regexes over a text's normalised words: signatures written one by one, and those that families of license names
-make with the phrasings that cite them. A rule runs only where a text holds its keyword, a word that every match has.
+Rules are regexes over a text's normalised words: signatures written one by one (titles, headers, clauses, addresses and
+versioned names, which outrank the bare ones), and those that families of license names make with the phrasings that cite
+them. A rule runs only where a text holds its keyword, a word that every match has.
 Detections are resolved in the order of the rules, by falling priority: one that overlaps a kept detection of a higher
 priority goes, and so does one contained in the interval of a kept one of the same priority (of equal intervals the
 earlier rule's stays). Base phrases are places where a phrase's words stand consecutively; they are counted before any
@@ -116,7 +117,7 @@ SINGLE = (
     ("gpl", 24, "you should have received a copy of the gnu general public license"),
     ("gpl-2.0", 26, "either version 2 of the license or at your option any later version"),
     ("gpl-3.0", 26, "either version 3 of the license or at your option any later version"),
-    ("gpl-3.0", 36, "everyone is permitted to copy and distribute verbatim copies of this license document"),
+    ("gpl", 22, "everyone is permitted to copy and distribute verbatim copies of this license document"),
     ("lgpl", 35, "you should have received a copy of the gnu lesser general public license"),
     ("lgpl-2.1", 36, "either version 2 1 of the license or at your option any later version"),
     ("agpl", 35, "you should have received a copy of the gnu affero general public license"),
@@ -137,7 +138,6 @@ SINGLE = (
     ("cc-by-nd", 37, "creativecommons org licenses by nd [1-4] [05]"),
     ("cc-by-nc-sa", 38, "creativecommons org licenses by nc sa [1-4] [05]"),
     ("cc-by-nc-nd", 38, "creativecommons org licenses by nc nd [1-4] [05]"),
-    ("cc-by-nc", 15, "cc by nc(?: [1-4] [05])?"),
     ("wtfpl", 35, "you just do what the fuck you want to"),
     ("artistic", 34, "you may make and give away verbatim copies of the source form"),
     ("ofl-1.1", 35, "this font software is licensed under the sil open font license"),
@@ -153,6 +153,140 @@ SINGLE = (
     ("proprietary", 10, "proprietary and confidential"),
     ("proprietary", 12, "unauthorized copying of this file via any medium is strictly prohibited"),
     ("proprietary", 11, "may not be reproduced without (?:the )?(?:prior )?written permission"),
+    # versioned names by themselves: the commonest citations of all
+    ("apache-2.0", 25, "apache(?: software)? licen[cs]e (?:version |v)?2(?: 0)?"),
+    ("apache-2.0", 25, "apache 2 0"),
+    ("apache-2.0", 25, "asl 2 0"),
+    ("apache-1.1", 25, "apache(?: software)? licen[cs]e (?:version |v)?1 1"),
+    ("apache-1.0", 25, "apache(?: software)? licen[cs]e (?:version |v)?1 0"),
+    ("gpl-3.0", 25, "(?:gnu )?general public licen[cs]e(?: gpl)? (?:version |v)?3(?: 0)?"),
+    ("gpl-3.0", 25, "(?:gnu )?gpl ?(?:version |v)?3(?: 0)?"),
+    ("gpl-2.0", 25, "(?:gnu )?general public licen[cs]e(?: gpl)? (?:version |v)?2(?: 0)?"),
+    ("gpl-2.0", 25, "(?:gnu )?gpl ?(?:version |v)?2(?: 0)?"),
+    ("gpl-1.0", 25, "(?:gnu )?general public licen[cs]e(?: gpl)? (?:version |v)?1(?: 0)?"),
+    ("lgpl-3.0", 25, "(?:gnu )?lesser general public licen[cs]e(?: lgpl)? (?:version |v)?3(?: 0)?"),
+    ("lgpl-3.0", 25, "(?:gnu )?lgpl ?(?:version |v)?3(?: 0)?"),
+    ("lgpl-2.1", 25, "(?:gnu )?lesser general public licen[cs]e(?: lgpl)? (?:version |v)?2 1"),
+    ("lgpl-2.1", 25, "(?:gnu )?lgpl ?(?:version |v)?2 1"),
+    ("lgpl-2.0", 25, "(?:gnu )?library general public licen[cs]e(?: lgpl)? (?:version |v)?2(?: 0)?"),
+    ("agpl-3.0", 25, "(?:gnu )?affero general public licen[cs]e(?: agpl)? (?:version |v)?3(?: 0)?"),
+    ("agpl-3.0", 25, "(?:gnu )?agpl ?(?:version |v)?3(?: 0)?"),
+    ("gfdl-1.3", 25, "(?:gnu )?free documentation licen[cs]e(?: gfdl)? (?:version |v)?1 3"),
+    ("gfdl-1.2", 25, "(?:gnu )?free documentation licen[cs]e(?: gfdl)? (?:version |v)?1 2"),
+    ("mpl-2.0", 25, "mozilla public licen[cs]e(?: mpl)? (?:version |v)?2(?: 0)?"),
+    ("mpl-2.0", 25, "mpl ?(?:version |v)?2 0"),
+    ("mpl-1.1", 25, "mozilla public licen[cs]e(?: mpl)? (?:version |v)?1 1"),
+    ("epl-2.0", 25, "eclipse public licen[cs]e(?: epl)? (?:version |v)?2(?: 0)?"),
+    ("epl-1.0", 25, "eclipse public licen[cs]e(?: epl)? (?:version |v)?1(?: 0)?"),
+    ("cpl-1.0", 25, "common public licen[cs]e(?: cpl)? (?:version |v)?1 0"),
+    ("ipl-1.0", 25, "ibm public licen[cs]e (?:version |v)?1 0"),
+    ("eupl-1.2", 25, "european union public licen[cs]e(?: eupl)? (?:version |v)?1 2"),
+    ("eupl-1.1", 25, "european union public licen[cs]e(?: eupl)? (?:version |v)?1 1"),
+    ("osl-3.0", 25, "open software licen[cs]e(?: osl)? (?:version |v)?3 0"),
+    ("bsl-1.0", 25, "boost software licen[cs]e (?:version |v)?1 0"),
+    ("cddl-1.1", 25, "common development and distribution licen[cs]e(?: cddl)? (?:version |v)?1 1"),
+    ("cddl-1.0", 25, "common development and distribution licen[cs]e(?: cddl)? (?:version |v)?1 0"),
+    ("zpl-2.1", 25, "zope public licen[cs]e(?: zpl)? (?:version |v)?2 1"),
+    ("lppl-1.3c", 25, "latex project public licen[cs]e(?: lppl)?(?: (?:version |v)?1 3c)?"),
+    ("ecl-2.0", 25, "educational community licen[cs]e (?:version |v)?2 0"),
+    ("upl-1.0", 25, "universal permissive licen[cs]e(?: upl)?(?: (?:version |v)?1 0)?"),
+    ("cecill-2.1", 25, "cecill(?: free software licen[cs]e agreement)? (?:version |v)?2 1"),
+    ("mulan-psl-2.0", 25, "mulan permissive software licen[cs]e (?:version |v)?2"),
+    ("blueoak-1.0.0", 25, "blue oak model licen[cs]e(?: 1 0 0)?"),
+    ("odc-by-1.0", 25, "open data commons attribution licen[cs]e(?: (?:version |v)?1 0)?"),
+    ("pddl-1.0", 25, "(?:open data commons )?public domain dedication and licen[cs]e"),
+    ("cdla-permissive-2.0", 25, "community data licen[cs]e agreement permissive(?: (?:version |v)?2 0)?"),
+    ("openrail", 25, "(?:creativeml )?open rail ?m licen[cs]e"),
+    # names, titles and sentences of the creative commons
+    ("cc-by", 15, "cc by [1-4] [05]"),
+    ("cc-by-sa", 15, "cc by sa(?: [1-4] [05])?"),
+    ("cc-by-nc", 15, "cc by nc(?: [1-4] [05])?"),
+    ("cc-by-nd", 15, "cc by nd(?: [1-4] [05])?"),
+    ("cc-by-nc-sa", 15, "cc by nc sa(?: [1-4] [05])?"),
+    ("cc-by-nc-nd", 15, "cc by nc nd(?: [1-4] [05])?"),
+    ("cc-by", 26, "creative commons attribution [1-4] [05](?: international| unported| generic)?"),
+    ("cc-by-sa", 27, "creative commons attribution share ?alike(?: [1-4] [05])?(?: international| unported| generic)?"),
+    ("cc-by-nc", 27, "creative commons attribution non ?commercial(?: [1-4] [05])?(?: international| unported| generic)?"),
+    ("cc-by-nd", 27, "creative commons attribution no ?deriv(?:ative)?s(?: [1-4] [05])?(?: international| unported| generic)?"),
+    ("cc-by-nc-sa", 28, "creative commons attribution non ?commercial share ?alike(?: [1-4] [05])?(?: international| unported| generic)?"),
+    ("cc-by-nc-nd", 28, "creative commons attribution non ?commercial no ?deriv(?:ative)?s(?: [1-4] [05])?(?: international| unported| generic)?"),
+    ("cc0-1.0", 27, "cc0 1 0 universal"),
+    ("cc0-1.0", 34, "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("creative-commons", 24, "you must give appropriate credit provide a link to the license and indicate if changes were made"),
+    ("creative-commons", 24, "you must distribute your contributions under the same license as the original"),
+    ("creative-commons", 24, "you may not use the material for commercial purposes"),
+    ("creative-commons", 24, "you may not distribute the modified material"),
+    # clauses of the mit, isc and bsd families
+    ("mit-0", 36, "mit no attribution"),
+    ("mit", 32, "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("hpnd", 35, "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("hpnd", 33, "not be used in advertising or publicity pertaining to distribution of the software without specific written prior permission"),
+    ("isc", 33, "in no event shall (?:isc|the author) be liable for any special direct indirect or consequential damages"),
+    ("0bsd", 36, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("bsd", 33, "this software is provided by the (?:copyright holders|regents|author) and contributors as is"),
+    ("bsd", 32, "procurement of substitute goods or services loss of use data or profits or business interruption"),
+    ("bsd-3-clause-clear", 36, "no express or implied licenses to any party s patent rights are granted by this license"),
+    ("bsd-2-clause-patent", 36, "subject to the terms and conditions of this license each copyright holder and contributor hereby grants"),
+    ("zlib", 33, "this notice may not be removed or altered from any source distribution"),
+    ("libpng", 36, "the png reference library is supplied as is"),
+    ("curl", 35, "the name of a copyright holder shall not be used in advertising or otherwise to promote the sale"),
+    ("icu", 35, "icu license icu 1 8 1 and later"),
+    ("unicode-dfs-2016", 35, "unicode data files and any associated documentation"),
+    ("vim", 35, "is charityware you can use and copy it as much as you like"),
+    ("fair", 35, "usage of the works is permitted provided that this instrument is retained with the works"),
+    ("sleepycat", 35, "redistributions in any form must be accompanied by information on how to obtain complete source code"),
+    ("ijg", 35, "this software is based in part on the work of the independent jpeg group"),
+    ("ftl", 35, "portions of this software are copyright .{1,40}? the freetype project"),
+    ("psf-2.0", 35, "psf is making python available to licensee on an as is basis"),
+    ("tcl", 35, "the authors hereby grant permission to use copy modify distribute and license this software"),
+    ("w3c", 35, "by obtaining using and or copying this work you the licensee agree"),
+    ("naist-2003", 35, "nara institute of science and technology"),
+    ("upl-1.0", 35, "larger work to which the software is contributed by such licensors"),
+    ("afl-3.0", 35, "licensed under the academic free license version 3 0"),
+    ("osl-3.0", 35, "licensed under the open software license version 3 0"),
+    # clauses of licenses with conditions on derived works
+    ("apache-2.0", 33, "see the license for the specific language governing permissions and limitations under the license"),
+    ("apache-2.0", 33, "terms and conditions for use reproduction and distribution"),
+    ("apache-1.1", 35, "this product includes software developed by the apache software foundation"),
+    ("gpl", 23, "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    ("gpl", 27, "when we speak of free software we are referring to freedom not price our general public licenses"),
+    ("gpl-2.0", 36, "gnu general public license version 2 june 1991"),
+    ("gpl-3.0", 37, "gnu general public license version 3 29 june 2007"),
+    ("gpl-3.0", 35, "protecting users legal rights from anti circumvention law"),
+    ("lgpl-2.1", 37, "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3.0", 37, "gnu lesser general public license version 3 29 june 2007"),
+    ("agpl-3.0", 38, "gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3.0", 35, "remote network interaction use with the gnu general public license"),
+    ("gpl-classpath", 38, "as a special exception the copyright holders of this library give you permission to link this library"),
+    ("gfdl", 35, "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-1.1", 35, "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("mpl-2.0", 35, "if a copy of the mpl was not distributed with this file"),
+    ("cddl-1.0", 35, "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl-2.0", 36, "eclipse org legal epl 2 0"),
+    ("epl-1.0", 36, "eclipse org legal epl v10 html"),
+    ("eupl", 35, "you may not use this work except in compliance with the licence"),
+    ("artistic-2.0", 35, "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed preamble this license establishes"),
+    ("artistic-1.0", 35, "the intent of this document is to state the conditions under which a package may be copied"),
+    ("ofl-1.1", 33, "the font software may be sold as part of a larger software package"),
+    ("ofl-1.1", 36, "scripts sil org ofl"),
+    ("odbl-1.0", 35, "this (?:database|data) is made available under the open database license"),
+    ("odbl-1.0", 36, "opendatacommons org licenses odbl"),
+    ("sspl-1.0", 36, "mongodb com licensing server side public license"),
+    ("busl-1.1", 34, "the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use"),
+    ("elastic-2.0", 35, "you may not provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", 35, "the license does not grant to you the right to sell the software"),
+    ("polyform-noncommercial-1.0.0", 35, "polyform noncommercial license"),
+    ("hippocratic-2.1", 35, "hippocratic license"),
+    ("llama", 35, "llama (?:2|3|3 1|3 2|3 3) community license"),
+    ("public-domain", 34, "the author hereby disclaims copyright to this source code"),
+    ("public-domain", 33, "this (?:work|file|software) (?:is|has been) (?:in|released into|placed in) the public domain"),
+    # statements of rights kept
+    ("proprietary", 12, "this software is the confidential and proprietary information of"),
+    ("proprietary", 12, "no part of this (?:publication|document|book|work) may be reproduced"),
+    ("proprietary", 12, "no license express or implied is granted"),
+    ("proprietary", 12, "you may not reverse engineer decompile or disassemble"),
+    ("proprietary", 11, "this software is licensed not sold"),
+    ("proprietary", 11, "trade secrets? and confidential information"),
     ("mit", 5, "mit license"),
     ("apache", 5, "apache license"),
     ("gpl", 5, "general public license"),

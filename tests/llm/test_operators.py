@@ -704,17 +704,21 @@ def test_toxic_words_are_learned_as_counted(spark):
     assert toxicity.classify(twice, labels).count() == 307
 
 
+#: Compiled once: they are more than the cache of ``re`` holds.
+LICENSE_RULES = licenses.rules()
+
+
 def brute_licenses(text):
     """All rules over the whole text, and each detection against all kept ones."""
     joined = b" " + b" ".join(alnum_words(text)) + b" "
-    found = [(m.start(), m.end(), r.priority, k) for k, r in enumerate(licenses.rules()) for m in r.pattern.finditer(joined)]
+    found = [(m.start(), m.end(), r.priority, k) for k, r in enumerate(LICENSE_RULES) for m in r.pattern.finditer(joined)]
     kept = []
     for a, b, p, k in sorted(found, key=lambda x: (-x[2], x[0], -x[1], x[3])):
         over = any(q > p and c < b and a < d for c, d, q, _ in kept)
         inside = any(q == p and c <= a and b <= d for c, d, q, _ in kept)
         if not over and not inside:
             kept.append((a, b, p, k))
-    return sorted((joined.count(b" ", 0, a) - 1, joined.count(b" ", 0, b), p, licenses.rules()[k].label) for a, b, p, k in kept)
+    return sorted((joined.count(b" ", 0, a) - 1, joined.count(b" ", 0, b), p, LICENSE_RULES[k].label) for a, b, p, k in kept)
 
 
 def test_licenses_against_brute_force():
@@ -731,6 +735,20 @@ def test_licenses_against_brute_force():
     assert s.scan("Licensed under the ASL 2.0")["spans"][0][3] == "apache-2.0"
 
 
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Apache License, Version 2.0", {"apache-2.0"}), ("Apache License", {"apache"}), ("apache license 20", {"apache"}), ("GNU General Public License v3", {"gpl-3.0"}),
+        ("GNU Lesser General Public License v2.1", {"lgpl-2.1"}), ("GNU Affero General Public Licence, version 3", {"agpl-3.0"}), ("MPL 2.0", {"mpl-2.0"}), ("GPLv2", {"gpl-2.0"}),
+        ("CC BY-NC 4.0", {"cc-by-nc"}), ("CC BY-NC-SA 4.0", {"cc-by-nc-sa"}), ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", {"cc-by-nc-sa"}),
+        ("general public license 30 years", {"gpl"}), ("Licensed to apache 2 horses", set()), ("cc by the way", set()),
+    ],
+)
+def test_versioned_names_outrank_the_bare(text, labels):
+    assert {x[3] for x in licenses.Scanner().scan(text)["spans"]} == labels
+    assert len(licenses.SINGLE) == len({x for _, _, x in licenses.SINGLE})
+
+
 def test_licenses_of_very_long_and_repeated_texts(spark):
     texts = ["mit LICENSE " * 40_000, "words of a text " * 300_000, "Released under the MIT License."] * 2
     df = spark.createDataFrame(list(enumerate(texts)) + [(None, None), (2, texts[2])], "doc_id long, text string")
