@@ -8,6 +8,7 @@ from millrace.functions import shape as S
 from millrace.operators import interaction as I
 from millrace.operators import merges as M
 from millrace.operators import revisions as R
+from millrace.operators import sentences as SE
 from millrace.plans.base import query, read
 
 #: Pages as rows: a row for every tag. The candidate has runs of rows in one.
@@ -150,3 +151,24 @@ def passage_rollback(spark, sf_dir):
     days = F.floor(F.datediff(F.col("o_orderdate").cast("date"), F.lit("1970-01-01").cast("date")) / 60)
     orders = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("message"), F.col("o_orderkey").alias("passage"), days.alias("first"), days.alias("last"), F.when(F.col("o_orderstatus") == "P", "partly").alias("reason"))
     return R.settled(orders.select("passage", "reason"), R.islands(orders)).withColumnRenamed("passage", "o_orderkey")
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, text, string_split(text, ' ') AS w, regexp_replace(text, '\s', '', 'g') AS flat FROM conversations WHERE text IS NOT NULL),
+p AS (SELECT conv_id, turn, text, flat, w[5] AS word, regexp_replace(coalesce(w[5], ''), '\s', '', 'g') AS term, regexp_replace(array_to_string(w[:4], ''), '\s', '', 'g') AS before, regexp_replace(array_to_string(w[6:], ''), '\s', '', 'g') AS after FROM w),
+o AS (SELECT *, term <> '' AND position(term IN flat) > 0 AND position(term IN substr(flat, position(term IN flat) + 1)) = 0 AS once FROM p)
+SELECT conv_id, turn, CASE WHEN flat = '' OR word IS NULL OR (once AND before <> '' AND after <> '') THEN 'anchors' ELSE 'tags' END AS mode,
+  CASE WHEN flat = '' THEN CASE WHEN word IS NULL THEN 'no_reply' ELSE 'empty_anchor' END WHEN word IS NULL THEN 'anchor_missing' WHEN term = '' THEN 'empty_anchor' WHEN before = '' OR after = '' THEN 'empty_share' END AS reason,
+  CASE WHEN term <> '' AND before <> '' AND after <> '' THEN md5(before || '|' || term || '|' || after) END AS shares FROM o""")
+def split_replies(spark, sf_dir):
+    """Q10: each message as the reply to a passage of three members, of which the middle one, its fifth word, is known: cut by that
+    word where it stands once, else by tags."""
+    rows = read(spark, sf_dir, "conversations").where("text IS NOT NULL").select(F.struct("conv_id", "turn").alias("passage"), "text")
+    w = F.split("text", " ", -1)
+    head, tail = F.array_join(F.slice(w, 1, 4), " "), F.array_join(F.slice(w, F.lit(6), F.greatest(F.size(w) - 5, F.lit(0))), " ")
+    word = F.get(w, 4)
+    tagged = F.concat(head, F.lit(" <x1>"), word, F.lit("</x1> "), tail)
+    kinds = F.array(*(F.struct(F.lit(k).alias("place"), F.lit(kind).alias("kind"), F.lit(kind == "locked").alias("tagged")) for k, kind in enumerate(("free", "locked", "free"))))
+    members = rows.select("passage", word.alias("term"), F.explode(kinds).alias("x")).select("passage", "x.*", "term", F.lit(None).cast("string").alias("marks"))
+    shares = F.array_join(F.transform("shares", lambda x: F.regexp_replace(x["share"], r"\s", "")), "|")
+    cut = SE.split_back(members, rows.select("passage", F.col("text").alias("plain"), tagged.alias("tagged")))
+    return cut.select("passage.*", "mode", "reason", F.md5(shares).alias("shares"))
