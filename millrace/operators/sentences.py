@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.functions.names import let
 from millrace.functions.text import SPACE
 
 # What counts as no words between two members, marks in both widths, and tags round members.
@@ -24,14 +25,17 @@ def known(x: Column) -> Column:
     return x["kind"].isin("name", "locked")
 
 
-def located(text: Column, places: Column, x: Column) -> Column:
+def located(text: Column, x: Column) -> Column:
     """struct<start, end> of a member's term in a text, white space left out of account; null unless it stands there exactly
-    once. ``places``: of the text's characters that are no space. The member's closing marks belong to it, in either width."""
+    once. The member's closing marks belong to it, in either width."""
     flat, term = bare(text), bare(x["term"])
     at = F.position(term, flat)
     once = (F.length(term) > 0) & (at > 0) & (F.position(term, flat, at + 1) == 0)
-    # out of range only where the term is not there
-    start, end = F.get(places, at - 1), F.get(places, at + F.length(term) - 2) + 1
+    # the term's characters, with any white space between two
+    spaced = F.regexp_replace(F.regexp_replace(term, r"(?s)(.)", r"\\Q$1\\E "), " (?=.)", rf"{SPACE}*".replace("\\", "\\\\"))
+    spaced = F.rtrim(spaced)
+    start = F.length(F.get(F.split(text, spaced, 2), 0))
+    end = start + F.length(F.regexp_substr(text, spaced))
     marks = F.coalesce(x["marks"], F.lit(""))
     fold = lambda c: F.translate(c, FULL, HALF)
     closed = fold(F.substring(text, end + 1, F.length(marks))) == fold(marks)
@@ -54,6 +58,10 @@ def dealt(m: Column, cut: Column, regions: Column, texts: Column) -> Column:
         region = F.get(regions, k)
         owners = F.filter(m, lambda x: between(x, k))
         wordless = F.regexp_replace(region, NO_WORDS, "") == ""
+        return let(F.struct(region.alias("region"), owners.alias("owners"), wordless.alias("wordless")), lambda v: judged(k, v))
+
+    def judged(k: Column, v: Column) -> Column:
+        region, owners, wordless = v["region"], v["owners"], v["wordless"]
         reason = (
             F.when((F.size(owners) == 0) & ~wordless & ~free(k - 1) & ~free(k), "orphan_text")
             .when(F.size(owners) > 1, "multi_owner_gap")
@@ -73,7 +81,7 @@ def dealt(m: Column, cut: Column, regions: Column, texts: Column) -> Column:
         reason = F.get(F.filter(F.transform(g, lambda x: x["reason"]), lambda x: x.isNotNull()), 0)
         return F.struct(F.array_sort(F.concat(whole, owned)).alias("shares"), reason.alias("reason"))
 
-    return F.get(F.transform(F.array(F.transform(F.sequence(F.lit(0), n), gap)), shares), 0)
+    return let(F.transform(F.sequence(F.lit(0), n), gap), shares)
 
 
 def refused(reason: Column | str) -> Column:
@@ -98,32 +106,37 @@ def split_back(members: DataFrame, replies: DataFrame) -> DataFrame:
     """
     own = F.struct(F.col("place").cast("int").alias("place"), F.coalesce("kind", F.lit("fixed")).alias("kind"), "term", "marks", F.coalesce("tagged", F.lit(False)).alias("tagged"))
     held = members.select("passage", own.alias("m")).groupBy("passage").agg(F.sort_array(F.collect_list("m")).alias("m")).join(replies.select("passage", "plain", "tagged"), "passage")
-    chars = F.split("plain", "")
-    places = F.filter(F.transform(chars, lambda c, i: F.when(~c.rlike(SPACE) & (c != ""), i)), lambda i: i.isNotNull())
-    held = held.withColumn("places", places).withColumn("cut", F.filter("m", known)).withColumn("spans", F.transform("cut", lambda x: located(F.col("plain"), F.col("places"), x)))
+    held = held.withColumn("cut", F.filter("m", known)).withColumn("tagged_cut", F.filter("m", lambda x: x["tagged"]))
+    held = held.withColumn("spans", F.transform("cut", lambda x: located(F.col("plain"), x)))
+    # a lambda writes its parts out for every element: what is long is a column first
     end_before = lambda k: F.when(k == 0, 0).otherwise(F.get("spans", k - 1)["end"])
-    faults = F.transform("spans", lambda s, k: F.when(s.isNull(), "anchor_missing").when(s["start"] < end_before(k), "anchor_order"))
-    fault = F.get(F.filter(faults, lambda x: x.isNotNull()), 0)
     start = lambda k: F.coalesce(F.get("spans", k)["start"], F.length("plain"))
-    regions = F.transform(F.sequence(F.lit(0), F.size("spans")), lambda k: F.substring(F.col("plain"), end_before(k) + 1, start(k) - end_before(k)))
-    texts = F.transform("spans", lambda s: F.substring(F.col("plain"), s["start"] + 1, s["end"] - s["start"]))
+    held = held.select(
+        "passage", "plain", "tagged", "m", "cut", "tagged_cut",
+        F.transform("spans", lambda s, k: F.when(s.isNull(), "anchor_missing").when(s["start"] < end_before(k), "anchor_order")).alias("faults"),
+        F.transform(F.sequence(F.lit(0), F.size("spans")), lambda k: F.substring(F.col("plain"), end_before(k) + 1, start(k) - end_before(k))).alias("regions"),
+        F.transform("spans", lambda s: F.substring(F.col("plain"), s["start"] + 1, s["end"] - s["start"])).alias("texts"),
+    )
     blank = lambda c: F.coalesce(bare(F.col(c)) == "", F.lit(True))
-    anchors = F.when(blank("plain"), refused("no_reply")).when(fault.isNotNull(), refused(fault)).otherwise(dealt(F.col("m"), F.col("cut"), regions, texts))
-
-    ids = F.transform(F.regexp_extract_all("tagged", F.lit(TAG), F.lit(1)), lambda x: x.try_cast("int"))
-    inner = F.regexp_extract_all("tagged", F.lit(TAG), F.lit(2))
-    sent = F.transform(F.filter("m", lambda x: x["tagged"]), lambda x: x["place"])
-    stray = F.regexp_replace("tagged", TAG, "").rlike(ANY_TAG)
+    fault = F.get(F.filter("faults", lambda x: x.isNotNull()), 0)
+    anchors = F.when(blank("plain"), refused("no_reply")).when(fault.isNotNull(), refused(fault)).otherwise(dealt(F.col("m"), F.col("cut"), F.col("regions"), F.col("texts")))
+    held = held.select("passage", "m", "tagged_cut", anchors.alias("a"), F.when(~blank("tagged"), F.col("tagged")).alias("tagged"))
+
+    # only what its anchors did not cut goes on to its tags
+    asked = F.when(F.col("a.reason").isNotNull(), F.col("tagged"))
+    held = held.select("passage", "m", "tagged_cut", "a", asked.alias("tagged"))
+    held = held.select(
+        "passage", "m", "tagged_cut", "a", "tagged", F.split("tagged", TAG, -1).alias("pieces"), F.regexp_extract_all("tagged", F.lit(TAG), F.lit(2)).alias("inner"),
+        F.transform(F.regexp_extract_all("tagged", F.lit(TAG), F.lit(1)), lambda x: x.try_cast("int")).alias("ids"),
+    )
+    sent = F.transform("tagged_cut", lambda x: x["place"])
+    stray = F.array_join("pieces", "").rlike(ANY_TAG)
     kept = lambda c: F.trim(bare(c), F.lit(EDGE_MARKS))
-    tagged_cut = F.filter("m", lambda x: x["tagged"])
-    pairs = F.zip_with(tagged_cut, inner, lambda x, t: F.when(bare(t) == "", "empty_anchor").when(known(x) & (kept(t) != kept(x["term"])), "term_not_kept"))
+    pairs = F.zip_with("tagged_cut", "inner", lambda x, t: F.when(bare(t) == "", "empty_anchor").when(known(x) & (kept(t) != kept(x["term"])), "term_not_kept"))
     lost = F.get(F.filter(pairs, lambda x: x.isNotNull()), 0)
-    why = F.when((F.array_sort(ids) != sent) | stray, "tags_lost_or_duplicated").when(ids != sent, "anchor_order").when(lost.isNotNull(), lost)
-    tags = F.when(why.isNotNull(), refused(why)).otherwise(dealt(F.col("m"), tagged_cut, F.split("tagged", TAG, -1), inner))
-
-    held = held.withColumn("a", anchors)
-    held = held.withColumn("t", F.when(F.col("a.reason").isNotNull() & ~blank("tagged"), tags))
-    by_tags = F.col("t").isNotNull()
-    out = F.when(by_tags, F.col("t")).otherwise(F.col("a"))
-    held = held.select("passage", F.when(by_tags, "tags").otherwise("anchors").alias("mode"), out.alias("r"))
+    why = F.when((F.array_sort("ids") != sent) | stray, "tags_lost_or_duplicated").when(F.col("ids") != sent, "anchor_order").when(lost.isNotNull(), lost)
+    held = held.withColumn("why", why)
+    tags = F.when(F.col("why").isNotNull(), refused(F.col("why"))).otherwise(dealt(F.col("m"), F.col("tagged_cut"), F.col("pieces"), F.col("inner")))
+    by_tags = F.col("tagged").isNotNull()
+    held = held.select("passage", F.when(by_tags, "tags").otherwise("anchors").alias("mode"), F.when(by_tags, tags).otherwise(F.col("a")).alias("r"))
     return held.select("passage", "mode", "r.reason", F.when(F.col("r.reason").isNull(), F.col("r.shares")).alias("shares"))
