@@ -21,6 +21,7 @@ def pack(
 
     The budget resets at each cut, so no window expresses it. Rows are laid out by key and order and streamed: a
     task holds a counter for one key at a time, never a whole group. A segment above ``chars`` is a batch of its own.
+    Rows of one key and order follow each other by name, line and size, so that the result does not depend on how they lie.
     """
     fields = [f for f in df.select(key, order).schema]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields) + ", batch int"
@@ -51,4 +52,4 @@ def pack(
                 out.append(batch)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.int32())], names=[key, order, "batch"])
 
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInArrow(run, schema)
+    return rows.repartition(key).sortWithinPartitions(key, order, "__whole", "__line", "__size").mapInArrow(run, schema)
