@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from millrace.functions.lines import command_tokens
+from millrace.functions.slices import row_function
 from millrace.functions.text import count
 from millrace.operators.paths import PAYLOAD_CONTAINERS, PAYLOAD_LEAVES
 from millrace.operators.rewrite import same_mechanism
@@ -49,18 +49,13 @@ def json_skeleton(text: Column) -> Column:
     """A text that two documents share if they differ in shown texts at most; null for what does not parse. Shown are the texts
     at paths that ``paths.display_path`` proves."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            out = []
-            for raw in b.to_pylist():
-                try:
-                    out.append(json.dumps(bones(json.loads(raw or ""))))
-                except (ValueError, RecursionError):
-                    out.append(None)
-            yield pa.array(out, pa.string())
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "string")(text)
+    def one(raw: str | None) -> str | None:
+        try:
+            return json.dumps(bones(json.loads(raw or "")))
+        except (ValueError, RecursionError):
+            return None
+
+    return row_function("string", pa.string(), one)(text)
 
 
 def payload_issue(source: Column, target: Column) -> Column:

@@ -6,12 +6,11 @@ import string
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions.slices import cuts, small_batches
 from millrace.session import checkpoint_dir
 
 #: Bytes of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z: digits, a-z and all of 0x80 and above.
@@ -45,33 +44,6 @@ def alnum_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(WORD_BYTES).split()
 
 
-#: Texts of one Arrow batch are worked on in slices of about so many bytes, so that what a slice makes stays small.
-SLICE_BYTES = 2_000_000
-
-
-#: Bytes of one Arrow batch between the JVM and Python (a batch ends with the row that passes them).
-BATCH_BYTES = 4 << 20
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Bounds an Arrow batch's bytes in the session, unless it names a number of bytes itself: with rows alone bounded, 10,000 texts
-    of one batch stand several times in an executor's memory, in the JVM's buffers and in Python's."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark.conf.get(key).isdigit():  # a session's own number of bytes wins
-        spark.conf.set(key, str(BATCH_BYTES))
-
-
-def cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Where to cut an array of texts: (start, length) of slices of SLICE_BYTES at most, or of one text."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
-    at = 0
-    while at < len(ends):
-        before = ends[at - 1] if at else 0
-        stop = max(at + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
-        yield at, stop - at
-        at = stop
-
-
 def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of the batches, and the texts of each. Only one slice's texts are Python strings at a time."""
     for b in batches:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.skeleton import bones
+from millrace.functions.slices import row_function
 from millrace.functions.text import SPACE, strip
 
 # Keys of clicks, actions that run their value, keys of what is drawn from a running game, and the marks that
@@ -19,6 +19,9 @@ RUNS = ("run_command", "run_command_if_loaded", "suggest_command")
 LIVE = ("score", "selector", "nbt", "keybind")
 CONTROLS = "►▶▷▸▹➤»→⌲>"
 
+#: Bytes of JSON that become Python objects together; leaves take many times their bytes.
+RAW_BYTES = 500_000
+
 LEAF = pa.struct([("text", pa.string()), ("clicks", pa.list_(pa.string())), ("at", pa.string())])
 LEAVES = "array<struct<text:string,clicks:array<string>,at:string>>"
 
@@ -58,21 +61,23 @@ def leaves(node: object) -> list[tuple[str | None, list[str], str]]:
     return out
 
 
+def drawn(raw: str | None) -> list | None:
+    """The drawn leaves of a JSON component as rows of LEAF; null where it does not parse."""
+    try:
+        return [{"text": None if t is None else t.encode("utf-8", "replace").decode(), "clicks": c, "at": p} for t, c, p in leaves(json.loads(raw or ""))]
+    except (ValueError, RecursionError):
+        return None
+
+
 def rendered(payload: Column) -> Column:
     """The drawn leaves of a JSON component; null where it does not parse."""
+    return row_function(LEAVES, pa.list_(LEAF), drawn, RAW_BYTES)(payload)
 
-    def one(raw: str | None) -> list | None:
-        try:
-            return [{"text": None if t is None else t.encode("utf-8", "replace").decode(), "clicks": c, "at": p} for t, c, p in leaves(json.loads(raw or ""))]
-        except (ValueError, RecursionError):
-            return None
-
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for b in batches:
-            yield pa.array([one(x) for x in b.to_pylist()], pa.list_(LEAF))
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, LEAVES)(payload)
+def rendered_both(source: Column, target: Column) -> Column:
+    """``rendered`` of two components as the fields a and b: one Python worker for both, not one for each."""
+    sides = pa.struct([("a", pa.list_(LEAF)), ("b", pa.list_(LEAF))])
+    return row_function(f"struct<a:{LEAVES},b:{LEAVES}>", sides, lambda s, t: {"a": drawn(s), "b": drawn(t)}, RAW_BYTES)(source, target)
 
 
 def offset(text: Column) -> Column:
@@ -100,7 +105,7 @@ def changes(rows: DataFrame, key: str, source: str, target: str) -> DataFrame:
     Leaves of one message are one window; a message is what one line shows.
     """
     held = rows.select(F.col(key).alias("key"), F.col(source).alias("s_"), F.col(target).alias("t_"))
-    held = held.withColumn("a", rendered(F.col("s_"))).withColumn("b", rendered(F.col("t_")))
+    held = held.withColumn("d_", rendered_both(F.col("s_"), F.col("t_"))).select("*", "d_.a", "d_.b").drop("d_")
     clicked = lambda c: F.exists(c, lambda x: F.size(x["clicks"]) > 0)
     mentions = F.col("s_").rlike("clickEvent|click_event")
     whole = (
