@@ -203,18 +203,31 @@ def block_pairs(key: tuple[int, int, int], block, comp, n, bits: list[bytes], bu
     return a[turn < most], b[turn < most], bool((turn >= most).any())
 
 
+def dealt_blocks(held: DataFrame) -> DataFrame:
+    """The rows with block and other: a row for each block that theirs meets. crowd: of the bucket's largest component, of ``size``
+    members; m: the bucket's members."""
+    count = lambda c: F.ceil(c / BLOCK).cast("int")
+    rest, many = count(F.col("m") - F.col("size")), F.col("m") > BLOCK
+    crowd = count(F.col("size"))
+    hashed = F.xxhash64("node", F.lit(5))
+    block = F.when(~many, 0).when(F.col("crowd"), rest + F.pmod(hashed, crowd)).otherwise(F.pmod(hashed, rest)).cast("int")
+    last = F.when(~many, 0).when(F.col("crowd"), rest - 1).otherwise(rest + crowd - 1).cast("int")
+    return held.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+
+
 def apart_pairs(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
     """a, b: pairs of nodes that share a bucket, lie in two components and may link, each from the least bucket they share;
     and a null row if there are more.
 
-    A bucket of m members is dealt into ceil(m / BLOCK) blocks by a hash, and every two blocks meet in one task.
+    Members of a bucket's largest component (the crowd) do not meet each other. Above BLOCK members they are dealt into blocks of
+    their own by a hash, and so are the others; blocks of others meet each other and the crowd's, every two in one task. So a row of
+    the crowd is sent once for every BLOCK others, however large the crowd.
     """
     label = members.join(comp, "node", "left").select("bucket", "m", "node", F.coalesce("comp", "node").alias("comp"))
-    apart = label.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    held = label.join(apart, "bucket").join(sets.select("node", "n", "bits", "own"), "node")
-    held = held.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), blocks).cast("int"))
-    held = held.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    sizes = label.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+    apart = sizes.groupBy("bucket").agg(F.max(F.struct("n", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+    held = label.join(apart.select("bucket", "top"), "bucket").join(sets.select("node", "n", "bits", "own"), "node")
+    held = dealt_blocks(held.select("bucket", "m", "node", "comp", "n", "bits", "own", (F.col("comp") == F.col("top.comp")).alias("crowd"), F.col("top.n").alias("size")))
     held = held.select(
         "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node",
         F.xxhash64("comp").alias("comp"), "n", "bits", "own",
@@ -332,7 +345,9 @@ def cluster(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
         more = not found.where("a IS NULL").isEmpty()
         scratch.drop(found)
         if not fresh.isEmpty():
-            new = scratch.keep(confirm(fresh, sets, percent))
+            ends = fresh.select(F.explode(F.array("a", "b")).alias("node")).distinct().select(F.xxhash64("node").alias("h"))
+            near = sets.where(bloom.may_hold(ends, "h", F.xxhash64("node")))  # few sets are wanted again, and only these are shuffled
+            new = scratch.keep(confirm(fresh, near, percent))
             tried = tried.unionByName(fresh)
             if not new.isEmpty():
                 links = links.unionByName(new)
