@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.common import let_go
+
 #: Bits of a filter for each key (two are set: one row in 60 that can't join gets through), and the bounds of its size:
 #: 8 KB to 16 MB. For more keys than the largest holds there is no filter, and every row is shuffled.
 BITS_A_KEY, LEAST, MOST = 16, 1 << 16, 1 << 27
@@ -52,6 +54,7 @@ def may_hold(keys: DataFrame, key: str, column: Column) -> Column:
     filter_ = keys.sparkSession.sparkContext.broadcast(made)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        let_go()
         for b in batches:
             yield pa.array(hits(filter_.value, b.to_numpy(zero_copy_only=False).astype(np.int64)))
 

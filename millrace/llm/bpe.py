@@ -16,9 +16,7 @@ from __future__ import annotations
 
 import json
 import re
-import threading
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import text_function
+from millrace.llm.common import held, text_function
 
 #: The pre-token pattern of byte-level BPE vocabularies (a fixed value of the format).
 PIECES = regex.compile(
@@ -172,7 +170,7 @@ class Codec:
         self.pairs = Slots(lambda k: self._meets(k >> 32, k & 0xFFFFFFFF, until=float("inf")), PAIR_BITS, np.bool_)
         self.ends = (np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32))
         self.lengths, self.table = np.array(self.length, np.int32), pa.array(self.token, pa.large_binary())
-        self.pieces, self.leading, self.spaced = (Recent(None, n) for n in (CACHE_WORDS // 2, CACHE_WORDS // 5, CACHE_WORDS))
+        self.pieces, self.leading, self.spaced = (Recent(None, n) for n in (CACHE_WORDS // 6, CACHE_WORDS // 6, CACHE_WORDS))
         self.line_break = np.array(self.piece(b"\n"), dtype=np.int32).tobytes()
 
     def whole(self, t: int) -> bool:
@@ -385,18 +383,9 @@ class Codec:
         return b"".join([token[i] for i in ids if 0 <= i < n]).decode("utf-8", "replace")
 
 
-_lock = threading.Lock()
-
-
-@lru_cache(maxsize=2)
-def _codec(source: bytes) -> Codec:
-    return Codec(source)
-
-
 def codec(source: bytes) -> Codec:
-    """The vocabulary's tables, made once in each Python worker."""
-    with _lock:
-        return _codec(source)
+    """The vocabulary's tables, made once in each Python worker and kept until it serves another operator."""
+    return held(("bpe", source), lambda: Codec(source))
 
 
 class Tokenizer:
@@ -434,9 +423,9 @@ class Tokenizer:
                 out = (c.decode(ids[a:b].tolist()) if b > a else "" for a, b in zip(ends[:-1], ends[1:], strict=True))
                 yield pa.array(out, type=pa.string())
 
-        self._encode = text_function(T.ArrayType(T.IntegerType()), encode)
+        self._encode = text_function(T.ArrayType(T.IntegerType()), encode, holds=True)
         pair = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-        self._both = text_function(T.StructType(pair), both)
+        self._both = text_function(T.StructType(pair), both, holds=True)
         self._decode = F.arrow_udf(decode, T.StringType())
 
     def encode(self, text: Column) -> Column:

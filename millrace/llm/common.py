@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import string
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -21,6 +24,38 @@ WORD_PATTERN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
+#: What this Python worker keeps from task to task, by a name: two things at most, of one operator.
+_held: dict[object, object] = {}
+_lock = threading.Lock()
+
+
+def held(name: object, make: Callable[[], object]) -> object:
+    """A large thing that tasks of one operator share in a Python worker, made where it is missing."""
+    with _lock:
+        if name not in _held:
+            if len(_held) > 1:
+                del _held[next(iter(_held))]
+            _held[name] = make()
+        return _held[name]
+
+
+def let_go() -> None:
+    """Gives what another operator's tasks have left in this Python worker back to the system. Workers serve all stages of a
+    session, so it would stand beside whatever the later ones need."""
+    with _lock:
+        if _held:
+            _free()
+
+
+def _free() -> None:
+    _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -46,17 +81,21 @@ def alnum_words(text: str) -> list[bytes]:
 
 def parts(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[str | None]]]:
     """Slices of the batches, and the texts of each. Only one slice's texts are Python strings at a time."""
+    let_go()
     for b in batches:
         for at, n in cuts(b.column(column)):
             piece = b.slice(at, n)
             yield piece, piece.column(column).to_pylist()
 
 
-def text_function(returns: str, work: Callable[[list[str | None]], pa.Array]):
-    """A column function over texts. ``work`` turns a list of texts into an Arrow array of as many values."""
+def text_function(returns: str, work: Callable[[list[str | None]], pa.Array], holds: bool = False):
+    """A column function over texts. ``work`` turns a list of texts into an Arrow array of as many values; ``holds`` says that it
+    keeps something by ``held``."""
     small_batches(SparkSession.active())
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if not holds:
+            let_go()
         for batch in batches:
             out = [work(batch.slice(at, n).to_pylist()) for at, n in cuts(batch)]
             yield pa.concat_arrays(out) if out else work([])
