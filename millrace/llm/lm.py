@@ -12,9 +12,11 @@ and the first bytes) and each word occurs, and a text's code length is the sum o
 each distinct one is coded once.
 
 Every context that training texts hold is kept, so the tree grows with the corpus and stays a table. Each coded byte has
-a context of NEAR bytes at least: the subtree of the contexts that share their nearest NEAR bytes lies in one partition,
-beside the heads and words that are coded with it. Only what the subtrees sum up to for the last two bytes goes to the
-driver and back: the number of pairs of bytes bounds it, not the corpus.
+a context of NEAR bytes at least: the subtrees of the contexts that share their nearest NEAR bytes lie in one bucket, and
+buckets are as many as the coded bytes ask for. Heads and words go in chunks, a row each: a chunk sends each bucket its
+distinct places as one packed row and gets a row of as many code lengths back, so neither an item's name nor a place that
+the chunk holds already travels twice. Only what the subtrees sum up to for the last two bytes goes to the driver and
+back: the number of pairs of bytes bounds it, not the corpus.
 """
 
 from __future__ import annotations
@@ -29,8 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import fold, parts, small_batches, space_words
-from millrace.session import checkpoint_dir
+from millrace.llm.common import Scratch, fold, parts, space_words
 
 DEPTH = 6
 #: Nearest bytes of a context that say where its subtree lies.
@@ -99,12 +100,16 @@ def rest_places(words: list[bytes]) -> Places:
     return Places(item[coded], raw[coded], full[coded], np.minimum(place, DEPTH)[coded])
 
 
+def runs(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys of sorted ones, and each weight summed over them."""
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], *(np.add.reduceat(w, first) if len(first) else w for w in weights)
+
+
 def summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
     """Distinct keys in order, and each weight summed over them."""
     order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], *(np.add.reduceat(w[order], first) if len(first) else w for w in weights)
+    return runs(keys[order], *(w[order] for w in weights))
 
 
 def context_counts(at: Places, counts: np.ndarray, least: int = 0) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -143,15 +148,17 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def decisions(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """From keys (context << 8 | byte) and their counts: nodes (context << 8 | decision), and how often each was 0 and 1."""
-    context, byte = keys >> EIGHT, keys & np.uint64(255)
-    parts, zeros, ones = [], [], []
+    """From sorted keys (context << 8 | byte) and their counts: nodes (context << 8 | decision), and how often each was 0 and
+    1."""
+    context, byte = keys & ~np.uint64(255), keys & np.uint64(255)
+    levels = []
     for k in range(8):
         bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-        parts.append(context << EIGHT | np.uint64(1 << k) | byte >> np.uint64(8 - k))
-        zeros.append(np.where(bit == 0, n, 0).astype(np.float64))
-        ones.append(np.where(bit == 1, n, 0).astype(np.float64))
-    return summed(np.concatenate(parts), np.concatenate(zeros), np.concatenate(ones))
+        zeros, ones = (np.where(bit == x, n, 0).astype(np.float64) for x in (0, 1))
+        levels.append(runs(context | np.uint64(1 << k) | byte >> np.uint64(8 - k), zeros, ones))
+    nodes, zeros, ones = (np.concatenate(x) for x in zip(*levels, strict=True))
+    order = np.argsort(nodes, kind="stable")
+    return nodes[order], zeros[order], ones[order]
 
 
 def shorter(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -285,66 +292,138 @@ def count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(words, heads)
 
 
-PLACES = "near int, far long, n long, id long"
-#: Places that a task codes at once, if no NEAR bytes have more.
-CODED = 1 << 19
+#: Coded bytes of a chunk, places of a bucket (if no NEAR bytes have more), and places whose trees stand in memory at once.
+CODED, BUCKET, PIECE = 1 << 20, 1 << 20, 1 << 18
 
+CHUNKS = "words array<string>, times array<long>, heads array<long>, uses array<long>, tokens long, known long, coded long"
 
-def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (word, head, n, id): the places at which items are coded, with n and id. ``near``: the nearest NEAR bytes of the
-    context; ``far``: its depth, its other bytes and the coded byte."""
-    for batch in batches:
-        n, ids = batch.column("n").to_numpy(), batch.column("id").to_numpy()
-        head = batch.column("head")
-        is_head = head.is_valid().to_numpy(zero_copy_only=False)
-        words = [w.encode() for w in batch.column("word").drop_null().to_pylist()]
-        heads = head.drop_null().to_numpy().astype(np.uint64)
-        for items, at in ((is_head, head_places(heads)), (~is_head, rest_places(words))):
-            near = at.code(NEAR).astype(np.int32)
-            far = at.deep.astype(np.uint64) << np.uint64(32) | at.full >> np.uint64(8 * NEAR) << EIGHT | at.byte
-            columns = [near, far.astype(np.int64), n[items][at.item], ids[items][at.item]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["near", "far", "n", "id"])
-
-
-def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
-    """near, far, n and id of sorted rows, about CODED at a time; rows of one ``near`` are never parted."""
-    held: list[tuple[np.ndarray, ...]] = []
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (word, head, n): rows of words and heads that have about CODED coded bytes together, with their counts, the sum of
+    the words', how many words have one, and the coded bytes at most."""
+
+    def chunk(held: list[pa.RecordBatch], coded: int) -> pa.RecordBatch:
+        items = pa.Table.from_batches(held)
+        words, heads = items.filter(pc.is_null(items["head"])), items.filter(pc.is_valid(items["head"]))
+        lists = [words["word"], words["n"], heads["head"], heads["n"]]
+        n = words["n"].to_numpy()
+        columns = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.combine_chunks()) for x in lists]
+        columns += [pa.array([int(x)], pa.int64()) for x in (n.sum(), np.count_nonzero(n), coded)]
+        return pa.RecordBatch.from_arrays(columns, ["words", "times", "heads", "uses", "tokens", "known", "coded"])
+
+    held, coded = [], 0
     for batch in batches:
         if batch.num_rows:
-            held.append(tuple(c.to_numpy() for c in batch.columns))
-        if sum(len(x[0]) for x in held) > CODED and held[0][0][0] != held[-1][0][-1]:
-            joined = tuple(np.concatenate(x) for x in zip(*held, strict=True))
-            cut = np.searchsorted(joined[0], joined[0][-1])
-            yield tuple(x[:cut] for x in joined)
-            held = [tuple(x[cut:] for x in joined)]
+            held.append(batch)
+            rests = pc.max_element_wise(pc.subtract(pc.binary_length(batch.column("word")), HEAD - 1), 0)
+            coded += (pc.sum(rests).as_py() or 0) + HEAD * (batch.num_rows - batch.column("head").null_count)
+            if coded > CODED:
+                yield chunk(held, coded)
+                held, coded = [], 0
     if held:
-        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+        yield chunk(held, coded)
 
 
-def subtree(near: np.ndarray, far: np.ndarray, n: np.ndarray) -> tuple[Tree, Places, np.ndarray]:
-    """The tree from depth NEAR, its distinct places, and for each row the number of its place. Rows are sorted."""
-    new = np.concatenate([[True], (near[1:] != near[:-1]) | (far[1:] != far[:-1])])
-    first, back = np.flatnonzero(new), np.cumsum(new) - 1
-    n, near, far = np.add.reduceat(n, first), near[first].astype(np.uint64), far[first].astype(np.uint64)
-    full = (far >> EIGHT & np.uint64((1 << 24) - 1)) << np.uint64(8 * NEAR) | near
-    at = Places(np.arange(len(first)), far & np.uint64(255), full, (far >> np.uint64(32)).astype(np.int64))
-    known = Places(*(x[n > 0] for x in (at.item, at.byte, at.full, at.deep)))
-    return Tree([decisions(*x) for x in context_counts(known, n, NEAR)], NEAR), at, back
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """Values of 8 bytes, first bytes first, compressed; of rising ones, the steps."""
+    if rising:
+        x = np.diff(x, prepend=x[:1] * 0)
+    return pa.compress(x.view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(data: bytes, m: int, kind: type, rising: bool = False) -> np.ndarray:
+    """The m values that ``pack`` was given."""
+    raw = np.frombuffer(pa.decompress(data, 8 * m, "zstd", asbytes=True), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(8, m).T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if rising else x
+
 
+class Chunk:
+    """A chunk's items and places. ``keys``: the distinct places in order, the nearest NEAR bytes of the context first, then its
+    depth, its other bytes and the coded byte; ``item`` and ``place``: of each coded byte; ``spots``: by bucket, its places."""
 
-def subtree_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """key (a node of depth NEAR - 1), and of its children how often they were 0 and 1, and their weighted logarithms' sum."""
-    for near, far, n, _ in whole_groups(batches):
-        at = subtree(near, far, n)[0]
-        keys, zeros, ones = at.roots
-        got = summed(shorter(keys, NEAR - 1), zeros, ones, at.weighted[0])
-        yield pa.RecordBatch.from_arrays([pa.array(got[0].astype(np.int64)), *map(pa.array, got[1:])], ["key", "zeros", "ones", "below"])
+    def __init__(self, row: dict, buckets: int):
+        self.words, self.heads, self.n = row["words"], row["heads"], np.array(row["times"] + row["uses"], np.int64)
+        rest, head = rest_places([w.encode() for w in self.words]), head_places(np.array(self.heads, np.int64).astype(np.uint64))
+        full, byte, deep = (np.concatenate([getattr(x, k) for x in (rest, head)]).astype(np.uint64) for k in ("full", "byte", "deep"))
+        self.item = np.concatenate([rest.item, head.item + len(self.words)])
+        other = full >> np.uint64(8 * NEAR) << EIGHT | byte
+        near = full & np.uint64((1 << (8 * NEAR)) - 1)
+        self.keys, self.place = np.unique(near << np.uint64(35) | deep << np.uint64(32) | other, return_inverse=True)
+        mixed = (self.keys >> np.uint64(35)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
+        bucket = (mixed >> EIGHT) % np.uint64(buckets)
+        order = np.argsort(bucket, kind="stable")
+        first = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
+        self.spots = {b: order[first[b] : first[b + 1]] for b in np.flatnonzero(np.diff(first)).tolist()}
 
 
-def top_tree(places: DataFrame) -> Tree:
+PLACES = "bucket int, chunk long, m long, keys binary, n binary"
+
+
+def placed(buckets: int):
+    """From chunks: for each bucket the places of the chunk, and how often each was coded in training texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                c = Chunk(row, buckets)
+                n = np.bincount(c.place, weights=c.n[c.item], minlength=len(c.keys)).astype(np.int64)
+                out = [(b, row["chunk"], len(at), pack(c.keys[at], True), pack(n[at])) for b, at in c.spots.items()]
+                if out:
+                    kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                    columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "m", "keys", "n"])
+
+    return run
+
+
+def pieces(keys: np.ndarray) -> Iterator[slice]:
+    """Cuts a bucket's places about every PIECE; those of one ``near`` are never parted."""
+    near = keys >> np.uint64(35)
+    at = 0
+    while at < len(keys):
+        stop = int(np.searchsorted(near, near[min(at + PIECE, len(keys)) - 1], side="right"))
+        yield slice(at, stop)
+        at = stop
+
+
+def subtree(keys: np.ndarray, n: np.ndarray) -> tuple[Tree, Places]:
+    """The tree from depth NEAR of places that are distinct and in order, and the places."""
+    far = keys & np.uint64((1 << 32) - 1)
+    at = Places(np.arange(len(keys)), far & np.uint64(255), far >> EIGHT << np.uint64(8 * NEAR) | keys >> np.uint64(35), (keys >> np.uint64(32) & np.uint64(7)).astype(np.int64))
+    known = Places(*(x[n > 0] for x in (at.item, at.byte, at.full, at.deep)))
+    return Tree([decisions(*x) for x in context_counts(known, n, NEAR)], NEAR), at
+
+
+BUCKETS = (
+    "bucket int, m long, keys binary, n binary, chunks array<long>, sizes array<long>, spots binary, "
+    "node array<long>, zeros array<double>, ones array<double>, below array<double>"
+)
+
+
+def gathered(group: pa.Table) -> pa.Table:
+    """A bucket's distinct places and counts; for each chunk where its places stand among them, one chunk after the other; and the
+    nodes of depth NEAR - 1: of their children how often they were 0 and 1, and their weighted logarithms' sum."""
+    sizes = group["m"].to_numpy()
+    got = [[unpack(data.as_py(), m, kind, rising) for data, m in zip(group[x], sizes, strict=True)] for x, kind, rising in (("keys", np.uint64, True), ("n", np.int64, False))]
+    keys, back = np.unique(np.concatenate(got[0]), return_inverse=True)
+    n = np.bincount(back, weights=np.concatenate(got[1]), minlength=len(keys)).astype(np.int64)
+    del got
+    sums = []
+    for cut in pieces(keys):
+        tree = subtree(keys[cut], n[cut])[0]
+        nodes, zeros, ones = tree.roots
+        sums.append(summed(shorter(nodes, NEAR - 1), zeros, ones, tree.weighted[0]))
+    node, *of = summed(*(np.concatenate(x) for x in zip(*sums, strict=True)))
+    own = [group["bucket"][0].as_py(), len(keys), pack(keys, True), pack(n), group["chunk"].to_numpy(), sizes, pack(back.astype(np.int64), True)]
+    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.list_(pa.int64())] * 2, pa.binary(), pa.list_(pa.int64()), *[pa.list_(pa.float64())] * 3]
+    return pa.Table.from_arrays([pa.array([x], t) for x, t in zip([*own, node.astype(np.int64), *of], kinds, strict=True)], [x.split()[0] for x in BUCKETS.split(", ")])
+
+
+def top_tree(buckets: DataFrame) -> Tree:
     """The tree before depth NEAR. Its nodes are as many as pairs of bytes and their decisions, whatever the corpus."""
-    sums = places.mapInArrow(subtree_sums, "key long, zeros double, ones double, below double").groupBy("key")
-    got = sums.agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below"))).orderBy("key").toArrow()
+    sums = buckets.select(F.inline(F.arrays_zip("node", "zeros", "ones", "below"))).groupBy("node")
+    got = sums.agg(*(F.sum(x).alias(x) for x in ("zeros", "ones", "below"))).orderBy("node").toArrow()
     key, zeros, ones, below = (c.to_numpy() for c in got.columns)
     nodes = [(key.astype(np.uint64), zeros, ones)]
     for d in range(NEAR - 2, -1, -1):
@@ -352,23 +431,51 @@ def top_tree(places: DataFrame) -> Tree:
     return Tree(nodes, 0, below).spread()
 
 
-def code_lengths(counts: DataFrame) -> DataFrame:
-    """id and r (log10 probability) of each row of counts that has coded bytes."""
-    spark = counts.sparkSession
-    places = counts.select("word", "head", "n", "id").mapInArrow(placed, PLACES)
-    places = places.repartition("near").sortWithinPartitions("near", "far").checkpoint()
-    top = spark.sparkContext.broadcast(top_tree(places))
+def dealt(df: DataFrame, key: str, groups: int) -> DataFrame:
+    """By a key of so many values, into as many partitions where the session's number is smaller: none gets more groups as the
+    corpus grows."""
+    return df.repartition(groups, key) if groups > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def code_lengths(chunks: DataFrame, scratch: Scratch, many: int, buckets: int) -> DataFrame:
+    """word or head, n and r (log10 probability of its coded bytes) of each item of the chunks, which are ``many``."""
+    spark = chunks.sparkSession
+    places = chunks.select("chunk", "words", "times", "heads", "uses").mapInArrow(placed(buckets), PLACES)
+    trees = scratch.keep(dealt(places, "bucket", buckets).groupBy("bucket").applyInArrow(gathered, BUCKETS))
+    top = spark.sparkContext.broadcast(top_tree(trees))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         above = top.value
-        for near, far, n, ids in whole_groups(batches):
-            tree, at, back = subtree(near, far, n)
-            up = np.searchsorted(above.keys[-1], shorter(tree.keys[0], NEAR - 1))
-            tree.spread(above.done[up], above.left[up])
-            ids, r = summed(ids, tree.log10(at, len(at.byte), above)[back])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(r)], ["id", "r"])
-
-    return places.mapInArrow(code, "id long, r double").groupBy("id").agg(F.sum("r").alias("r"))
+        for batch in batches:
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
+                keys, n = unpack(row["keys"], row["m"], np.uint64, True), unpack(row["n"], row["m"], np.int64)
+                r = np.empty(len(keys))
+                for cut in pieces(keys):
+                    tree, at = subtree(keys[cut], n[cut])
+                    up = np.searchsorted(above.keys[-1], shorter(tree.keys[0], NEAR - 1))
+                    tree.spread(above.done[up], above.left[up])
+                    r[cut] = tree.log10(at, len(at.byte), above)
+                r = r[unpack(row["spots"], sum(row["sizes"]), np.int64, True)]
+                own = [pack(x) for x in np.split(r, np.cumsum(row["sizes"])[:-1])]
+                columns = [pa.array([row["bucket"]] * len(own), pa.int32()), pa.array(row["chunks"], pa.int64()), pa.array(own, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["bucket", "chunk", "r"])
+
+    def resolved(chunk: pa.Table, coded: pa.Table) -> pa.Table:
+        c = Chunk(chunk.to_pylist()[0], buckets)
+        r = np.zeros(len(c.keys))
+        for b, data in zip(coded["bucket"].to_pylist(), coded["r"], strict=True):
+            r[c.spots[b]] = unpack(data.as_py(), len(c.spots[b]), np.float64)
+        r = np.bincount(c.item, weights=r[c.place], minlength=len(c.n)).astype(np.float64)
+        word = pa.concat_arrays([pa.array(c.words, pa.string()), pa.nulls(len(c.heads), pa.string())])
+        head = pa.concat_arrays([pa.nulls(len(c.words), pa.int64()), pa.array(c.heads, pa.int64())])
+        return pa.Table.from_arrays([word, head, pa.array(c.n), pa.array(r)], ["word", "head", "n", "r"])
+
+    coded = trees.select("bucket", "m", "keys", "n", "chunks", "sizes", "spots").mapInArrow(code, "bucket int, chunk long, r binary")
+    own = chunks.select("chunk", "words", "times", "heads", "uses")
+    own, coded = (dealt(x, "chunk", many).groupBy("chunk") for x in (own, coded))
+    items = scratch.keep(own.cogroup(coded).applyInArrow(resolved, "word string, head long, n long, r double"))
+    scratch.drop(trees)
+    return items
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -379,29 +486,28 @@ def score(docs: DataFrame) -> DataFrame:
     every decision has probability one half. A null id counts as the empty text for the fold.
     """
     spark = docs.sparkSession
-    checkpoint_dir(spark)
-    small_batches(spark)
+    scratch = Scratch(spark)
     held = fold(F.col("doc_id"), 7) == 2
     seen = docs.select("text", (~held).alias("train")).mapInArrow(count_tokens, COUNTS)
-    counts = seen.groupBy("kind", "word", "head").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("id", F.monotonically_increasing_id()).checkpoint()
-    known = counts.where("kind = 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    total, distinct = int(known[0]), int(known[1])
+    counts = seen.groupBy("word", "head").agg(F.sum("n").alias("n"))
+    chunks = counts.mapInArrow(chunked, CHUNKS).withColumn("chunk", F.monotonically_increasing_id())
+    chunks = scratch.keep(chunks)
+    sums = chunks.agg(F.count("*"), *(F.coalesce(F.sum(x), F.lit(0)) for x in ("tokens", "known", "coded"))).first()
+    many, total, distinct, coded = map(int, sums)
     floor = F.log10(F.lit(total + distinct + 1.0))
-    is_word = F.col("kind") == 0
+    items = code_lengths(chunks, scratch, many, coded // BUCKET + 1)
+    scratch.drop(chunks)
+    is_word = F.col("head").isNull()
     # A head stands under two tabs and its number, which no word can be.
-    items = counts.join(code_lengths(counts), "id", "left").select(
-        "kind",
-        "n",
+    named = items.select(
         "head",
         F.when(is_word, F.col("word")).otherwise(F.concat(F.lit("\t\t"), F.col("head").cast("string"))).alias("word"),
         F.when(is_word, F.col("n")).otherwise(0).alias("c"),
         F.when(is_word, F.log10(F.col("n") + 1.0) - floor).otherwise(0.0).alias("b"),
-        F.coalesce("r", F.lit(0.0)).alias("r"),
+        "r",
     )
-    items = items.checkpoint()
-    words = items.select("word", "c", "b", "r")
-    top = items.where(is_word).orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", "c", "b", "r").toArrow().combine_chunks()
+    words = named.drop("head")
+    top = named.where(is_word).orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow().combine_chunks()
     often = items.where(~is_word).orderBy(F.desc("n"), "head").limit(FREQUENT_HEADS).select("head", "r").toArrow()
     often = often.sort_by("head").combine_chunks()
     frequent = spark.sparkContext.broadcast(
